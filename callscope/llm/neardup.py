@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id; of rows that repeat it, all."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(docs.columns)
+    """One document of each group of near duplicates: that with the smallest doc_id. All rows that repeat it stay, and rows without a doc_id."""
+    others = near_duplicates(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(others, id_col, "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
