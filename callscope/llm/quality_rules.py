@@ -57,7 +57,7 @@ def repeated_words(df: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with a struct `quality` of all measures; other columns stay."""
+    """Columns `row` (the document) and `quality`, a struct of all measures."""
     text = F.coalesce(F.col("_row")[text_col], F.lit(""))
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     df = df.select("_row", text.alias("_text"), F.btrim(text, F.lit(SPACE)).alias("_trimmed"))
@@ -85,7 +85,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "bullet_line_ratio": per_line(F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]")))),
         "ellipsis_line_ratio": per_line(F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$")))),
     }
-    return df.select("_row", F.struct(*(v.alias(k) for k, v in measures.items())).alias("quality"))
+    return df.select(F.col("_row").alias("row"), F.struct(*(v.alias(k) for k, v in measures.items())).alias("quality"))
 
 
 def base_failed(q: Column) -> Column:
@@ -98,13 +98,13 @@ def verdict(q: Column, rules: list[tuple[str, float, float]] = RULES) -> Column:
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[tuple[str, float, float]] = RULES) -> DataFrame:
     q = F.col("quality")
-    return measured(docs, text_col).where(~base_failed(q) & verdict(q, rules)).select("_row.*")
+    return measured(docs, text_col).where(~base_failed(q) & verdict(q, rules)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     return measured(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "_row.doc_id",
+        "row.doc_id",
         *(q[m].alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         base_failed(q).alias("base_failed"),
         (~base_failed(q) & verdict(q)).alias("kept"),
