@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from callscope.operators import calls, delay, report, signalling, streams, usage  # noqa: F401  they register their queries
+from callscope.operators import calls, delay, report, signalling, streams, usage, verdicts  # noqa: F401  they register their queries
 from callscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
