@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A text is cut into lines: at line breaks and after sentence ends. A run of lines repeats if its lines,
-trimmed and lower-cased, follow one another elsewhere, earlier in the order (doc_id, text hash,
+trimmed, follow one another elsewhere, earlier in the order (doc_id, text hash,
 place). Repeated runs of MIN_WORDS words or more are deleted where they come later; the first
 occurrence stays, and so does everything else, byte for byte.
 
@@ -21,16 +21,13 @@ is deleted where it recurs there; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.llm import common
 
 MIN_WORDS, GRAM = 50, 25
-CUT = r"(?<=\n)(?!\n)|(?<=[.!?] )"
-SPACE = " \t\n\u000b\f\r"
+CUT = r"(?<=[.!?] |\n)"
 LAST = 2**63 - 1
 #: Most fingerprints (of 8 bytes) sent to every task; beyond it they are shuffled.
 BROADCAST_ROWS = 20_000
@@ -41,13 +38,22 @@ def lines_of(text: Column) -> Column:
     return F.split(text, CUT)
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(line, F.lit(SPACE))))
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\n"))
+
 
+def words_in(line: Column) -> Column:
+    """Words of a trimmed line: its spaces and one, none in an empty line."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, t, a, aw): each document's key, line hashes and line word counts; a repeated document once."""
     d, t = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text_col)
-    return docs.where(F.length(text_col) > 0).select(d.alias("d"), t.alias("t"), F.col(text_col).alias("text")).where("text is not null")
+    df = docs.where(F.length(text_col) > 0).select(d.alias("d"), t.alias("t"), F.transform(lines_of(F.col(text_col)), trimmed).alias("lines"))
+    df = common.materialize(df.select("d", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", words_in).alias("aw")))
+    repeated = df.groupBy("d", "t").count().where("count > 1")
+    return df if repeated.isEmpty() else df.dropDuplicates(["d", "t"])
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -70,35 +76,27 @@ def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM)
 
 
 def runs_on(a: Column, b: Column, aw: Column, shift: Column, min_words: int) -> Column:
-    """Runs (start, end) of `a` of min_words words or more that equal `b` shifted: b[i - shift] = a[i]."""
+    """Runs (start, end) of `a` of min_words words or more that equal `b` shifted: b[i - shift] = a[i]. All arguments are columns of the row."""
     low, high = F.greatest(shift, F.lit(0)), F.least(F.size(a), F.size(b) + shift)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    zero = F.struct(low.cast("int").alias("start"), F.lit(0).alias("words"), empty.alias("runs"))
-
-    def closed(s: Column, i: Column) -> Column:
-        run = F.array(F.struct(s["start"].alias("start"), i.cast("int").alias("end")))
-        return F.when(s["words"] >= min_words, F.concat(s["runs"], run)).otherwise(s["runs"])
-
-    def step(s: Column, i: Column) -> Column:
-        same = (i < high) & (F.get(a, i) == F.get(b, i - shift))
-        return F.when(same, F.struct(s["start"], (s["words"] + F.get(aw, i)).alias("words"), s["runs"])).otherwise(
-            F.struct((i + 1).cast("int").alias("start"), F.lit(0).alias("words"), closed(s, i).alias("runs"))
-        )
-
-    return F.when(low < high, F.aggregate(F.sequence(low, high), zero, step, lambda s: s["runs"])).otherwise(empty)
+    # Places that differ, and the end: runs lie between them.
+    ends = F.filter(F.sequence(low, high), lambda i: (i == high) | (F.get(a, i) != F.get(b, i - shift)))
+    between = lambda e: F.transform(e, lambda x, k: F.struct(F.coalesce(F.get(e, k - 1) + 1, low).cast("int").alias("start"), x.cast("int").alias("end")))
+    runs = F.get(F.transform(F.array(ends), between), F.lit(0))
+    words = lambda r: F.aggregate(F.slice(aw, r["start"] + 1, r["end"] - r["start"]), F.lit(0), lambda s, x: s + x)
+    long = F.filter(runs, lambda r: (r["end"] > r["start"]) & (words(r) >= min_words))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(a).alias("end")))
+    copy = (shift == 0) & (F.col("d") != F.col("fd")) & (a == b)
+    return F.when(low >= high, F.slice(whole, 1, 0)).when(copy, whole).otherwise(long)
 
 
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """(d, t, runs): line places to delete from each text that has any."""
-    texts = keyed(docs, id_col, text_col)
-    words = lambda x: F.when(F.btrim(x, F.lit(SPACE)) == "", 0).otherwise(F.size(F.split(F.btrim(x, F.lit(SPACE)), r"[ \t\n\x0B\f\r]+")))
-    lines = texts.select("d", "t", F.posexplode(lines_of(F.col("text"))).alias("p", "line"))
-    lines = lines.select("d", "t", "p", line_hash(F.col("line")).alias("h"), words(F.col("line")).cast("int").alias("w"))
-    # Rows that repeat a document would give each line twice.
-    marks = common.materialize(fingerprints(lines.dropDuplicates(["d", "t", "p"]), min_words, gram))
+    texts = hashed_lines(docs, id_col, text_col)
+    lines = texts.select("d", "t", F.posexplode(F.arrays_zip("a", "aw")).alias("p", "x")).select("d", "t", "p", F.col("x.a").alias("h"), F.col("x.aw").alias("w"))
+    marks = common.materialize(fingerprints(lines, min_words, gram))
     met = common.materialize(meetings(marks.where("fresh").select(F.col("g").alias("k"), "d", "t", "p")))
     diagonals = common.materialize(met.select("d", "t", "fd", "ft", "shift").distinct())
-    found = common.materialize(extended(diagonals, texts, words, min_words))
+    found = common.materialize(extended(diagonals, texts, min_words))
     runs = found.groupBy("d", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     inside = F.exists("runs", lambda r: (F.col("p") >= r["start"]) & (F.col("p") < r["end"]))
     short = met.join(runs, ["d", "t"], "left").where(F.coalesce(~inside, F.lit(True))).select(F.col("k").alias("g")).distinct()
@@ -106,28 +104,32 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int =
     n = short.count()
     if n:
         some = F.broadcast(short) if n <= BROADCAST_ROWS else short
-        again = meetings(marks.join(some, "g", "left_semi").select(F.col("all").alias("k"), "d", "t", "p"))
+        again = meetings(marks.join(some, "g", "left_semi").select(F.col("all").alias("k"), "d", "t", "p").distinct())
         fresh = again.select("d", "t", "fd", "ft", "shift").distinct().join(diagonals, ["d", "t", "fd", "ft", "shift"], "left_anti")
         fresh = common.materialize(fresh)
         if not fresh.isEmpty():
-            found = found.union(extended(fresh, texts, words, min_words))
+            found = found.union(extended(fresh, texts, min_words))
     return found.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def meetings(marks: DataFrame) -> DataFrame:
-    """(k, d, t, p, fd, ft, shift): each later place of a key with the key's first. marks: k, d, t, p."""
+    """(k, d, t, p, fd, ft, shift): each later place of a key with an earlier one. marks: k, d, t, p.
+
+    A text's first place of a key meets the key's first place of all; a further one meets the one before it
+    in the same text, so that a periodic text makes one diagonal.
+    """
     place = F.struct("d", "t", "p")
     first = marks.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k", "first")
-    met = marks.join(first, "k").where(place != F.col("first"))
-    return met.select("k", "d", "t", "p", F.col("first.d").alias("fd"), F.col("first.t").alias("ft"), (F.col("p") - F.col("first.p")).alias("shift"))
+    met = marks.join(first, "k").withColumn("before", F.lag("p").over(Window.partitionBy("k", "d", "t").orderBy("p")))
+    met = met.where(F.col("before").isNotNull() | (F.struct("d", "t") != F.struct("first.d", "first.t")))
+    own = F.col("before").isNotNull()
+    fd, ft = F.when(own, F.col("d")).otherwise(F.col("first.d")), F.when(own, F.col("t")).otherwise(F.col("first.t"))
+    return met.select("k", "d", "t", "p", fd.alias("fd"), ft.alias("ft"), (F.col("p") - F.coalesce("before", "first.p")).alias("shift"))
 
 
-def extended(diagonals: DataFrame, texts: DataFrame, words: Callable[[Column], Column], min_words: int) -> DataFrame:
+def extended(diagonals: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     """(d, t, runs) of each diagonal that has runs, over the line hashes of its two texts."""
-    wanted = diagonals.select("d", "t").union(diagonals.select("fd", "ft")).distinct()
-    hashed = texts.dropDuplicates(["d", "t"]).join(wanted, ["d", "t"], "left_semi").withColumn("lines", lines_of(F.col("text")))
-    hashed = common.materialize(hashed.select("d", "t", F.transform("lines", line_hash).alias("a"), F.transform("lines", words).alias("aw")))
-    both = diagonals.join(hashed, ["d", "t"]).join(hashed.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("a").alias("b")), ["fd", "ft"])
+    both = diagonals.join(texts, ["d", "t"]).join(texts.select(F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("a").alias("b")), ["fd", "ft"])
     runs = runs_on(F.col("a"), F.col("b"), F.col("aw"), F.col("shift"), min_words)
     return both.select("d", "t", runs.alias("runs")).where(F.size("runs") > 0)
 
