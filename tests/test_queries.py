@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from callscope.plans.all import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck(data):
 def plain(df):
     rows = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        rows.append(tuple("-" if v is None or v != v else round(float(v), 5) if isinstance(v, (float, int, np.number)) and not isinstance(v, bool) else str(v) for v in r))
+        rows.append(tuple("-" if pd.isna(v) else round(float(v), 5) if isinstance(v, (float, int, np.number)) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(rows, key=str)
 
 
