@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +61,14 @@ def binary_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """One object per Python worker, which later tasks of the worker use again."""
+    kept = sys.modules.setdefault("_callscope_kept", types.ModuleType("_callscope_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def map_text(
     df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: list[T.StructField]
 ) -> DataFrame:

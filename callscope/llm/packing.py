@@ -20,6 +20,7 @@ repeated rows are each packed; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -37,54 +38,74 @@ from callscope.llm import common
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
 WINDOW_TOKENS = 1 << 20
-#: Encoded words that a task remembers, for speed only.
-CACHE = 300_000
-
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, task int, queue_end long, ids binary"
 PACKED = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Longest run of white space that the fast encoder gets.
+LONGEST = 100_000
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The tokenizer's pieces as bytes with their ids, if it is byte-level and its merges are done in the order of ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space") or not steps.get("use_regex", True):
+        return None
+    # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    vocab = spec["model"]["vocab"]
+    merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in zip(merges, merges[1:])):
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them, remembered by word.
+    """Ids of whole texts as the tokenizer gives them.
 
-    The pre-tokenizer never joins what lies on both sides of a lone space followed by a visible
-    character, so such a text is encoded word by word, each word with its leading space.
+    Where its pieces are byte-level and ranked by id, a faster library merges by the same ranks over the same
+    pre-tokens; texts with extremely long runs of spaces, and other tokenizers, are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self.path, self.tokenizer = path, None
+        self.long = re.compile(r"\s{%d}" % LONGEST)
+        self.fast = None
+        if ranks := byte_ranks(path):
+            import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.odd = re.compile(r" \s|\s $| $")
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd.search(text):
+        if self.fast is None or (len(text) > LONGEST and self.long.search(text)):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
+                self.tokenizer.encode_special_tokens = True
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *rest = text.split(" ")
-        words = [head, *(" " + w for w in rest)]
-        cache = self.cache
-        missing = list({w for w in words if w not in cache})
-        if len(cache) > CACHE:
-            cache.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
+
+
+def narrow(ids: np.ndarray) -> bytes:
+    """Two bytes an id where that is enough: these travel to the windows."""
+    return ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4").tobytes()
 
 
 def tokenizer_of(path: str, end_id: int) -> Callable:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Encoder(path), TaskContext.get().partitionId()
-        narrow = (lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes()) if encode.tokenizer.get_vocab_size() <= 1 << 16 else bytes
+        encode, task = common.per_process(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId()
         ends: dict[str | None, int] = defaultdict(int)
         names = [x.split()[0] for x in PIECES.split(", ")]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
             rows: list[list] = [[] for _ in names]
             doc_ids, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
-            # Two bytes an id where that is enough: these travel to the windows.
             for doc_id, source, text in zip(doc_ids, sources, common.binary_texts(b.column(2))):
                 ids = np.append(encode(text.decode()), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), SEQUENCE):
@@ -92,7 +113,7 @@ def tokenizer_of(path: str, end_id: int) -> Callable:
                     n = len(part) // 4
                     ends[source] += n
                     whole = n == SEQUENCE
-                    row = (doc_id, source, start, n, zlib.crc32(part), len(ids), task, ends[source], None if whole else narrow(part))
+                    row = (doc_id, source, start, n, zlib.crc32(part), len(ids), task, ends[source], None if whole else narrow(ids[start : start + SEQUENCE]))
                     for c, v in zip(rows, row):
                         c.append(v)
                 if len(rows[0]) > 4000:

@@ -118,7 +118,7 @@ def counted(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     path = path or public_tokenizers.path(MODEL)
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        count = MergeCounter(path)
+        count = common.per_process(("merges", path), lambda: MergeCounter(path))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             n_bytes, n_tokens = [], []
