@@ -137,9 +137,9 @@ def test_signature_index():
     """Pairs within the guaranteed distance share a key."""
     r = np.random.default_rng(1)
     for _ in range(200):
-        a = r.integers(0, 256, neardup.SYMBOLS)
+        a = r.integers(0, 256, neardup.CHUNKS * neardup.CHUNK_SYMBOLS)
         b = a.copy()
-        at = r.choice(neardup.SYMBOLS, 2 * neardup.CHUNKS - 1, replace=False)
+        at = r.choice(len(a), 2 * neardup.CHUNKS - 1, replace=False)
         b[at] = (b[at] + 1 + r.integers(0, 255, len(at))) % 256
         differ = (a != b).reshape(neardup.CHUNKS, -1).sum(axis=1)
         assert (differ <= 1).any()
