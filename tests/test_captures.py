@@ -150,3 +150,29 @@ def test_video(spark, tmp_path):
     assert (rows["hole.pcap"].verdict, rows["hole.pcap"].lost, rows["hole.pcap"].broken) == ("broken", 1, 1)
     out = {r.path.rsplit("/", 1)[1]: bytes(r.h264) for r in media.rebuilt_video(packets).collect()}
     assert out["whole.pcap"] == b"\0\0\0\1\x67abc\0\0\0\1" + key + b"\0\0\0\1\x41def"
+
+
+def test_ogg(spark, tmp_path):
+    from callscope.sources import ogg
+
+    frames = [ethernet(rtp(k, 960 * k, bytes([k % 251]) * (300 if k % 7 == 0 else 40), pt=111)) for k in range(400)]
+    (tmp_path / "a.pcap").write_bytes(classic(frames))
+    (row,) = ogg.rebuilt_opus(rtp_packets(pcap.read_captures(spark, str(tmp_path))), [111]).collect()
+    data, at, packets, granules = bytes(row.ogg), 0, [], []
+    while at < len(data):
+        n = data[at + 26]
+        lacing = data[at + 27 : at + 27 + n]
+        size = 27 + n + sum(lacing)
+        whole = data[at : at + size]
+        assert ogg.checksum(whole[:22] + b"\0\0\0\0" + whole[26:]) == struct.unpack("<I", whole[22:26])[0]
+        granules.append(struct.unpack("<q", whole[6:14])[0])
+        body, packet = whole[27 + n :], b""
+        for x in lacing:
+            packet, body = packet + body[:x], body[x:]
+            if x < 255:
+                packets.append(packet)
+                packet = b""
+        at += size
+    assert packets[0].startswith(b"OpusHead") and packets[1].startswith(b"OpusTags")
+    assert [len(p) for p in packets[2:]] == [300 if k % 7 == 0 else 40 for k in range(400)]
+    assert granules[-1] == 960 * 400 and granules == sorted(granules)
