@@ -1,11 +1,11 @@
 """MinHash near-duplicates through a multi-index Hamming join.
 
 A document's set is its distinct word 5-shingles. One pass over the texts gives each set an exact
-digest and a MinHash signature of 72 symbols of 8 bits, cut into 12 chunks of 6 symbols. By the
-pigeonhole principle, two signatures that differ in at most 23 symbols agree in some chunk but for
-one symbol at most, so each chunk is indexed under its 6 one-symbol-wildcard forms: every pair
-within that distance meets under some key. Candidates at an estimated similarity far below the
-threshold (over MAX_DISTANCE symbols) go; the rest are confirmed on full sets. A pair of
+digest and a MinHash signature of 132 symbols of 8 bits. The first 72 are cut into 12 chunks of 6
+symbols. By the pigeonhole principle, two signatures that differ in at most 23 of them agree in some
+chunk but for one symbol at most, so each chunk is indexed under its 6 one-symbol-wildcard forms:
+every pair within that distance meets under some key. Candidates that differ in over MAX_DISTANCE of
+all symbols are far below the threshold and go; the rest are confirmed on full sets. A pair of
 similarity 0.75 misses all 12 chunks with probability 1e-4 (0.8: 3e-6).
 
 Groups are never expanded into pairs: equal sets are one class, each key first links its members to
@@ -31,9 +31,11 @@ from pyspark.sql import types as T
 from callscope.llm import common
 
 SHINGLE, CHUNKS, CHUNK_SYMBOLS = 5, 12, 6
-SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: Pairs whose signatures differ in more symbols aren't confirmed: at similarity 0.75 they number 18 on average, deviation 3.7.
-MAX_DISTANCE = 38
+#: Chunks of the whole signature; those beyond CHUNKS serve the distance only.
+ALL_CHUNKS = 22
+SYMBOLS = ALL_CHUNKS * CHUNK_SYMBOLS
+#: Pairs whose signatures differ in more symbols aren't confirmed: at similarity 0.75 they number 33 on average, deviation 5.
+MAX_DISTANCE = 54
 #: Word hashes that a task keeps, for speed only.
 CACHE_WORDS = 500_000
 MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
@@ -74,14 +76,14 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> list[int]:
-    """The 12 chunks, each of 6 MinHash symbols of 8 bits."""
+    """The 22 chunks, each of 6 MinHash symbols of 8 bits."""
     a, b = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(SYMBOLS, 2**32 - 1, np.uint32)
     for at in range(0, len(a), 4096):
         x = a[at : at + 4096, None] * M32[0] + b[at : at + 4096, None] * M32[1]
         np.minimum(low, x.min(axis=0), out=low)
     low = low * np.uint32(0x9E3779B1)
-    symbols = (low >> np.uint32(24)).astype(np.int64).reshape(CHUNKS, CHUNK_SYMBOLS)
+    symbols = (low >> np.uint32(24)).astype(np.int64).reshape(ALL_CHUNKS, CHUNK_SYMBOLS)
     return (symbols << (8 * np.arange(CHUNK_SYMBOLS, dtype=np.int64))).sum(axis=1).tolist()
 
 
@@ -142,15 +144,20 @@ def keys(classes: DataFrame) -> DataFrame:
     """(key, node): each chunk under its wildcard forms, where any one symbol may differ."""
     masks = [(1 << 48) - 1 - (255 << (8 * k)) for k in range(CHUNK_SYMBOLS)]
     forms = F.array(*(F.xxhash64(F.lit(k), "at", F.col("chunk").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    return classes.select("node", F.posexplode("chunks").alias("at", "chunk")).select(F.explode(forms).alias("key"), "node")
+    return classes.select("node", F.posexplode(F.slice("chunks", 1, CHUNKS)).alias("at", "chunk")).select(F.explode(forms).alias("key"), "node")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose signatures are within MAX_DISTANCE."""
-    signatures = classes.select("node", "chunks")
-    both = pairs.join(signatures.toDF("x", "xc"), "x").join(signatures.toDF("y", "yc"), "y")
-    apart = sum((differing(F.col("xc")[k], F.col("yc")[k]) for k in range(1, CHUNKS)), differing(F.col("xc")[0], F.col("yc")[0]))
-    return both.where(apart <= MAX_DISTANCE).select("x", "y").distinct()
+def close(percent: int) -> Column:
+    """Whether two sets may be near, by sizes (nx, ny) and signatures (xc, yc)."""
+    apart = sum((differing(F.col("xc")[k], F.col("yc")[k]) for k in range(1, ALL_CHUNKS)), differing(F.col("xc")[0], F.col("yc")[0]))
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (apart <= MAX_DISTANCE)
+
+
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that may be near."""
+    signatures = classes.select("node", "n", "chunks")
+    both = pairs.join(signatures.toDF("x", "nx", "xc"), "x").join(signatures.toDF("y", "ny", "yc"), "y")
+    return both.where(close(percent)).select("x", "y").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +169,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component), the smallest node that can be reached, by alternating large and small stars."""
+    """(node, component): the smallest node that each other node can reach, by alternating large and small stars; the smallest have no row."""
     edges = common.materialize(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     before = None
     while True:
@@ -183,24 +190,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     rows = common.materialize(texts.mapInArrow(described, DESCRIBED))
     classes = common.materialize(
-        rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.first("chunks").alias("chunks"))
+        rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("chunks").alias("chunks"))
     )
     named = classes.where("node is not null")
     hubs = keys(named).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     members = common.materialize(keys(named).join(hubs, "key"))
-    stars = common.materialize(near(members.where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), named))
+    stars = common.materialize(near(members.where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), named, percent))
     links = common.materialize(confirm(stars, texts, percent))
     # Rows that share a doc_id are one node: equal sets are joined by their smallest doc_id already.
     same = rows.where("digest is not null").join(named.select("digest", F.col("node").alias("x")), "digest")
     links = links.union(same.where("node <> x").select("x", F.col("node").alias("y")))
     parts = common.materialize(components(links))
-    # Keys that still hold several components: all their pairs across components, but for those tried.
-    placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    # Keys that still hold several components: the near pairs across components, but for those tried.
+    # Distances are taken inside the join, so that only near pairs ever become rows.
+    placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
-    placed = common.materialize(placed.join(open_keys, "key"))
-    left, right = placed.toDF("key", "x", "cx"), placed.toDF("key", "y", "cy")
-    crossing = left.join(right, "key").where("cx < cy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = common.materialize(near(crossing.join(stars, ["x", "y"], "left_anti"), named))
+    placed = common.materialize(placed.join(open_keys, "key").join(named.select("node", "n", "chunks"), "node").select("key", "node", "c", "n", "chunks"))
+    left, right = placed.toDF("k", "x", "cx", "nx", "xc"), placed.toDF("key", "y", "cy", "ny", "yc")
+    crossing = left.join(right, (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent))
+    crossing = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rest = common.materialize(crossing.join(stars, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         parts = components(links.union(common.materialize(confirm(rest, texts, percent))))
     found = rows.select("node", "n_shingles", "digest").join(named.select("digest", F.col("node").alias("rep")), "digest", "left")
