@@ -120,7 +120,8 @@ def meetings(marks: DataFrame) -> DataFrame:
     """
     place = F.struct("d", "t", "p")
     first = marks.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k", "first")
-    met = marks.join(first, "k").withColumn("before", F.lag("p").over(Window.partitionBy("k", "d", "t").orderBy("p")))
+    # Dealt anew by key and text: a text's places are few, while a key's may be any number, and a join alone can be split.
+    met = marks.join(first, "k").repartition("k", "d", "t").withColumn("before", F.lag("p").over(Window.partitionBy("k", "d", "t").orderBy("p")))
     met = met.where(F.col("before").isNotNull() | (F.struct("d", "t") != F.struct("first.d", "first.t")))
     own = F.col("before").isNotNull()
     fd, ft = F.when(own, F.col("d")).otherwise(F.col("first.d")), F.when(own, F.col("t")).otherwise(F.col("first.t"))
