@@ -1,9 +1,8 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 TEMPLATES are short licence notices. The index holds every template word but the commonest, with its
-positions; idf weights of these words are counted over all documents. In a text, the LOOKED_UP
-highest-idf index words found are looked up, each occurrence votes for (template, relative position),
-and a template whose best relative position gathers enough of its weight, and whose mandatory key
+positions; idf weights of these words are counted over all documents. In a text, all index words are
+looked up, each occurrence votes for (template, relative position), and a template whose best relative position gathers enough of its weight, and whose mandatory key
 phrase stands in the text, gives its label. Base phrases give their labels wherever they stand.
 
 Defined results: null and wordless texts have no labels and score 0; first_word and last_word are null
@@ -38,7 +37,6 @@ TEMPLATES = [
 ]
 #: Words too frequent in any text to be looked up.
 COMMON = set("a all and any are for in is may not of or the this to use with without you 0 2 3 4 work".split())
-LOOKED_UP = 12
 #: Share of the weight of a template's index words that its best relative position must gather.
 SHARE = 0.6
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -85,14 +83,10 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = row.select("row", F.regexp_count(common.lower_az(text), F.lit(WORDS)).cast("long").alias("n_words"), F.when(may_match(text), words_of(text)).otherwise(none).alias("words"))
     df = df.withColumns({f"at{k}": phrase_at("words", phrase) for k, (phrase, _) in enumerate(BASE)})
     weight = F.create_map(*(F.lit(x) for w in INDEXED for x in (w, idf[w])))
-    hits = F.transform("words", lambda w, i: F.struct((-F.try_element_at(weight, w)).alias("weight"), i.alias("at"), w.alias("word")))
-    df = df.withColumn("hits", F.sort_array(F.filter(hits, lambda h: h["weight"].isNotNull())))
-    # The rarest words, and all their places.
-    rare = F.slice(F.array_distinct(F.transform("hits", lambda h: h["word"])), 1, LOOKED_UP)
-    df = df.withColumn("rare", rare)
-    df = df.withColumn("hits", F.filter("hits", lambda h: F.array_contains("rare", h["word"])))
+    hits = F.transform("words", lambda w, i: F.struct(F.try_element_at(weight, w).alias("weight"), i.alias("at"), w.alias("word")))
+    df = df.withColumn("hits", F.filter(hits, lambda h: h["weight"].isNotNull()))
     posting = F.create_map(*(x for w in INDEXED for x in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for v, k, i in POSTINGS if v == w)))))
-    vote = lambda h: F.transform(posting[h["word"]], lambda p: F.struct(p["k"].alias("k"), (h["at"] - p["i"]).alias("offset"), (-h["weight"]).alias("weight")))
+    vote = lambda h: F.transform(posting[h["word"]], lambda p: F.struct(p["k"].alias("k"), (h["at"] - p["i"]).alias("offset"), h["weight"].alias("weight")))
     df = df.withColumn("votes", F.flatten(F.transform("hits", vote)))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     df = df.withColumn("joined", F.when(F.size("votes") > 0, joined).otherwise(F.lit("")))

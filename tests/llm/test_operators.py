@@ -351,6 +351,13 @@ def test_license_scan(docs, clashing, none, spark):
     assert license_scan.scanned(none).count() == 0
 
 
+def test_license_scan_finds_each_of_several_notices(spark):
+    notices = [n for _, n, _ in license_scan.TEMPLATES]
+    texts = [(1, f"{notices[0]}. {notices[5]}."), (2, " x ".join(notices)), (3, "software files attribution creative mozilla conditions met " * 40 + notices[5])]
+    got = {r.row.doc_id: r.labels for r in license_scan.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1] == ["bsd", "mit"] and got[2] == sorted(x for x, _, _ in license_scan.TEMPLATES) and got[3] == ["bsd"]
+
+
 @pytest.mark.parametrize("window_tokens", [1 << 20, 4096])
 def test_packing(docs, none, window_tokens):
     from tokenizers import Tokenizer
