@@ -2,8 +2,9 @@
 
 The channel model says what a writer may have done to a word: leetspeak for letters, separators or
 spaces between them, and repetition. A Viterbi search through the lattice of readings, under a
-character trigram model counted over all documents, restores each suspicious token; a token of plain
-letters has one reading and is taken as it is. Restored texts are scored by evidence weights of words
+character trigram model counted over all documents, restores each suspicious token, of any length; a
+token of plain letters none of which is doubled has one reading and is taken as it is. A run of spaced
+single characters is read as one word and also, with word breaks in the lattice, as several. Restored texts are scored by evidence weights of words
 and word beginnings, learned from labelled rows, and a logistic curve over a text's evidence.
 
 At most SAMPLE labelled rows are used for learning, chosen by hash of doc_id: three quarters for the
@@ -46,6 +47,7 @@ SEPARATORS = set(".-_*'~^/\\,:;")
 READ, SEPARATED, REPEATED = -0.3, -0.3, -0.2
 EDGES = re.compile(r"^[^\w@$!|(€]+|(?:!+|\${3,}|[^\w@$!|+(€])+$")
 CLEAN = re.compile(f"[{LETTERS}]+")
+DOUBLE = re.compile(r"(.)\1")
 TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -92,8 +94,9 @@ class Restorer:
         self.code = {x: i + 1 for i, x in enumerate(LETTERS)}
         self.cache: dict[str, tuple[str, ...]] = {}
 
-    def readings(self, token: str) -> list[list[tuple[str, float]]]:
-        lattice, run = [], 0
+    def readings(self, token: str, pairs: bool) -> Iterator[list[tuple[str, float]]]:
+        """Of each character; with `pairs`, a doubled one may be one letter too."""
+        run = 0
         for i, x in enumerate(token):
             run = run + 1 if i and token[i - 1] == x else 1
             some: list[tuple[str, float]] = []
@@ -102,41 +105,57 @@ class Restorer:
             some += [(y, READ) for y in LEET.get(x, "")]
             if x in SEPARATORS or not some:
                 some.append(("", SEPARATED))
-            if run > 1 and (run > 2 or token[i + 1 : i + 2] == x):
+            if run > 1 and (pairs or run > 2 or token[i + 1 : i + 2] == x):
                 some.append(("", REPEATED))
                 some = [(y, c + REPEATED if y and run > 2 else c) for y, c in some]
-            lattice.append(some)
-        return lattice
+            yield some
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading: Viterbi over the last two letters."""
+    def decode(self, token: str, pairs: bool = False, breaks: bool = False) -> str:
+        """The likeliest reading: Viterbi over the last two letters, with links back; with `breaks`, of several words."""
         code, model = self.code, self.model
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for some in self.readings(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for some in self.readings(token, pairs):
+            if breaks:
+                for (a, b), (p, done) in list(states.items()):
+                    q = p + float(model[a, b, 0])
+                    if b and ((b, 0) not in states or states[b, 0][0] < q):
+                        states[b, 0] = (q, (done, " "))
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, done) in states.items():
                 for x, cost in some:
                     if x:
                         k = code[x]
-                        key, q, s = (b, k), p + cost + float(model[a, b, k]), done + x
+                        key, q = (b, k), p + cost + float(model[a, b, k])
                     else:
-                        key, q, s = (a, b), p + cost - 0.6, done
+                        key, q = (a, b), p + cost - 0.6
                     if key not in after or after[key][0] < q:
-                        after[key] = (q, s)
+                        after[key] = (q, (done, x) if x else done)
             states = after
-        return max((p + float(model[a, b, 0]), s) for (a, b), (p, s) in states.items())[1]
+        at = max(((p + float(model[a, b, 0]), at) for (a, b), (p, at) in states.items()), key=lambda s: s[0])[1]
+        letters = []
+        while at:
+            at, x = at
+            letters.append(x)
+        return "".join(reversed(letters))
 
     def token(self, token: str) -> tuple[str, ...]:
+        """Readings of a token, or of a run of characters with spaces between them."""
         found = self.cache.get(token)
         if found is not None:
             return found
-        core = EDGES.sub("", token)
-        if CLEAN.fullmatch(core) and not TRIPLE.search(core):
-            out = (core,)
-        elif len(core) > 40 or not any(x in self.code for x in core):
-            out = tuple(CLEAN.findall(core))
+        if " " in token:
+            glued = token.replace(" ", "")
+            out = tuple({*self.token(glued), *(w for pairs in {False, DOUBLE.search(glued) is not None} for w in self.decode(glued, pairs, breaks=True).split())})
         else:
-            out = tuple({*CLEAN.findall(core), *([d] if (d := self.decode(core)) else [])})
+            core = EDGES.sub("", token)
+            double = DOUBLE.search(core) is not None
+            words = {*CLEAN.findall(core)}
+            if not CLEAN.fullmatch(core) or TRIPLE.search(core):
+                if any(x in self.code or x in LEET for x in core):
+                    words.add(self.decode(core))
+            if double and any(x in self.code or x in LEET for x in core):
+                words.add(self.decode(core, pairs=True))
+            out = tuple(words - {""})
         if len(self.cache) > CACHE:
             self.cache.clear()
         if len(token) <= 64:
@@ -144,7 +163,7 @@ class Restorer:
         return out
 
     def tokens(self, text: str) -> list[str]:
-        """Tokens; runs of three or more single characters (spaced-out words) also as one."""
+        """Tokens; runs of three or more single characters (spaced-out words) also as one, its spaces kept."""
         tokens = text.lower().split()
         if sum(map((1).__eq__, map(len, tokens))) < 3:
             return tokens
@@ -154,7 +173,7 @@ class Restorer:
                 run.append(t)
                 continue
             if len(run) >= 3:
-                joined.append("".join(run))
+                joined.append(" ".join(run))
             run = []
         return tokens + joined
 

@@ -167,6 +167,19 @@ def test_restoring():
     assert "idiot" in [w for t in restore.tokens("you i d i o t there") for w in restore.token(t)]
 
 
+def test_restoring_long_doubled_symbolic_and_spaced_words():
+    counts = np.zeros(toxicity.ALPHABET**3)
+    for w in ["idiot", "moron", "ass", "hello", "letter"] * 50 + ["a"] * 50:
+        c = np.concatenate([[0, 0], toxicity.codes(w), [0, 0]])
+        np.add.at(counts, (c[:-2] * toxicity.ALPHABET + c[1:-1]) * toxicity.ALPHABET + c[2:], 1)
+    restore = toxicity.Restorer(toxicity.character_model(counts))
+    for written, meant in {"".join(x * 30 for x in "idiot"): "idiot", "-._*~".join("idiot") + "-" * 60 + "s": "idiots", "455": "ass", "iiddiioott": "idiot", "letter": "letter"}.items():
+        assert meant in restore.token(written), written
+    for written, meant in {"a i d i o t": {"a", "idiot"}, "i d i o t m o r o n": {"idiot", "moron"}, "1 d 1 0 t m 0 r 0 n": {"idiot", "moron"}}.items():
+        assert meant <= {w for t in restore.tokens(written) for w in restore.token(t)}, written
+    assert restore.token("x" + "2" * 3000) and not restore.token("\u68a6" * 50)
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(2)
     bad = ["idiot", "stupid", "loser"]
