@@ -7,10 +7,13 @@ or not; the main blocks' texts, in page order, are the result.
 
 The labeller is trained on the driver on SAMPLE pages of the input, chosen by hash, whose elements say
 what they are (semantic tags and telling class names are the teacher), and on LAYOUTS pages laid out
-anew at random from the sample's own texts, whose labels are known. Nothing else is gathered.
+anew at random from the sample's own texts, whose labels are known. Sample pages are whole; batches
+hold pages of similar length. Nothing else is gathered.
 
 Defined results: null, empty and textless html gives an empty text; unclosed and stray tags are
-tolerated; repeated rows are each extracted; an empty table gives no rows.
+tolerated: an open head ends at the first element or text that belongs to the body, and an unclosed
+element whose content is skipped ends at its tag, but for script and style, which take the rest as in
+HTML; repeated rows are each extracted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from callscope.llm import common
 
-SAMPLE, LAYOUTS, TRAIN_BLOCKS = 150, 650, 40
+SAMPLE, LAYOUTS = 150, 650
 PATH_BINS, WORD_BINS, SHAPE, HIDDEN = 192, 16, 6, 24
 INPUT = PATH_BINS + WORD_BINS + SHAPE
 EPOCHS, BATCH, RATE = 24, 100, 0.01
@@ -39,6 +42,8 @@ BLOCKS_AT_ONCE = 8192
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe svg title object".split())
+#: Tags that stay within an open head.
+HEAD = set("head html base link meta title style script noscript template".split())
 #: What the teacher knows: tags, and words of class names and ids.
 MAIN_TAGS, OTHER_TAGS = {"article", "main"}, set("nav header footer aside form button select dialog menu".split())
 OTHER_WORDS = set(
@@ -64,12 +69,20 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = links = 0
+    unclosed: set[str] = set()
+
+    def close_head() -> None:
+        for k, (t, _) in enumerate(stack):
+            if t == "head":
+                del stack[k:]
+                break
 
     def flush() -> None:
         nonlocal linked
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
+            close_head()
             out.append(Block(text, tuple(stack), linked))
         linked = 0
 
@@ -98,8 +111,10 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None:
+                unclosed.add(tag)
+            at = end.end() if end else n if tag in ("script", "style") else at
             if tag not in ("svg", "noscript"):
                 flush()
             continue
@@ -109,6 +124,8 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         flush()
+        if tag not in HEAD:
+            close_head()
         links = 0
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -117,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
         names = " ".join(x for t in ATTRIBUTE.findall(m[3]) for x in t) if m[3] else ""
         stack.append((tag, tuple(NAME_WORDS.findall(names.lower()))))
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b.path)]
+    return out
 
 
 def binned(word: str, bins: int) -> int:
@@ -147,7 +164,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT), np.float32)
     for i, b in enumerate(blocks):
         x[i, :PATH_BINS] = path_vector(b.path)
-        words = b.text.split(" ", 40)[:40]
+        words = b.text.split(" ")
         for w in words:
             x[i, PATH_BINS + binned(w, WORD_BINS)] += 1 / len(words)
         n = len(b.text)
@@ -224,11 +241,10 @@ class Labeller:
         r, step = np.random.default_rng(4), 0
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         for epoch in range(EPOCHS):
-            order = r.permutation(len(pages))
-            for at in range(0, len(order), BATCH):
-                x, mask = padded([pages[k][0] for k in order[at : at + BATCH]])
+            for some in batches([len(p[0]) for p in pages], r):
+                x, mask = padded([pages[k][0] for k in some])
                 y = np.zeros(mask.shape, np.float32)
-                for row, k in enumerate(order[at : at + BATCH]):
+                for row, k in enumerate(some):
                     y[row, : len(pages[k][1])] = pages[k][1]
                 step += 1
                 rate = RATE * (1 - epoch / EPOCHS)
@@ -239,6 +255,16 @@ class Labeller:
                     self.w[k] = (self.w[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
 
+def batches(sizes: list[int], r: np.random.Generator) -> list[list[int]]:
+    """Places of `sizes`, those of similar size together, in random order: BATCH at most, padded to BLOCKS_AT_ONCE at most."""
+    out: list[list[int]] = [[]]
+    for k in sorted(r.permutation(len(sizes)), key=lambda k: sizes[k]):
+        if len(out[-1]) == BATCH or (out[-1] and sizes[k] * (len(out[-1]) + 1) > BLOCKS_AT_ONCE):
+            out.append([])
+        out[-1].append(int(k))
+    return [out[k] for k in r.permutation(len(out)) if out[k]]
+
+
 def padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(1, max(map(len, xs)))
     x, mask = np.zeros((len(xs), t, INPUT), np.float32), np.zeros((len(xs), t), np.float32)
@@ -309,7 +335,7 @@ def laid_out(texts: list[str], r: random.Random) -> tuple[list[Block], list[floa
 def trained(sample: list[str]) -> dict[str, np.ndarray]:
     """Weights learned from the sample pages and layouts made of their texts."""
     r = random.Random(5)
-    pages = [blocks_of(p)[:TRAIN_BLOCKS] for p in sample]
+    pages = [blocks_of(p) for p in sample]
     texts = [b.text[:400] for p in pages for b in p if len(b.text) > 3] or ["text"]
     data = [(vectors(p), np.array([taught(b) for b in p], np.float32)) for p in pages if p]
     for _ in range(LAYOUTS):

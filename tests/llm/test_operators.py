@@ -313,6 +313,30 @@ def test_blocks_and_labels():
     assert [html_extract.taught(b) for b in blocks] == [0, 1, 1, 1, 0]
 
 
+def test_blocks_of_pages_with_open_head_or_raw_elements():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><body><p>one<p>two") == ["one", "two"]
+    assert texts("<head><title>t</title><script>x</script><div>one</div>two") == ["one", "two"]
+    assert texts("<head><title>t</title>one <b>two</b>") == ["one two"]
+    for tag in ("svg", "object", "textarea", "template", "noscript"):
+        assert texts(f"<body><p>one</p><{tag} a=b><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"], tag
+        assert texts(f"<body><p>one</p><{tag}>skipped</{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"], tag
+    assert texts("<body><p>one</p><script>var x = '<p>no</p>'") == ["one"]
+
+
+def test_whole_blocks_and_pages_are_learned(monkeypatch):
+    a, b = (html_extract.vectors([html_extract.Block("word " * 60 + w, (), 0)]) for w in ("alpha", "gamma"))
+    assert (a != b).any()
+    seen = []
+    monkeypatch.setattr(html_extract.Labeller, "fit", lambda self, pages: seen.extend(len(x) for x, _ in pages))
+    html_extract.trained(["<body><main>" + "<p>some text</p>" * 150 + "</main>"])
+    assert seen[0] == 150
+    sizes = [3, 9000, 5, *[40] * 450, 20000]
+    some = html_extract.batches(sizes, np.random.default_rng(1))
+    assert sorted(k for x in some for k in x) == list(range(len(sizes)))
+    assert all(len(x) <= html_extract.BATCH and (len(x) == 1 or max(sizes[k] for k in x) * len(x) <= html_extract.BLOCKS_AT_ONCE) for x in some)
+
+
 def test_gradients():
     r = np.random.default_rng(2)
     model = html_extract.Labeller()
