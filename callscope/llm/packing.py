@@ -14,7 +14,7 @@ Within a window, whole sequences of one document come first, then the rest end t
 sequence is full: only a window's last sequence is padded. Windows hold about WINDOW_TOKENS, whatever
 the input, so memory is bounded; sequence_id is window * 2^20 + place.
 
-Defined results: null and empty texts are the end token alone; a null source is a source of its own;
+Defined results: null and empty texts are the end token alone; special strings in a text get their own ids; a null source is a source of its own;
 repeated rows are each packed; an empty table gives no rows.
 """
 
@@ -46,8 +46,8 @@ PACKED = "doc_id long, source string, start long, length long, ids_crc32 long, d
 LONGEST = 100_000
 
 
-def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """The tokenizer's pieces as bytes with their ids, if it is byte-level and its merges are done in the order of ids."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The tokenizer's pieces as bytes with their ids, and its special strings, if it is byte-level, its merges are done in the order of ids and nothing but special strings is added."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = spec["pre_tokenizer"] or {}
@@ -61,25 +61,28 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
     if any(a >= b for a, b in zip(merges, merges[1:])):
         return None
-    special = {t["content"] for t in spec["added_tokens"]}
-    return {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(not t["special"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        return None
+    return {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if piece not in special}, special
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer gives them.
 
     Where its pieces are byte-level and ranked by id, a faster library merges by the same ranks over the same
-    pre-tokens; texts with extremely long runs of spaces, and other tokenizers, are encoded by the tokenizer itself.
+    pre-tokens; texts with extremely long runs of spaces, and other tokenizers, are encoded by the tokenizer itself. With `special`, special strings in a text get their ids, as the tokenizer
+does by default; without, they are plain text.
     """
 
-    def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+    def __init__(self, path: str, special: bool = False):
+        self.path, self.special, self.tokenizer = path, special, None
         self.long = re.compile(r"\s{%d}" % LONGEST)
         self.fast = None
-        if ranks := byte_ranks(path):
+        if found := byte_ranks(path):
             import tiktoken
 
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found[0], special_tokens=found[1] if special else {})
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or (len(text) > LONGEST and self.long.search(text)):
@@ -87,9 +90,9 @@ class Encoder:
                 from tokenizers import Tokenizer
 
                 self.tokenizer = Tokenizer.from_file(self.path)
-                self.tokenizer.encode_special_tokens = True
+                self.tokenizer.encode_special_tokens = not self.special
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        return np.array(self.fast.encode(text, allowed_special="all", disallowed_special=()) if self.special else self.fast.encode_ordinary(text), np.uint32)
 
 
 def narrow(ids: np.ndarray) -> bytes:
@@ -99,7 +102,7 @@ def narrow(ids: np.ndarray) -> bytes:
 
 def tokenizer_of(path: str, end_id: int) -> Callable:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = common.per_process(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId()
+        encode, task = common.per_process(("encoder", path), lambda: Encoder(path, special=True)), TaskContext.get().partitionId()
         ends: dict[str | None, int] = defaultdict(int)
         names = [x.split()[0] for x in PIECES.split(", ")]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.binary()]

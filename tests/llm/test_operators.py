@@ -446,6 +446,20 @@ def test_encoder():
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_special_strings_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t, encode, r = Tokenizer.from_file(path), packing.Encoder(path, special=True), random.Random(2)
+    parts = ["a", "th", "é", " ", "  ", "\n", "<|endoftext|>", "<|endof", "text|>", "1", " the", "\xa0"]
+    for x in ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2000)] + [" " * (packing.LONGEST + 1) + "<|endoftext|>"]:
+        assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids, repr(x)
+    text = "one<|endoftext|> two <|endoftext|>"
+    ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+    got = packing.pack(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert ids.count(50256) == 2 and (got.doc_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_queries_register():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
     assert hashlib.sha256(b"").hexdigest()
