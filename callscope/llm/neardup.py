@@ -1,25 +1,36 @@
 """MinHash near-duplicates through a multi-index Hamming join.
 
 A document's set is its distinct word 5-shingles. One pass over the texts gives each set an exact
-digest and a MinHash signature of 132 symbols of 8 bits. The first 72 are cut into 12 chunks of 6
-symbols. By the pigeonhole principle, two signatures that differ in at most 23 of them agree in some
-chunk but for one symbol at most, so each chunk is indexed under its 6 one-symbol-wildcard forms:
-every pair within that distance meets under some key. Candidates that differ in over MAX_DISTANCE of
-all symbols are far below the threshold and go; the rest are confirmed on full sets. A pair of
-similarity 0.75 misses all 12 chunks with probability 1e-4 (0.8: 3e-6).
-
-Groups are never expanded into pairs: equal sets are one class, each key first links its members to
-its smallest class only, and pairs are listed only where, after those links, a key still holds
-several components.
+digest, a MinHash signature of 72 symbols of 8 bits and a sketch of 1024 bits. The signature-distance
+threshold is RADIUS: the signature is cut into 12 chunks of 6 symbols, and by the pigeonhole principle
+two signatures that differ in at most RADIUS = 2 * 12 - 1 symbols differ in one symbol at most in some
+chunk. So each chunk is indexed under its 6 one-symbol-wildcard forms, and every pair under the
+threshold meets under some key; pairs beyond it that meet nevertheless are kept as well. At similarity
+0.75 signatures differ in 18 symbols on average, and a pair misses all 12 chunks with probability 1e-4
+(0.8: 3e-6).
+
+The sketch holds, for each of 1024 slots of hash values, the parity of where the slot's least shingle
+falls; two sketches differ in about as many bits as there are shingles in one set only. A pair that
+differs in more than similarity `percent` explains, by DEVIATIONS standard deviations, goes; every
+other pair is confirmed on full sets.
+
+Groups are never expanded into pairs. Equal sets are one class. Then, in rounds, each key that holds
+several components links its members to one hub, another one each round, as long as a quarter of what
+is tried links. What is left are members that lie apart: those of different components that meet under
+a key are compared by sketch inside the join, each pair under its first common key only, and only pairs
+that the sketch can't refuse become rows.
 
 Defined results: null or wordless text is empty and linked with nothing; fewer than 5 words make one
-shingle; rows that share a doc_id are one node; a row without doc_id takes the component of an equal
-set that has one, else null, and is never kept; an empty table gives no rows.
+shingle; very long texts are taken whole; rows that share a doc_id are one node; a row without doc_id
+takes the component of an equal set that has one, else null, and is never kept; of ties the smallest
+doc_id is kept; other columns, whatever their names, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +42,13 @@ from pyspark.sql import types as T
 from callscope.llm import common
 
 SHINGLE, CHUNKS, CHUNK_SYMBOLS = 5, 12, 6
-#: Chunks of the whole signature; those beyond CHUNKS serve the distance only.
-ALL_CHUNKS = 22
-SYMBOLS = ALL_CHUNKS * CHUNK_SYMBOLS
-#: Pairs whose signatures differ in more symbols aren't confirmed: at similarity 0.75 they number 33 on average, deviation 5.
-MAX_DISTANCE = 54
+SYMBOLS = CHUNKS * CHUNK_SYMBOLS
+#: Pairs whose signatures differ in this many symbols at most are guaranteed to meet.
+RADIUS = 2 * CHUNKS - 1
+#: Bits (and slots) of a sketch, in words of 64 bits, and how far above the mean it may differ.
+BITS, WORDS, DEVIATIONS = 1024, 16, 4.5
+#: Most nodes (of 8 bytes) that are broadcast to pick their texts; beyond it they are shuffled.
+BROADCAST_NODES = 1_000_000
 #: Word hashes that a task keeps, for speed only.
 CACHE_WORDS = 500_000
 MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
@@ -76,23 +89,33 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> list[int]:
-    """The 22 chunks, each of 6 MinHash symbols of 8 bits."""
+    """The 12 chunks, each of 6 MinHash symbols of 8 bits."""
     a, b = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(SYMBOLS, 2**32 - 1, np.uint32)
     for at in range(0, len(a), 4096):
         x = a[at : at + 4096, None] * M32[0] + b[at : at + 4096, None] * M32[1]
         np.minimum(low, x.min(axis=0), out=low)
     low = low * np.uint32(0x9E3779B1)
-    symbols = (low >> np.uint32(24)).astype(np.int64).reshape(ALL_CHUNKS, CHUNK_SYMBOLS)
+    symbols = (low >> np.uint32(24)).astype(np.int64).reshape(CHUNKS, CHUNK_SYMBOLS)
     return (symbols << (8 * np.arange(CHUNK_SYMBOLS, dtype=np.int64))).sum(axis=1).tolist()
 
 
+def sketch(shingles: np.ndarray) -> list[int]:
+    """The parities, as 16 words. shingles: sorted, so that the least of a slot is written last."""
+    least = np.zeros(BITS, np.uint64)
+    least[shingles[::-1] & np.uint64(BITS - 1)] = shingles[::-1]
+    at = (least[least > 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+    odd = (np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 DESCRIBED = T.StructType(
     [
         T.StructField("node", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("chunks", T.ArrayType(T.LongType())),
+        T.StructField("bits", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -100,16 +123,13 @@ DESCRIBED = T.StructType(
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for b in batches:
-        n, digests, chunks = [], [], []
+        rows: list[tuple] = []
         for text in common.binary_texts(b.column(1)):
             s = shingler(text)
-            n.append(len(s))
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            chunks.append(signature(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(chunks, pa.list_(pa.int64()))],
-            names=DESCRIBED.names,
-        )
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s), sketch(s)) if len(s) else (0, None, None, None))
+        longs = pa.list_(pa.int64())
+        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), longs, longs))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=DESCRIBED.names)
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,36 +153,59 @@ def confirmer(percent: int) -> Callable:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Symbols in which two chunks differ."""
+    """One bit for each symbol in which two chunks differ."""
     x = a.bitwiseXOR(b)
     for k in (4, 2, 1):
         x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(0x010101010101)))
+    return x.bitwiseAND(F.lit(0x010101010101))
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """(key, node): each chunk under its wildcard forms, where any one symbol may differ."""
+    """(key, form, node): each chunk under its wildcard forms, where any one symbol may differ; form is chunk * 6 + symbol."""
     masks = [(1 << 48) - 1 - (255 << (8 * k)) for k in range(CHUNK_SYMBOLS)]
-    forms = F.array(*(F.xxhash64(F.lit(k), "at", F.col("chunk").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    return classes.select("node", F.posexplode(F.slice("chunks", 1, CHUNKS)).alias("at", "chunk")).select(F.explode(forms).alias("key"), "node")
+    form = lambda k: (F.col("at") * CHUNK_SYMBOLS + k).cast("int")
+    forms = F.array(*(F.struct(F.xxhash64(F.lit(k), "at", F.col("chunk").bitwiseAND(F.lit(m))).alias("key"), form(k).alias("form")) for k, m in enumerate(masks)))
+    return classes.select("node", F.posexplode("chunks").alias("at", "chunk")).select(F.explode(forms).alias("f"), "node").select("f.key", "f.form", "node")
+
+
+def most_differing(total: Column, percent: int) -> Column:
+    """Bits in which the sketches of two sets of similarity `percent` or more may differ; total: the sum of their sizes."""
+    j = percent / 100
+    union = total / F.lit(1 + j)
+    # Slots in use, those whose least shingles differ, and the shingles that these bring: two where both sets use the slot.
+    used = BITS * (1 - F.exp(-union / BITS))
+    both = 2 - F.exp(-union * ((1 + j) / 2 / BITS))
+    apart = used * both * (1 - j)
+    fade = F.exp(-apart * (4 / BITS))
+    spread = F.greatest(BITS / 4 * (1 - fade) - apart * fade, F.lit(0.0)) + both * both * used * F.greatest(1 - used / union, F.lit(0.0)) * (j * (1 - j)) * fade
+    return BITS / 2 * (1 - F.sqrt(fade)) + DEVIATIONS * F.sqrt(spread) + 2
 
 
 def close(percent: int) -> Column:
-    """Whether two sets may be near, by sizes (nx, ny) and signatures (xc, yc)."""
-    apart = sum((differing(F.col("xc")[k], F.col("yc")[k]) for k in range(1, ALL_CHUNKS)), differing(F.col("xc")[0], F.col("yc")[0]))
-    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (apart <= MAX_DISTANCE)
+    """Whether two sets may be near, by sizes (nx, ny) and sketches (xb, yb)."""
+    apart = sum((F.bit_count(F.col("xb")[k].bitwiseXOR(F.col("yb")[k])) for k in range(1, WORDS)), F.bit_count(F.col("xb")[0].bitwiseXOR(F.col("yb")[0])))
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (apart <= most_differing(F.col("nx") + F.col("ny"), percent))
+
+
+def first_meeting(form: Column, x: Column, y: Column) -> Column:
+    """Whether `form` is the first under which the chunks x and y meet."""
+    at = F.floor(form / CHUNK_SYMBOLS).cast("int")
+    alike = lambda k: F.bit_count(differing(x[k], y[k])) < 2
+    earlier = [(at <= k) | ~alike(k) for k in range(CHUNKS - 1)]
+    return reduce(lambda a, b: a & b, earlier, (x[at] != y[at]) | (form % CHUNK_SYMBOLS == 0))
 
 
 def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that may be near."""
-    signatures = classes.select("node", "n", "chunks")
-    both = pairs.join(signatures.toDF("x", "nx", "xc"), "x").join(signatures.toDF("y", "ny", "yc"), "y")
-    return both.where(close(percent)).select("x", "y").distinct()
+    sketches = classes.select("node", "n", "bits")
+    both = pairs.join(sketches.toDF("x", "nx", "xb"), "x").join(sketches.toDF("y", "ny", "yb"), "y")
+    return both.where(close(percent)).select("x", "y")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs linked on full sets, which are computed for the documents in question only."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wanted = common.materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     sets = common.materialize(docs.join(wanted, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles binary"))
     both = pairs.join(sets.toDF("x", "x_set"), "x").join(sets.toDF("y", "y_set"), "y")
     return both.mapInArrow(confirmer(percent), "x long, y long").distinct()
@@ -185,33 +228,48 @@ def components(links: DataFrame) -> DataFrame:
         edges = common.materialize(small.where("u <> v").distinct())
 
 
+def in_open_keys(members: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
+    """The members of keys that hold several components, with their component c and the key's hub of this turn."""
+    c = F.col("node") if parts is None else F.coalesce("component", "node")
+    placed = (members if parts is None else members.join(parts, "node", "left")).select("key", "form", "node", c.alias("c"))
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))).alias("h")
+    spread = placed.groupBy("key").agg(hub, F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key", "h.hub", "h.hub_c")
+    return placed.join(spread, "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     rows = common.materialize(texts.mapInArrow(described, DESCRIBED))
-    classes = common.materialize(
-        rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("chunks").alias("chunks"))
-    )
+    firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("chunks", "chunks"), ("bits", "bits"))]
+    classes = common.materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), *firsts))
+    # Of rows that share a doc_id, one stands for the node in the index; their classes are linked here.
     named = classes.where("node is not null")
-    hubs = keys(named).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    members = common.materialize(keys(named).join(hubs, "key"))
-    stars = common.materialize(near(members.where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), named, percent))
-    links = common.materialize(confirm(stars, texts, percent))
-    # Rows that share a doc_id are one node: equal sets are joined by their smallest doc_id already.
     same = rows.where("digest is not null").join(named.select("digest", F.col("node").alias("x")), "digest")
-    links = links.union(same.where("node <> x").select("x", F.col("node").alias("y")))
-    parts = common.materialize(components(links))
-    # Keys that still hold several components: the near pairs across components, but for those tried.
-    # Distances are taken inside the join, so that only near pairs ever become rows.
-    placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
-    placed = common.materialize(placed.join(open_keys, "key").join(named.select("node", "n", "chunks"), "node").select("key", "node", "c", "n", "chunks"))
-    left, right = placed.toDF("k", "x", "cx", "nx", "xc"), placed.toDF("key", "y", "cy", "ny", "yc")
-    crossing = left.join(right, (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent))
-    crossing = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = common.materialize(crossing.join(stars, ["x", "y"], "left_anti"))
+    links = same.where("node <> x").select("x", F.col("node").alias("y")).distinct()
+    shared = keys(named).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    members = common.materialize(keys(named).join(shared, "key"))
+    parts, tried = None, None
+    for turn in itertools.count():
+        placed = common.materialize(in_open_keys(members, parts, turn))
+        pairs = placed.where("c <> hub_c").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+        stars = near(pairs, named, percent).distinct()
+        stars = common.materialize(stars if tried is None else stars.join(tried, ["x", "y"], "left_anti"))
+        found = common.materialize(confirm(stars, texts, percent))
+        links = links.union(found)
+        parts = common.materialize(components(links if parts is None else parts.toDF("x", "y").union(found)))
+        tried = stars if tried is None else tried.union(stars)
+        members = placed.select("key", "form", "node")
+        if 4 * found.count() <= stars.count():
+            break
+    placed = in_open_keys(members, parts, 0).select("key", "form", "node", "c")
+    placed = common.materialize(placed.join(named.select("node", "n", "chunks", "bits"), "node").select("key", "form", "node", "c", "n", "chunks", "bits"))
+    left, right = placed.toDF("k", "form", "x", "cx", "nx", "xc", "xb"), placed.drop("form").toDF("key", "y", "cy", "ny", "yc", "yb")
+    meet = (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent) & first_meeting(F.col("form"), F.col("xc"), F.col("yc"))
+    crossing = left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest = common.materialize(crossing.distinct().join(tried, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
-        parts = components(links.union(common.materialize(confirm(rest, texts, percent))))
+        parts = components(parts.toDF("x", "y").union(common.materialize(confirm(rest, texts, percent))))
     found = rows.select("node", "n_shingles", "digest").join(named.select("digest", F.col("node").alias("rep")), "digest", "left")
     found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("digest").isNull(), F.col("node")).otherwise(F.coalesce("component", "rep"))

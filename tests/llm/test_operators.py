@@ -145,6 +145,42 @@ def test_signature_index():
         assert (differ <= 1).any()
 
 
+def test_sketches_refuse_no_near_pair(spark):
+    """Pairs of similarity just over 0.75 pass at every size; of 0.6 few do, but for tiny and very large sets."""
+    r = np.random.default_rng(7)
+    made = []
+    for n in (8, 40, 150, 600, 2500, 12000):
+        for k in range(300 if n < 2500 else 60):
+            for at in (0.75, 0.6):
+                apart = int((1 - at) * n)
+                whole = r.integers(1, 2**63, n, dtype=np.uint64)
+                cut = int(r.integers(0, apart + 1))
+                x, y = np.sort(whole[cut:]), np.sort(np.concatenate([whole[:cut], whole[apart:]]))
+                made.append((n, at, len(x), len(y), neardup.sketch(x), neardup.sketch(y)))
+    df = spark.createDataFrame(made, "n int, at double, nx long, ny long, xb array<long>, yb array<long>")
+    got = {(x.n, x.at): x.share for x in df.groupBy("n", "at").agg(F.avg(neardup.close(75).cast("double")).alias("share")).collect()}
+    assert all(v == 1 for (_, at), v in got.items() if at == 0.75), got
+    assert all(got[n, 0.6] < 0.1 for n in (40, 150, 600)), got
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """A group whose smallest member is far from most, members that lie apart, and a passage that all share."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    edited = lambda n: " ".join(w if k not in at else w + str(r.random()) for at in [set(r.sample(range(120), n))] for k, w in enumerate(base))
+    texts = [edited(6)] + [edited(r.choice([0, 1, 1, 2, 2, 3, 4, 5])) for _ in range(150)]
+    texts += [" ".join(base[:70]) + " " + " ".join(f"z{i}x{k}" for k in range(45)) for i in range(60)]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()} == dict(enumerate(parent))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(r.randint(300, 400), r.randint(300, 400)) for _ in range(60)]
