@@ -195,46 +195,43 @@ def first_meeting(form: Column, x: Column, y: Column) -> Column:
     return reduce(lambda a, b: a & b, earlier, (x[at] != y[at]) | (form % CHUNK_SYMBOLS == 0))
 
 
-def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that may be near."""
-    sketches = classes.select("node", "n", "bits")
-    both = pairs.join(sketches.toDF("x", "nx", "xb"), "x").join(sketches.toDF("y", "ny", "yb"), "y")
-    return both.where(close(percent)).select("x", "y")
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs linked on full sets, which are computed for the documents in question only."""
     wanted = common.materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     sets = common.materialize(docs.join(wanted, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles binary"))
     both = pairs.join(sets.toDF("x", "x_set"), "x").join(sets.toDF("y", "y_set"), "y")
-    return both.mapInArrow(confirmer(percent), "x long, y long").distinct()
+    return both.mapInArrow(confirmer(percent), "x long, y long")
+
 
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node that each other node can reach, by alternating large and small stars; the smallest have no row.
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each other node can reach, by alternating large and small stars; the smallest have no row."""
+    After `rounds` rounds, if given, components may still be parted.
+    """
     edges = common.materialize(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     before = None
-    while True:
-        n = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n == before:
+    for k in itertools.count():
+        n = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() if rounds is None else None
+        if k == rounds or (rounds is None and n == before):
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = n
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         edges = common.materialize(small.where("u <> v").distinct())
 
 
-def in_open_keys(members: DataFrame, parts: DataFrame | None, turn: int) -> DataFrame:
-    """The members of keys that hold several components, with their component c and the key's hub of this turn."""
+def placed_in_open_keys(members: DataFrame, nodes: DataFrame, parts: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The members, with component c and what `nodes` has of them, and the keys that hold several components, with their hub of this turn."""
     c = F.col("node") if parts is None else F.coalesce("component", "node")
-    placed = (members if parts is None else members.join(parts, "node", "left")).select("key", "form", "node", c.alias("c"))
+    known = (nodes if parts is None else nodes.join(parts, "node", "left")).withColumn("c", c).select(*nodes.columns, "c")
+    placed = common.materialize(members.select("key", "form", "node").join(known, "node"))
     hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))).alias("h")
-    spread = placed.groupBy("key").agg(hub, F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key", "h.hub", "h.hub_c")
-    return placed.join(spread, "key")
+    spread = placed.groupBy("key").agg(hub, F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    return placed, spread.select(F.col("key").alias("k"), "h.hub", "h.hub_c")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -243,33 +240,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = common.materialize(texts.mapInArrow(described, DESCRIBED))
     firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("chunks", "chunks"), ("bits", "bits"))]
     classes = common.materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), *firsts))
-    # Of rows that share a doc_id, one stands for the node in the index; their classes are linked here.
+    # A doc_id that several rows share is one node: its classes are linked here.
     named = classes.where("node is not null")
     same = rows.where("digest is not null").join(named.select("digest", F.col("node").alias("x")), "digest")
-    links = same.where("node <> x").select("x", F.col("node").alias("y")).distinct()
+    same = common.materialize(same.where("node <> x").select("x", F.col("node").alias("y")).distinct())
     shared = keys(named).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     members = common.materialize(keys(named).join(shared, "key"))
-    parts, tried = None, None
+    parts = None
     for turn in itertools.count():
-        placed = common.materialize(in_open_keys(members, parts, turn))
-        pairs = placed.where("c <> hub_c").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
-        stars = near(pairs, named, percent).distinct()
-        stars = common.materialize(stars if tried is None else stars.join(tried, ["x", "y"], "left_anti"))
+        placed, spread = placed_in_open_keys(members, named.select("node", "n", "bits"), parts, turn)
+        spread = spread.join(named.select(F.col("node").alias("hub"), F.col("n").alias("ny"), F.col("bits").alias("yb")), "hub")
+        left = placed.withColumnsRenamed({"n": "nx", "bits": "xb"})
+        stars = left.join(spread, (F.col("key") == F.col("k")) & (F.col("c") != F.col("hub_c")) & close(percent))
+        stars = common.materialize(stars.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
         found = common.materialize(confirm(stars, texts, percent))
-        links = links.union(found)
-        parts = common.materialize(components(links if parts is None else parts.toDF("x", "y").union(found)))
-        tried = stars if tried is None else tried.union(stars)
-        members = placed.select("key", "form", "node")
+        parts = common.materialize(components((same if parts is None else parts.toDF("x", "y")).union(found), rounds=2))
         if 4 * found.count() <= stars.count():
             break
-    placed = in_open_keys(members, parts, 0).select("key", "form", "node", "c")
-    placed = common.materialize(placed.join(named.select("node", "n", "chunks", "bits"), "node").select("key", "form", "node", "c", "n", "chunks", "bits"))
+    placed, spread = placed_in_open_keys(members, named.select("node", "n", "chunks", "bits"), parts, 0)
+    placed = placed.join(spread.select(F.col("k").alias("key")), "key", "left_semi").select("key", "form", "node", "c", "n", "chunks", "bits")
     left, right = placed.toDF("k", "form", "x", "cx", "nx", "xc", "xb"), placed.drop("form").toDF("key", "y", "cy", "ny", "yc", "yb")
     meet = (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent) & first_meeting(F.col("form"), F.col("xc"), F.col("yc"))
-    crossing = left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = common.materialize(crossing.distinct().join(tried, ["x", "y"], "left_anti"))
-    if not rest.isEmpty():
-        parts = components(parts.toDF("x", "y").union(common.materialize(confirm(rest, texts, percent))))
+    crossing = common.materialize(left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    parts = components(parts.toDF("x", "y").union(common.materialize(confirm(crossing, texts, percent))))
     found = rows.select("node", "n_shingles", "digest").join(named.select("digest", F.col("node").alias("rep")), "digest", "left")
     found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("digest").isNull(), F.col("node")).otherwise(F.coalesce("component", "rep"))
