@@ -6,7 +6,9 @@ looked up, each occurrence votes for (template, relative position), and a templa
 phrase stands in the text, gives its label. Base phrases give their labels wherever they stand.
 
 Defined results: null and wordless texts have no labels and score 0; first_word and last_word are null
-where no base phrase stands; repeated rows are each scanned; an empty table gives no rows.
+where no base phrase stands; very long texts are scanned whole; of relative positions with equal votes
+either gives the same share; repeated rows are each scanned; other columns, whatever their names, stay
+in `row`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,19 +23,19 @@ from pyspark.sql import functions as F
 from callscope.llm import common
 
 #: Phrase and label.
-BASE = [("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: (label, notice, mandatory key phrase).
+BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+#: (label, notice, mandatory key phrases, of which one must stand in the text).
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license", "attribution noncommercial"),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ["apache license"]),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", [f"creative commons attribution {x}" for x in ("4 0", "3 0", "2 0", "international", "license")]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license", ["attribution noncommercial", "attribution non commercial"]),
+    ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 #: Words too frequent in any text to be looked up.
 COMMON = set("a all and any are for in is may not of or the this to use with without you 0 2 3 4 work".split())
@@ -51,7 +53,7 @@ def words_of(text: Column) -> Column:
 
 def may_match(text: Column) -> Column:
     """False where no phrase and no index word can stand: spares splitting most texts into words."""
-    rare = sorted({w for w in INDEXED} | {p.split()[0] for p, _ in BASE})
+    rare = sorted({w for w in INDEXED} | {max(p.split(), key=len) for p, _ in BASE})
     return common.lower_az(text).rlike("(?<![0-9a-z\\x80-\\x{10FFFF}])(" + "|".join(rare) + ")(?![0-9a-z\\x80-\\x{10FFFF}])")
 
 
@@ -91,7 +93,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     df = df.withColumn("joined", F.when(F.size("votes") > 0, joined).otherwise(F.lit("")))
     shares = {}
-    for k, (_, notice, key) in enumerate(TEMPLATES):
+    for k, (_, notice, phrases) in enumerate(TEMPLATES):
         full = sum(idf[w] for w, j, _ in POSTINGS if j == k)
         mine = F.filter("votes", of_template(k))
         totals = F.aggregate(
@@ -104,7 +106,8 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
             ),
             lambda s: s["best"],
         )
-        shares[f"share{k}"] = F.when(F.contains("joined", F.lit(f" {key} ")), F.least(totals / full, F.lit(1.0))).otherwise(F.lit(0.0))
+        verified = reduce(lambda a, b: a | b, (F.contains("joined", F.lit(f" {p} ")) for p in phrases))
+        shares[f"share{k}"] = F.when(verified, F.least(totals / full, F.lit(1.0))).otherwise(F.lit(0.0))
     df = df.withColumns(shares)
     places = F.array_sort(F.concat(*(F.col(f"at{k}") for k in range(len(BASE)))))
     given = lambda pairs: F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in pairs)))))

@@ -410,15 +410,19 @@ def test_extract(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+#: As the contract has them.
+BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
 def test_license_scan(docs, clashing, none, spark):
-    more = spark.createDataFrame([(100, "The MIT license. x mit license"), (101, "This work is licensed under the GNU General Public License, version 3."), (102, "CC BY-NC and Apache License, Version 2.0"), (103, "general public licence of no kind")], "doc_id long, text string")
+    more = spark.createDataFrame([(100, "Under the MIT license. x mit license; under the MIT License"), (101, "This work is licensed under the GNU General Public License, version 3."), (102, "CC BY-NC and Apache License, Version 2.0"), (103, "general public licence of no kind")], "doc_id long, text string")
     got = {r.row.doc_id: r for r in license_scan.scanned(docs.select("doc_id", "text").unionByName(more)).collect()}
-    assert (got[100].n_base, got[100].first_word, got[100].last_word, got[100].labels) == (2, 1, 4, ["mit"])
+    assert (got[100].n_base, got[100].first_word, got[100].last_word, got[100].labels) == (2, 0, 7, ["mit"])
     assert (got[101].base_labels, got[101].labels, got[101].n_base, got[101].first_word) == ([], ["gpl-3"], 0, None)
     assert got[102].base_labels == ["apache-2", "cc-by-nc"] and got[103].labels == []
     for r in license_scan.scanned(docs).collect():
         w = plain_words(r.row.text)
-        places = sorted(i for p, _ in license_scan.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        places = sorted(i for p in BASE_PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
         assert (r.n_words, r.n_base) == (len(w), len(places)) and 0 <= r.score <= 1
     assert license_scan.scanned(clashing).select("row.*").columns == clashing.columns
     assert license_scan.scanned(none).count() == 0
@@ -428,6 +432,8 @@ def test_license_scan_finds_each_of_several_notices(spark):
     notices = [n for _, n, _ in license_scan.TEMPLATES]
     texts = [(1, f"{notices[0]}. {notices[5]}."), (2, " x ".join(notices)), (3, "software files attribution creative mozilla conditions met " * 40 + notices[5])]
     got = {r.row.doc_id: r.labels for r in license_scan.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    nc = spark.createDataFrame([(1, "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.")], "doc_id long, text string")
+    assert license_scan.scanned(nc).first().labels == ["cc-by-nc"]
     assert got[1] == ["bsd", "mit"] and got[2] == sorted(x for x, _, _ in license_scan.TEMPLATES) and got[3] == ["bsd"]
 
 
@@ -470,6 +476,37 @@ def test_packing_keeps_to_shares(spark):
     assert len(got) >= 4 and all(abs(x.b / (x.a + x.b) - share) < 0.06 for x in got)
 
 
+def test_packing_serves_sources_in_turn(spark):
+    """Every order of service as one queue at a time gives it, every sequence a mixture, windows bounded whatever the sources."""
+    r = random.Random(8)
+    texts = [(i, sentence(r, r.randint(20, 90)), "a" if i % 4 else None) for i in range(600)]
+    shares = {"a": 0.5}
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string, source string").coalesce(1), shares=shares, window_tokens=1 << 30).collect()
+    got.sort(key=lambda x: (x.sequence_id, x.offset))
+    sizes = {x.doc_id: x.doc_tokens for x in got}
+    total = {s: sum(sizes[i] for i, _, k in texts if k == s) for s in ("a", None)}
+    tokens = sum(total.values())
+    phase = {x.s: x.p for x in spark.createDataFrame([("a",), (None,)], "s string").select("s", (F.pmod(F.xxhash64(F.coalesce("s", F.lit("")), F.lit(9)), F.lit(1 << 20)) / (1 << 20)).alias("p")).collect()}
+    share = {"a": 0.5, None: total[None] / tokens}
+    queues, credit, order = {s: [i for i, _, k in texts if k == s] for s in total}, dict.fromkeys(total, 0.0), []
+    while any(queues.values()):
+        s = min((s for s in queues if queues[s]), key=lambda s: (credit[s] + phase[s] * sizes[queues[s][0]]) / share[s])
+        order.append(queues[s].pop(0))
+        credit[s] += sizes[order[-1]]
+    assert list(dict.fromkeys(x.doc_id for x in got)) == order
+    by_sequence = {}
+    for x in got:
+        by_sequence.setdefault(x.sequence_id, Counter())[x.source] += x.length
+    assert sum(len(c) == 2 for c in list(by_sequence.values())[:20]) >= 18
+    many = [(i, sentence(r, 20), f"host{i}") for i in range(2000)]
+    df = packing.pack(spark.createDataFrame(many, "doc_id long, text string, source string").repartition(3), window_tokens=8192)
+    windows = [x.n for x in df.groupBy(F.shiftright("sequence_id", 20)).agg(F.sum("length").alias("n")).collect()]
+    assert len(windows) > 10 and max(windows) < 2 * 8192
+    none = packing.pack(spark.createDataFrame(texts, "doc_id long, text string, source string"), shares={"a": 0}).collect()
+    last = max(x.sequence_id for x in none if x.source is None)
+    assert all(x.sequence_id > last for x in none if x.source == "a") and {x.doc_id for x in none} == set(range(600))
+
+
 def test_encoder():
     from tokenizers import Tokenizer
 

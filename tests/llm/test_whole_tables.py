@@ -8,10 +8,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import plain_words, runs_by_hand, shingles, space_words
+from test_operators import BASE_PHRASES, plain_words, runs_by_hand, shingles, space_words
 
 import corpus_pipeline
-from callscope.llm import common, html_extract, license_scan, line_dedup, packing, token_count
+from callscope.llm import common, html_extract, line_dedup, packing, token_count
 from callscope.llm.queries import ORACLES, QUERIES
 
 
@@ -84,7 +84,7 @@ def test_pages(spark, data, duck):
 def test_licenses(spark, data, texts):
     for i, r in by_id(spark, data, "op9_license_scan").items():
         w = plain_words(texts[i])
-        found = [(k, label) for p, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        found = [(k, label) for p, label in BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         places = [k for k, _ in found]
         assert (r.n_words, r.n_base) == (len(w), len(found)) and r.base_labels == ",".join(sorted({x for _, x in found}))
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None)) and {x for _, x in found} <= set(r.labels.split(","))
