@@ -1,21 +1,27 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of pieces. A window is one round: it grants every source its quantum, the
-window's tokens times the source's target share, and serves the pieces its deficit counter covers;
-what a source can't use is carried into the next window. A piece whose tokens end at place E of its
-queue is therefore served in round ceil(E / quantum), so that one prefix sum per source gives every
-window its pieces, with deficits carried across windows and partitions alike. The sums are taken
-inside the tokenizing tasks and joined over tasks by a small table of (task, source) totals.
+Each source is a queue of pieces of at most one sequence. In every round a source's deficit counter
+grows by its quantum, its target share of the tokens, and serves the pieces that it covers; what it
+can't use is carried on. With ever smaller quanta this serves pieces in the order of the place at which
+their turn comes, divided by the share: a piece of places S to E of its queue has its turn at
+S + phase * (E - S). The phase, by a hash of the source, is the source's first credit; it spreads the
+pieces of many small sources over all rounds. So one prefix sum per source orders all pieces, with
+deficits carried across sequences, windows and partitions alike. The sums are taken inside the
+tokenizing tasks and joined over tasks by a small table of (task, source) totals.
+
+A window is what is served while WINDOW_TOKENS are granted, and is packed by one task; at every place
+within it, each source has got its share but for one piece. Pieces of a whole sequence are sequences
+of their own; the others are laid end to end in the order served, cut where a sequence is full, so that
+every sequence is a mixture and only a window's last one is padded. sequence_id is window * 2^20 +
+place, so that ids follow the order of service.
 
 By default the target shares are the corpus's own, so that all queues run dry together; with other
-targets, the sources that last longest fill the final windows alone.
+targets, the sources that last longest fill the final windows alone, and sources of share 0 come last.
 
-Within a window, whole sequences of one document come first, then the rest end to end, cut where a
-sequence is full: only a window's last sequence is padded. Windows hold about WINDOW_TOKENS, whatever
-the input, so memory is bounded; sequence_id is window * 2^20 + place.
-
-Defined results: null and empty texts are the end token alone; special strings in a text get their own ids; a null source is a source of its own;
-repeated rows are each packed; an empty table gives no rows.
+Defined results: null and empty texts are the end token alone; very long texts are cut into pieces and
+never gathered whole; special strings in a text get their own ids; a null source is a source of its
+own; of equal turns the smaller source, then the earlier row comes first; repeated rows are each
+packed; other columns, whatever their names, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +44,10 @@ from callscope.llm import common
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
 WINDOW_TOKENS = 1 << 20
+#: Number of the first window of sources whose share is 0.
+LAST_WINDOWS = 1 << 40
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, task int, queue_end long, ids binary"
+PLACED = PIECES + ", turn double, window long"
 PACKED = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -131,24 +140,24 @@ def filled(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """Packs one window."""
     base = key[0].as_py() << 20
     rows = [r for b in batches for r in b.to_pylist()]
-    order = lambda r: (r["source"] is None, r["source"], r["task"], r["queue_end"])
-    rows.sort(key=order)
-    out, sequence = [], 0
-    for r in rows:
-        if r["length"] == SEQUENCE:
-            out.append((r["doc_id"], r["source"], r["start"], SEQUENCE, r["ids_crc32"], r["doc_tokens"], base + sequence, 0))
-            sequence += 1
-    at = 0
+    rows.sort(key=lambda r: (r["turn"], r["source"] is None, r["source"], r["task"], r["queue_end"]))
+    out, used, open_at, at = [], 0, None, 0
     for r in rows:
-        done, n = 0, r["length"]
-        while n < SEQUENCE and done < n:
+        row, done, n = (r["doc_id"], r["source"]), 0, r["length"]
+        if n == SEQUENCE:
+            out.append((*row, r["start"], n, r["ids_crc32"], r["doc_tokens"], base + used, 0))
+            used += 1
+            continue
+        while done < n:
+            if open_at is None:
+                open_at, at, used = used, 0, used + 1
             take = min(n - done, SEQUENCE - at)
             ids = np.frombuffer(r["ids"], f"<u{len(r['ids']) // n}")
             crc = r["ids_crc32"] if take == n else zlib.crc32(ids[done : done + take].astype("<u4").tobytes())
-            out.append((r["doc_id"], r["source"], r["start"] + done, take, crc, r["doc_tokens"], base + sequence, at))
+            out.append((*row, r["start"] + done, take, crc, r["doc_tokens"], base + open_at, at))
             done, at = done + take, at + take
             if at == SEQUENCE:
-                sequence, at = sequence + 1, 0
+                open_at = None
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
     names = [x.split()[0] for x in PACKED.split(", ")]
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -176,13 +185,17 @@ def pack(
     share: Column = F.col("total") / F.lit(tokens)
     for source, s in (shares or {}).items():
         share = F.when(F.col("source") == source, F.lit(float(s))).otherwise(share)
-    quanta = by_source.select(F.col("source").alias("s"), (F.lit(tokens / windows) * share).alias("quantum"))
+    phase = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(9)), F.lit(1 << 20)) / (1 << 20)
+    quanta = by_source.select(F.col("source").alias("s"), (F.lit(tokens / windows) * share).alias("quantum"), phase.alias("phase"))
     earlier = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select(F.col("task").alias("t"), F.col("source").alias("q"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     before = before.join(quanta, F.col("q").eqNullSafe(F.col("s")))
     placed = pieces.join(before, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("q")))
-    served = F.ceil((F.col("before") + F.col("queue_end")) / F.col("quantum") - 1e-9) - 1
-    placed = placed.select(served.cast("long").alias("window"), *(x.split()[0] for x in PIECES.split(", ")))
+    place = F.col("before") + F.col("queue_end") - F.col("length") + F.col("phase") * F.col("length")
+    # Windows of sources without a share come after all others.
+    turn = F.when(F.col("quantum") > 0, F.try_divide(place, F.col("quantum"))).otherwise(place / window_tokens + LAST_WINDOWS)
+    placed = placed.withColumn("turn", turn).withColumn("window", F.floor("turn").cast("long"))
+    placed = placed.select(*(x.split()[0] for x in PLACED.split(", ")))
     return placed.groupBy("window").applyInArrow(filled, PACKED)
 
 
