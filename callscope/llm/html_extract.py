@@ -10,10 +10,14 @@ what they are (semantic tags and telling class names are the teacher), and on LA
 anew at random from the sample's own texts, whose labels are known. Sample pages are whole; batches
 hold pages of similar length. Nothing else is gathered.
 
+A page is cut in time linear in its length, however broken it is, and a very long page is labelled in
+parts that hand on the network's state.
+
 Defined results: null, empty and textless html gives an empty text; unclosed and stray tags are
 tolerated: an open head ends at the first element or text that belongs to the body, and an unclosed
 element whose content is skipped ends at its tag, but for script and style, which take the rest as in
-HTML; repeated rows are each extracted; an empty table gives no rows.
+HTML; a quote without a partner is an ordinary character; repeated rows are each extracted; a block of
+logit 0 is not main; other columns, whatever their names, stay in `row`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +38,9 @@ from pyspark.sql import types as T
 from callscope.llm import common
 
 SAMPLE, LAYOUTS = 150, 650
-PATH_BINS, WORD_BINS, SHAPE, HIDDEN = 192, 16, 6, 24
+#: Share of the layouts whose boxes have names that say nothing.
+UNNAMED = 0.25
+PATH_BINS, WORD_BINS, SHAPE, HIDDEN = 192, 256, 6, 24
 INPUT = PATH_BINS + WORD_BINS + SHAPE
 EPOCHS, BATCH, RATE = 24, 100, 0.01
 #: Blocks of several pages that are labelled at once.
@@ -50,32 +57,74 @@ OTHER_WORDS = set(
     "ad ads advert advertisement sponsored banner promo sidebar side widget menu nav navbar navigation breadcrumb header masthead topbar footer bottom copyright legal "
     "comment comments commentlist respond reply discussion disqus cookie consent notice alert newsletter popup modal login signup search form share social related recommended tags meta".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
 
 class Block:
+    """A text, its path and how many of its characters are linked.
+
+    A path is () or (path of the parent, tag, words of class, id and role, bins of all tags and words, depth, what the teacher says).
+    """
+
     __slots__ = ("text", "path", "linked")
 
     def __init__(self, text: str, path: tuple, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
+def within(parent: tuple, tag: str, names: tuple[str, ...]) -> tuple:
+    bins = parent[3] if parent else 0
+    for x in ("<" + tag, *("." + w for w in names)):
+        bins |= 1 << binned(x, PATH_BINS)
+    says = 0.0 if tag in OTHER_TAGS or OTHER_WORDS & set(names) else 1.0 if tag in MAIN_TAGS else parent[5] if parent else 0.0
+    return (parent, tag, names, bins, (parent[4] if parent else 0) + 1, says)
+
+
+class Tags:
+    """Finds the ends of tags, each character being looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.lone, self.quoted = page, set(), True
+
+    def end(self, at: int) -> int:
+        """The place after the tag that starts at `at`, or 0: the first > outside quotes, once there is none the first of all."""
+        k = at
+        while self.quoted:
+            m = MARK.search(self.page, k)
+            if m is None:
+                self.quoted = False
+                break
+            if m[0] == ">":
+                return m.end()
+            closed = -1 if m[0] in self.lone else self.page.find(m[0], m.end())
+            if closed < 0:
+                self.lone.add(m[0])
+            k = max(m.end(), closed + 1)
+        return self.page.find(">", at) + 1
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page; a path is a tuple of (tag, words of class, id and role)."""
+    """The leaf blocks of a page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple] = []
+    open_tags: Counter = Counter()
     parts: list[str] = []
     linked = links = 0
     unclosed: set[str] = set()
+    tags = Tags(page)
+
+    def cut_stack(k: int) -> None:
+        for p in stack[k:]:
+            open_tags[p[1]] -= 1
+        del stack[k:]
 
     def close_head() -> None:
-        for k, (t, _) in enumerate(stack):
-            if t == "head":
-                del stack[k:]
-                break
+        if open_tags["head"]:
+            cut_stack(next(k for k, p in enumerate(stack) if p[1] == "head"))
 
     def flush() -> None:
         nonlocal linked
@@ -83,34 +132,48 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             close_head()
-            out.append(Block(text, tuple(stack), linked))
+            out.append(Block(text, stack[-1] if stack else (), linked))
         linked = 0
 
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             parts.append(page[at:])
+            linked += links and n - at
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += links and m.start() - at
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        m = NAME.match(page, lt)
+        if m:
+            end = tags.end(m.end())
+        elif page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4) + 3
+            end = n if end < 3 else end
+        else:
+            end = page.find(">", lt) + 1 if page[lt + 1 : lt + 2] in ("!", "?") else 0
+        upto = lt if end else lt + 1
+        if upto > at:
+            parts.append(page[at:upto])
+            linked += links and upto - at
+        at = end or lt + 1
+        if not m or not end:
+            if not end and m and not tags.quoted:
+                # No > is left: the rest has no tags.
+                parts.append(page[at:])
+                break
             continue
-        tag = tag.lower()
+        tag, inside = m[2].lower(), page[m.end() : end - 1]
         if m[1]:
             if tag in INLINE:
                 links = max(0, links - (tag == "a"))
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][1] != tag:
+                    k -= 1
+                cut_stack(k)
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not inside.endswith("/"):
             end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end is None:
                 unclosed.add(tag)
@@ -127,12 +190,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in HEAD:
             close_head()
         links = 0
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or inside.endswith("/"):
             continue
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and (stack[-1][0] == tag or stack[-1][0] == "p"):
-            stack.pop()
-        names = " ".join(x for t in ATTRIBUTE.findall(m[3]) for x in t) if m[3] else ""
-        stack.append((tag, tuple(NAME_WORDS.findall(names.lower()))))
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and (stack[-1][1] == tag or stack[-1][1] == "p"):
+            cut_stack(len(stack) - 1)
+        names = " ".join(x for t in ATTRIBUTE.findall(inside) for x in t) if inside else ""
+        stack.append(within(stack[-1] if stack else (), tag, tuple(NAME_WORDS.findall(names.lower()))))
+        open_tags[tag] += 1
     flush()
     return out
 
@@ -141,34 +205,39 @@ def binned(word: str, bins: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % bins
 
 
-PATHS: dict[tuple, np.ndarray] = {}
+PATHS: dict[int, np.ndarray] = {}
+BINS: dict[str, int] = {}
 
 
 def path_vector(path: tuple) -> np.ndarray:
-    v = PATHS.get(path)
+    bins = path[3] | 1 << binned("^" + path[1], PATH_BINS) if path else 0
+    v = PATHS.get(bins)
     if v is None:
-        v = np.zeros(PATH_BINS, np.float32)
-        for tag, names in path:
-            v[binned("<" + tag, PATH_BINS)] = 1
-            for w in names:
-                v[binned("." + w, PATH_BINS)] = 1
-        if path:
-            v[binned("^" + path[-1][0], PATH_BINS)] = 1
+        v = np.unpackbits(np.frombuffer(bins.to_bytes(PATH_BINS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
         if len(PATHS) > 5000:
             PATHS.clear()
-        PATHS[path] = v
+        PATHS[bins] = v
     return v
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    x = np.zeros((len(blocks), INPUT), np.float32)
+def word_bin(word: str) -> int:
+    b = BINS.get(word)
+    if b is None:
+        if len(BINS) > 200_000:
+            BINS.clear()
+        b = BINS[word] = binned(word, WORD_BINS)
+    return b
+
+
+def vectors(blocks: list[Block], start: int = 0, total: int = 0) -> np.ndarray:
+    """One row per block; `blocks` may be a part, from place `start`, of a page of `total` blocks."""
+    x, total = np.zeros((len(blocks), INPUT), np.float32), total or len(blocks)
     for i, b in enumerate(blocks):
         x[i, :PATH_BINS] = path_vector(b.path)
         words = b.text.split(" ")
-        for w in words:
-            x[i, PATH_BINS + binned(w, WORD_BINS)] += 1 / len(words)
-        n = len(b.text)
-        x[i, -SHAPE:] = (np.log1p(n) / 8, min(1, b.linked / n), b.text.count(".") / (1 + n / 50), i / len(blocks), i == 0, len(b.path) / 10)
+        x[i, PATH_BINS:-SHAPE] = np.bincount([word_bin(w) for w in words], minlength=WORD_BINS) / len(words)
+        n, depth = len(b.text), b.path[4] if b.path else 0
+        x[i, -SHAPE:] = (np.log1p(n) / 8, min(1, b.linked / n), b.text.count(".") / (1 + n / 50), (start + i) / total, start + i == 0, min(2, depth / 10))
     return x
 
 
@@ -213,6 +282,23 @@ class Labeller:
         hs = np.concatenate([self.run(x, mask, d, keep and keep[j]) for j, d in enumerate("fb")], axis=2)
         return hs @ self.w["o"] + self.w["ob"], hs
 
+    def long_logits(self, blocks: list[Block]) -> np.ndarray:
+        """The logits of one page of any length, in parts: only one number a block and direction is kept."""
+        starts = range(0, len(blocks), BLOCKS_AT_ONCE)
+        z = np.full(len(blocks), self.w["ob"][0])
+        for j, d in enumerate("fb"):
+            w, wh = self.w["o"][j * HIDDEN : (j + 1) * HIDDEN], self.w[f"h{d}"]
+            h = c = np.zeros(HIDDEN, np.float32)
+            for s in starts if d == "f" else reversed(starts):
+                pre = vectors(blocks[s : s + BLOCKS_AT_ONCE], s, len(blocks)) @ self.w[f"x{d}"] + self.w[f"c{d}"]
+                for k in range(len(pre)) if d == "f" else range(len(pre) - 1, -1, -1):
+                    a = pre[k] + h @ wh
+                    gates = sigmoid(a[: 3 * HIDDEN])
+                    c = gates[HIDDEN : 2 * HIDDEN] * c + gates[:HIDDEN] * np.tanh(a[3 * HIDDEN :])
+                    h = gates[2 * HIDDEN :] * np.tanh(c)
+                    z[s + k] += h @ w
+        return z
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         keep: tuple[list, list] = ([], [])
         z, hs = self.logits(x, mask, keep)
@@ -275,12 +361,7 @@ def padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def taught(b: Block) -> float:
     """The teacher's label: what a block's own ancestors say, the nearest first."""
-    for tag, names in reversed(b.path):
-        if tag in OTHER_TAGS or OTHER_WORDS & set(names):
-            return 0.0
-        if tag in MAIN_TAGS:
-            return 1.0
-    return 0.0
+    return b.path[5] if b.path else 0.0
 
 
 MAIN_BOXES = ["article", "main", 'div class="content"', 'div class="post-content"', 'div id="main-content"', 'section class="article-body"', 'div class="entry"', 'div class="story"', 'article class="post"', 'div class="text"']
@@ -297,8 +378,9 @@ OTHER_BOXES = {
 
 
 def laid_out(texts: list[str], r: random.Random) -> tuple[list[Block], list[float]]:
-    """A page of a random layout and its labels."""
+    """A page of a random layout and its labels; on some pages the boxes are plain, and only what is in them tells."""
     labels: list[float] = []
+    plain = r.random() < UNNAMED
 
     def fill(main: bool, n: int, linked: bool) -> str:
         out = []
@@ -312,10 +394,11 @@ def laid_out(texts: list[str], r: random.Random) -> tuple[list[Block], list[floa
         return "".join(out)
 
     def box(name: str, inside: str) -> str:
+        name = r.choice(["div", 'div class="c%d"' % r.randint(1, 99), "section", 'div id="b%d"' % r.randint(1, 99)]) if plain else name
         return f"<{name}>{inside}</{name.split()[0]}>"
 
     def other(kind: str) -> str:
-        return box(r.choice(OTHER_BOXES[kind]), fill(False, r.randint(1, 5), kind in ("menu", "side") and r.random() < 0.7))
+        return box(r.choice(OTHER_BOXES[kind]), fill(False, r.randint(1, 5), plain or (kind in ("menu", "side") and r.random() < 0.7)))
 
     page = [other(k) for k in r.sample(["menu", "header", "notice", "ad", "form"], r.randint(0, 4))]
     main = [fill(True, r.randint(1, 4), False)]
@@ -337,7 +420,9 @@ def trained(sample: list[str]) -> dict[str, np.ndarray]:
     r = random.Random(5)
     pages = [blocks_of(p) for p in sample]
     texts = [b.text[:400] for p in pages for b in p if len(b.text) > 3] or ["text"]
-    data = [(vectors(p), np.array([taught(b) for b in p], np.float32)) for p in pages if p]
+    # A page beyond what is labelled at once is learned from in parts.
+    parts = [(p, s) for p in pages for s in range(0, len(p), BLOCKS_AT_ONCE)]
+    data = [(vectors(p[s : s + BLOCKS_AT_ONCE], s, len(p)), np.array([taught(b) for b in p[s : s + BLOCKS_AT_ONCE]], np.float32)) for p, s in parts]
     for _ in range(LAYOUTS):
         blocks, labels = laid_out(texts, r)
         if blocks:
@@ -375,7 +460,9 @@ def extractor(weights) -> Callable:
 
             for i, page in enumerate(common.binary_texts(column)):
                 blocks = blocks_of(page.decode()) if page else []
-                if blocks:
+                if len(blocks) > BLOCKS_AT_ONCE:
+                    texts[i] = "\n".join(b.text for b, v in zip(blocks, model.long_logits(blocks)) if v > 0)
+                elif blocks:
                     waiting.append((i, blocks))
                     size += len(blocks)
                 if size > 2 * BLOCKS_AT_ONCE:

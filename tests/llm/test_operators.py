@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -373,6 +374,39 @@ def test_whole_blocks_and_pages_are_learned(monkeypatch):
     assert all(len(x) <= html_extract.BATCH and (len(x) == 1 or max(sizes[k] for k in x) * len(x) <= html_extract.BLOCKS_AT_ONCE) for x in some)
 
 
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for page in ("<a " * 400_000, "<a '>\" " * 200_000, '<p title=">"' * 150_000 + "'", "<div>x" * 100_000 + "</p>" * 100_000, "<!-- " * 300_000, "<" * 500_000, "<svg>" * 200_000, "<a b='" * 200_000 + ">"):
+        html_extract.blocks_of(page)
+    assert time.time() - began < 60
+    assert [b.text for b in html_extract.blocks_of('<p title="a > b">one</p><p class=\'x>two</p>2 < 3 <b>x')] == ["one", "two", "2 < 3 x"]
+
+
+def test_long_pages_are_labelled_in_parts_alike(monkeypatch):
+    model, page = html_extract.Labeller(), "<body>" + "".join(f"<div class=c{i % 7}><p>word{i} and more</div><li><a>link {i}</a>" for i in range(60))
+    blocks = html_extract.blocks_of(page)
+    whole, _ = model.logits(*html_extract.padded([html_extract.vectors(blocks)]))
+    monkeypatch.setattr(html_extract, "BLOCKS_AT_ONCE", 17)
+    assert len(blocks) == 120 and np.abs(model.long_logits(blocks) - whole[0]).max() < 1e-4
+
+
+def test_layouts_whose_names_say_nothing():
+    """Truth by construction: menus of links around an article, all in plain boxes, none of it in the training sample."""
+    r = random.Random(12)
+    item = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(1, 3)))
+    links = lambda n: "".join(f'<li><a href="/{k}">{item()}</a></li>' for k in range(n))
+    sample = [f"<body><nav><ul>{links(4)}</ul></nav><article>" + "".join(f"<p>{sentence(r, 15)}</p>" for _ in range(4)) + f"</article><footer>{links(2)}</footer>" for _ in range(60)]
+    model, right, n = html_extract.Labeller(html_extract.trained(sample)), 0, 0
+    for _ in range(60):
+        body = [sentence(r, r.randint(8, 30)).strip() for _ in range(r.randint(2, 6))]
+        page = f"<body><div class=x1><ul>{links(5)}</ul></div><div class=x2>" + "".join(f"<p>{x}</p>" for x in body) + f"</div><div id=x3><ul>{links(3)}</ul></div>"
+        blocks = html_extract.blocks_of(page)
+        z, _ = model.logits(*html_extract.padded([html_extract.vectors(blocks)]))
+        right += sum((v > 0) == (b.text in body) for v, b in zip(z[0], blocks))
+        n += len(blocks)
+    assert right >= 0.97 * n, (right, n)
+
+
 def test_gradients():
     r = np.random.default_rng(2)
     model = html_extract.Labeller()
