@@ -2,17 +2,20 @@
 
 Every window of 13 consecutive words of a benchmark item is a test string (a shorter item is one
 window). Block shift tables say how many words the search may skip, suffix blocks choose the bucket
-of windows to try, and a direct comparison confirms an occurrence. The benchmark is searched in
-blocks of bounded size, each broadcast on its own; documents are never shuffled.
+of windows to try, and a direct comparison confirms an occurrence. A benchmark of one block is
+broadcast, and documents are never shuffled. A larger one is searched block by block: each is gathered,
+broadcast, searched for and given back before the next, and only what was found is kept, by row.
 
 Defined results: null or empty text has no words and is clean; an item without words has no window;
 an item with a null id marks hit words but has no id to report; items that share an id count once;
-repeated documents are each reported; an empty benchmark leaves every document clean.
+very long texts are searched whole; spans that touch are one, so that a word counts once; repeated
+documents are each reported; other columns, whatever their names, stay in `row`; an empty benchmark
+leaves every document clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,57 +91,72 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple]]:
-    """The items in blocks of about block_words words; each block's size is checked before it is gathered."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, of about block_words words each, and the blocks, each gathered when it is asked for."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * block_words)))
-    blocks = []
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        blocks.append([(r.id, common.word_list(r.text.encode())) for r in part.toLocalIterator()])
-    return blocks
+    block = F.pmod(F.xxhash64("text"), F.lit(n))
+    return n, ([(r.id, common.word_list(r.text.encode())) for r in items.where(block == k).toLocalIterator()] for k in range(n))
+
+
+def searcher(shared, window: int) -> Callable:
+    """Of texts: n_words, n_hit, spans and items, by one block."""
+
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        index = WuManber(shared.value, window)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            out = [[], [], [], []]
+            for text in common.binary_texts(texts):
+                words = common.word_list(text)
+                hits, keys = index.search(words)
+                for o, v in zip(out, (len(words), sum(b - a for a, b in hits), [x for s in hits for x in s], sorted(keys - {None}))):
+                    o.append(v)
+            return [pa.array(o, T_ARROW[f.name]) for o, f in zip(out, FIELDS)]
+
+        return work
+
+    return make
+
+
+T_ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.int64()), "items": pa.list_(pa.int64())}
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks as one, and the words in them. Columns: row, n_words, spans, items."""
+    for b in batches:
+        n_hit, spans = [], []
+        for flat in b.column("spans").to_pylist():
+            hits = merge(list(zip(flat[::2], flat[1::2])))
+            n_hit.append(sum(y - x for x, y in hits))
+            spans.append([x for s in hits for x in s])
+        cols = [b.column("row"), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(spans, T_ARROW["spans"]), b.column("items")]
+        yield pa.RecordBatch.from_arrays(cols, names=["row", *T_ARROW])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Columns `row` (the document), n_words, n_hit, spans (flat starts and ends of hit words) and items."""
-    found = None
     sc = docs.sparkSession.sparkContext
-    for items in benchmark_blocks(benchmark, id_col, item_text, block_words):
+    n, blocks = benchmark_blocks(benchmark, id_col, item_text, block_words)
+    if n == 1:
+        return common.map_text(docs, text_col, searcher(sc.broadcast(next(blocks)), window), FIELDS)
+    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("at", F.monotonically_increasing_id())
+    numbered = common.materialize(numbered)
+    found, n_words = None, None
+    for items in blocks:
         shared = sc.broadcast(items)
-
-        def make() -> Callable[[pa.Array, pa.Array | None, pa.Array | None], list[pa.Array]]:
-            index = WuManber(shared.value, window)
-
-            def work(texts: pa.Array, spans: pa.Array | None = None, seen: pa.Array | None = None) -> list[pa.Array]:
-                out = [[], [], [], []]
-                for i, text in enumerate(common.binary_texts(texts)):
-                    words = common.word_list(text)
-                    hits, keys = index.search(words)
-                    if spans is not None:
-                        flat = spans[i].as_py()
-                        hits, keys = merge(hits + list(zip(flat[::2], flat[1::2]))), keys | set(seen[i].as_py())
-                    for o, v in zip(out, (len(words), sum(b - a for a, b in hits), [x for s in hits for x in s], sorted(keys - {None}))):
-                        o.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                return [pa.array(o, k) for o, k in zip(out, kinds)]
-
-            return work
-
-        if found is None:
-            found = common.map_text(docs, text_col, make, FIELDS)
-            continue
-        at = docs.columns.index(text_col)
-
-        def again(batches, make=make):
-            work = make()
-            for b in batches:
-                if b.num_rows:
-                    out = work(b.column(0).field(at), b.column("spans"), b.column("items"))
-                    yield pa.RecordBatch.from_arrays([b.column(0), *out], names=b.schema.names)
-
-        found = found.mapInArrow(again, found.schema)
-    return found
+        hits = common.map_text(numbered.select("at", F.col("row")[text_col].alias("text")), "text", searcher(shared, window), FIELDS)
+        if n_words is None:
+            n_words = common.materialize(hits.select("row.at", "n_words"))
+        hits = common.materialize(hits.where("n_hit > 0").select("row.at", "spans", "items"))
+        found = hits if found is None else found.union(hits)
+        shared.destroy()
+    both = found.groupBy("at").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast("array<bigint>")
+    rows = numbered.join(n_words, "at").join(both, "at", "left").select("row", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", none).alias("items"))
+    schema = T.StructType([rows.schema["row"], *FIELDS])
+    return rows.mapInArrow(united, schema)
 
 
 def contaminated() -> Column:
