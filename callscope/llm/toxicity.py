@@ -4,15 +4,21 @@ The channel model says what a writer may have done to a word: leetspeak for lett
 spaces between them, and repetition. A Viterbi search through the lattice of readings, under a
 character trigram model counted over all documents, restores each suspicious token, of any length; a
 token of plain letters none of which is doubled has one reading and is taken as it is. A run of spaced
-single characters is read as one word and also, with word breaks in the lattice, as several. Restored texts are scored by evidence weights of words
-and word beginnings, learned from labelled rows, and a logistic curve over a text's evidence.
+single characters is read as one word and also, with word breaks in the lattice, as several. Restored
+texts are scored by evidence weights of words and word beginnings, learned from labelled rows, and a
+logistic curve over a text's evidence.
 
 At most SAMPLE labelled rows are used for learning, chosen by hash of doc_id: three quarters for the
-weights and the rest for the curve. Counting, restoring and scoring cover every document.
+weights and the rest for the curve; of the weights, the LEXICON that speak most often for label 1 are
+kept. Counting, restoring and scoring cover every document. The channel knows the letters of LETTERS;
+words of other scripts are one letter class of the character model and carry no evidence.
 
 Defined results: null, empty and wordless texts have no evidence and get the curve's base score; with
 no usable labels every score is 0; a doc_id that is null is never a training row; repeated rows are
-each scored; labels of 0 and 1 only are used, the largest if a doc_id has several.
+each scored, and count as one in learning; labels of 0 and 1 only are used, the largest if a doc_id or
+a text has several; of equal readings the first found stands, in the order of the token; very long
+texts are scored whole; other columns, whatever their names, stay in `row`; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -295,7 +301,7 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column, sample: int = S
     usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
     # About `sample` rows of 12 bytes whatever the input: small enough to send to every task.
     chosen = docs.join(F.broadcast(usable), "doc_id").select("text", "toxic")
-    chosen = common.materialize(chosen.dropDuplicates(["text"]).withColumn("fit", F.pmod(F.xxhash64("text"), F.lit(4)) > 0))
+    chosen = common.materialize(chosen.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fit", F.pmod(F.xxhash64("text"), F.lit(4)) > 0))
     sizes = {(r.fit, r.toxic): r["count"] for r in chosen.groupBy("fit", "toxic").count().collect()}
     toxic, other = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
     if not toxic or not other:

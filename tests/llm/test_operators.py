@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, odd rows included."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -217,6 +218,49 @@ def test_restoring_long_doubled_symbolic_and_spaced_words():
     assert restore.token("x" + "2" * 3000) and not restore.token("\u68a6" * 50)
 
 
+def test_viterbi_finds_the_best_of_all_readings():
+    r = random.Random(4)
+    counts = np.zeros(toxicity.ALPHABET**3)
+    for w in ["idiot", "stupid", "sole", "lose"] * 30:
+        c = np.concatenate([[0, 0], toxicity.codes(w), [0, 0]])
+        np.add.at(counts, (c[:-2] * toxicity.ALPHABET + c[1:-1]) * toxicity.ALPHABET + c[2:], 1)
+    restore = toxicity.Restorer(toxicity.character_model(counts))
+
+    def cost(path):
+        a = b = 0
+        total = 0.0
+        for x, c in path:
+            if x:
+                k = restore.code[x]
+                total += c + float(restore.model[a, b, k])
+                a, b = b, k
+            else:
+                total += c - 0.6
+        return total + float(restore.model[a, b, 0])
+
+    for _ in range(150):
+        token = "".join(r.choice("idl0s1-.|oo5") for _ in range(r.randint(1, 7)))
+        for pairs in (False, True):
+            paths = list(itertools.product(*restore.readings(token, pairs)))
+            got = restore.decode(token, pairs)
+            best = max(map(cost, paths))
+            assert max(cost(p) for p in paths if "".join(x for x, _ in p) == got) == pytest.approx(best, abs=1e-4), token
+
+
+def test_labels_of_copies_and_clashing_columns(spark, clashing):
+    """A text whose copies differ in their labels counts once, as toxic; clashing columns change nothing."""
+    texts = [(i, f"word{i} nice text" if i % 4 else "awful idiot here", "en") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0 if i % 4 or i % 8 else 1) for i in range(200)], "doc_id long, toxic int")
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    training = F.lit(True)
+    score = lambda d: {x.doc_id: x.score for x in toxicity.scored(d, labels, training).select("row.doc_id", "score").collect()}
+    assert score(df) == score(df.repartition(7))
+    assert toxicity.drop_toxic(clashing, labels).columns == clashing.columns
+    assert class_lm.scored(clashing, F.lit(True), keep=["doc_id", "score"]).count() == len(rows())
+    assert html_extract.extract(clashing.withColumn("html", F.col("text")).withColumn("page_id", F.col("doc_id"))).count() == len(rows())
+    assert packing.pack(clashing).agg(F.sum("length")).first()[0] == packing.pack(clashing.select("doc_id", "text", "source")).agg(F.sum("length")).first()[0]
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(2)
     bad = ["idiot", "stupid", "loser"]
