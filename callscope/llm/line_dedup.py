@@ -16,7 +16,8 @@ that a run whose gram also stands alone in an earlier text is still found.
 
 Defined results: null and empty texts stay as they are; rows that repeat a doc_id and a text count as
 one document and all keep what it keeps; a null doc_id comes last in the order; a run within one text
-is deleted where it recurs there; an empty table gives no rows.
+is deleted where it recurs there; very long texts are taken whole; other columns, whatever their names,
+stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,7 +121,9 @@ def meetings(marks: DataFrame) -> DataFrame:
     """
     place = F.struct("d", "t", "p")
     first = marks.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k", "first")
-    # Dealt anew by key and text: a text's places are few, while a key's may be any number, and a join alone can be split.
+    # A key's places may be any number: written, the sums don't share a stage with the join, so that Spark can split a large key there,
+    # and what has met is dealt anew by key and text, as a text's places are few.
+    first = common.materialize(first)
     met = marks.join(first, "k").repartition("k", "d", "t").withColumn("before", F.lag("p").over(Window.partitionBy("k", "d", "t").orderBy("p")))
     met = met.where(F.col("before").isNotNull() | (F.struct("d", "t") != F.struct("first.d", "first.t")))
     own = F.col("before").isNotNull()
