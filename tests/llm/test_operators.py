@@ -247,6 +247,19 @@ def test_viterbi_finds_the_best_of_all_readings():
             assert max(cost(p) for p in paths if "".join(x for x, _ in p) == got) == pytest.approx(best, abs=1e-4), token
 
 
+def test_logistic_converges():
+    """On separable, overlapping and one-sided data: no gradient is left."""
+    r = np.random.default_rng(3)
+    y = (r.random(3000) < 0.1).astype(float)
+    apart = np.column_stack([np.where(y == 1, r.uniform(4.6, 5.7, 3000), r.choice([0.0, 1.5, 2.3], 3000)), y * 3 + r.random(3000), y * 0.2])
+    for x, t in ((apart, y), (r.normal(size=(500, 3)), (r.random(500) < 0.5).astype(float)), (apart, np.zeros(3000)), (apart * 50, y)):
+        w = toxicity.logistic(x, t)
+        full = np.hstack([x, np.ones((len(x), 1))])
+        gradient = full.T @ (1 / (1 + np.exp(-full @ w)) - t) + np.array([0.05, 0.05, 0.05, 1e-3]) * w
+        assert np.abs(gradient).max() < 1e-2
+    assert (((apart @ toxicity.logistic(apart, y)[:3] + toxicity.logistic(apart, y)[3]) > 0) == (y == 1)).all()
+
+
 def test_labels_of_copies_and_clashing_columns(spark, clashing):
     """A text whose copies differ in their labels counts once, as toxic; clashing columns change nothing."""
     texts = [(i, f"word{i} nice text" if i % 4 else "awful idiot here", "en") for i in range(200)]
