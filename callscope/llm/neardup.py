@@ -1,7 +1,7 @@
 """MinHash near-duplicates through a multi-index Hamming join.
 
 A document's set is its distinct word 5-shingles. One pass over the texts gives each set an exact
-digest, a MinHash signature of 72 symbols of 8 bits and a sketch of 1024 bits. The signature-distance
+digest, a MinHash signature of 72 symbols of 8 bits and a sketch of 2048 bits. The signature-distance
 threshold is RADIUS: the signature is cut into 12 chunks of 6 symbols, and by the pigeonhole principle
 two signatures that differ in at most RADIUS = 2 * 12 - 1 symbols differ in one symbol at most in some
 chunk. So each chunk is indexed under its 6 one-symbol-wildcard forms, and every pair under the
@@ -9,8 +9,8 @@ threshold meets under some key; pairs beyond it that meet nevertheless are kept
 0.75 signatures differ in 18 symbols on average, and a pair misses all 12 chunks with probability 1e-4
 (0.8: 3e-6).
 
-The sketch holds, for each of 1024 slots of hash values, the parity of where the slot's least shingle
-falls; two sketches differ in about as many bits as there are shingles in one set only. A pair that
+The sketch holds the least shingle of each of 2048 slots of hash values, as the parities of the bits on
+which these fall; two sketches differ in about as many bits as there are shingles in one set only. A pair that
 differs in more than similarity `percent` explains, by DEVIATIONS standard deviations, goes; every
 other pair is confirmed on full sets.
 
@@ -46,7 +46,7 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Pairs whose signatures differ in this many symbols at most are guaranteed to meet.
 RADIUS = 2 * CHUNKS - 1
 #: Bits (and slots) of a sketch, in words of 64 bits, and how far above the mean it may differ.
-BITS, WORDS, DEVIATIONS = 1024, 16, 4.5
+BITS, WORDS, DEVIATIONS = 2048, 32, 4.5
 #: Most nodes (of 8 bytes) that are broadcast to pick their texts; beyond it they are shuffled.
 BROADCAST_NODES = 1_000_000
 #: Word hashes that a task keeps, for speed only.
@@ -101,10 +101,10 @@ def signature(shingles: np.ndarray) -> list[int]:
 
 
 def sketch(shingles: np.ndarray) -> list[int]:
-    """The parities, as 16 words. shingles: sorted, so that the least of a slot is written last."""
+    """The parities, as WORDS words. shingles: sorted, so that the least of a slot is written last."""
     least = np.zeros(BITS, np.uint64)
     least[shingles[::-1] & np.uint64(BITS - 1)] = shingles[::-1]
-    at = (least[least > 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+    at = (least[least > 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BITS.bit_length())
     odd = (np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64).tolist()
 
@@ -178,7 +178,7 @@ def most_differing(total: Column, percent: int) -> Column:
     apart = used * both * (1 - j)
     fade = F.exp(-apart * (4 / BITS))
     spread = F.greatest(BITS / 4 * (1 - fade) - apart * fade, F.lit(0.0)) + both * both * used * F.greatest(1 - used / union, F.lit(0.0)) * (j * (1 - j)) * fade
-    return BITS / 2 * (1 - F.sqrt(fade)) + DEVIATIONS * F.sqrt(spread) + 2
+    return BITS / 2 * (1 - F.sqrt(fade)) + DEVIATIONS * F.sqrt(spread) + 1
 
 
 def close(percent: int) -> Column:
@@ -197,7 +197,8 @@ def first_meeting(form: Column, x: Column, y: Column) -> Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs linked on full sets, which are computed for the documents in question only."""
-    wanted = common.materialize(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    wanted = pairs.select(F.col("x").alias("node")).distinct().union(pairs.select("y").distinct()).distinct()
+    wanted = common.materialize(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     sets = common.materialize(docs.join(wanted, "node", "left_semi").mapInArrow(shingle_sets, "node long, shingles binary"))
     both = pairs.join(sets.toDF("x", "x_set"), "x").join(sets.toDF("y", "y_set"), "y")
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = common.materialize(same.where("node <> x").select("x", F.col("node").alias("y")).distinct())
     shared = keys(named).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     members = common.materialize(keys(named).join(shared, "key"))
-    parts = None
+    parts, tried = None, None
     for turn in itertools.count():
         placed, spread = placed_in_open_keys(members, named.select("node", "n", "bits"), parts, turn)
         spread = spread.join(named.select(F.col("node").alias("hub"), F.col("n").alias("ny"), F.col("bits").alias("yb")), "hub")
@@ -255,13 +256,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = common.materialize(stars.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
         found = common.materialize(confirm(stars, texts, percent))
         parts = common.materialize(components((same if parts is None else parts.toDF("x", "y")).union(found), rounds=2))
+        tried = stars if tried is None else tried.union(stars)
         if 4 * found.count() <= stars.count():
             break
     placed, spread = placed_in_open_keys(members, named.select("node", "n", "chunks", "bits"), parts, 0)
     placed = placed.join(spread.select(F.col("k").alias("key")), "key", "left_semi").select("key", "form", "node", "c", "n", "chunks", "bits")
     left, right = placed.toDF("k", "form", "x", "cx", "nx", "xc", "xb"), placed.drop("form").toDF("key", "y", "cy", "ny", "yc", "yb")
     meet = (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent) & first_meeting(F.col("form"), F.col("xc"), F.col("yc"))
-    crossing = common.materialize(left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    crossing = left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    crossing = common.materialize(crossing.join(tried, ["x", "y"], "left_anti"))
     parts = components(parts.toDF("x", "y").union(common.materialize(confirm(crossing, texts, percent))))
     found = rows.select("node", "n_shingles", "digest").join(named.select("digest", F.col("node").alias("rep")), "digest", "left")
     found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
