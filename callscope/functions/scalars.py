@@ -59,8 +59,11 @@ def clock_time(t_us: Column) -> Column:
 
 
 def canonical_role(role: Column) -> Column:
+    """The role that a file name stands for; unknown names stay as they are."""
     r = F.lower(F.trim(role))
-    return F.when(r.isin("terminal", "caller", "client", "终端"), "terminal").when(r.isin("fs", "server", "freeswitch", "服务器"), "fs").when(r.isin("seat", "agent", "callee", "坐席"), "seat").otherwise(role)
+    # Fixed values.
+    named = F.when(r.isin("terminal", "caller", "终端", "主叫"), "terminal").when(r == "fs", "fs").when(r.isin("seat", "zuoxi", "坐席", "被叫"), "seat")
+    return F.coalesce(named, role)
 
 
 def endpoint_direction(role: Column, dst: Column, server: Column) -> Column:

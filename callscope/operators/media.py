@@ -39,15 +39,24 @@ def alaw_table() -> np.ndarray:
     return np.where(b & 128, size, -size).astype(np.int16)
 
 
+#: Samples by payload type: the two types that are decoded here.
+TABLES = {0: ulaw_table(), 8: alaw_table()}
+
+
 def decode(body: bytes, pt: int) -> np.ndarray:
-    return (alaw_table() if pt == 8 else ulaw_table())[np.frombuffer(body, np.uint8)]
+    return TABLES[8 if pt == 8 else 0][np.frombuffer(body, np.uint8)]
+
+
+def main_type(pts: np.ndarray) -> int:
+    """The most frequent payload type, the smallest on ties."""
+    kinds, n = np.unique(pts, return_counts=True)
+    return int(kinds[np.argmax(n)])
 
 
 def signal(ext: np.ndarray, ts: np.ndarray, pts: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, int]:
     """Samples in sending order, gaps of the timestamp as silence (up to 10 s), other payload types as silence; and samples per packet."""
     order = np.argsort(ext, kind="stable")
-    kinds, n = np.unique(pts, return_counts=True)
-    main = int(kinds[np.argmax(n)])
+    main = main_type(pts)
     steps = np.diff(ts[order]) % 2**32
     steps = steps[(steps > 0) & (steps < 2**31)]
     per = int(np.sort(steps)[len(steps) // 2]) if len(steps) else 160
@@ -84,6 +93,11 @@ def filled(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+def constant(mag: np.ndarray) -> np.ndarray:
+    """Frames that are mostly an offset: bin 0 exceeds the sum of all others."""
+    return mag[:, 0] > mag[:, 1:].sum(axis=1)
+
+
 def tones(mag: np.ndarray, rms: np.ndarray) -> list[tuple[str, float, float, float]]:
     """(kind, start s, end s, Hz): steady single frequencies; prompts are the network's own and short."""
     if not len(mag):
@@ -92,7 +106,7 @@ def tones(mag: np.ndarray, rms: np.ndarray) -> list[tuple[str, float, float, flo
     band = slice(int(300 / hz), int(3400 / hz) + 1)
     peak = band.start + mag[:, band].argmax(axis=1)
     height = mag[np.arange(len(mag)), peak]
-    clear = (height / np.maximum(np.median(mag, axis=1), 1e-9) >= TONE_PEAK) & (height >= mag[:, 1:].max(axis=1)) & (rms >= TONE_RMS)
+    clear = (height / np.maximum(np.median(mag, axis=1), 1e-9) >= TONE_PEAK) & (height >= mag[:, 1:].max(axis=1)) & (rms >= TONE_RMS) & ~constant(mag)
     for factor in (2, 3, 0.5):
         k = np.minimum((peak * factor).round().astype(int), mag.shape[1] - 1)
         partner = np.max([mag[np.arange(len(mag)), np.clip(k + d, 0, mag.shape[1] - 1)] for d in (-1, 0, 1)], axis=0)
@@ -116,7 +130,7 @@ def hums(mag: np.ndarray, rms: np.ndarray) -> list[tuple[str, float, float, floa
         return []
     low = int(HUM_HZ / (RATE / FRAME)) + 1
     energy = mag**2
-    flags = (energy[:, 1:low].sum(1) >= HUM_SHARE * np.maximum(energy[:, 1:].sum(1), 1e-9)) & (rms >= HUM_RMS)
+    flags = (energy[:, 1:low].sum(1) >= HUM_SHARE * np.maximum(energy[:, 1:].sum(1), 1e-9)) & (rms >= HUM_RMS) & ~constant(mag)
     return [("hum", a * HOP / RATE, b * HOP / RATE, 0.0) for a, b in runs(filled(flags)) if b - a >= HUM_FRAMES]
 
 
@@ -149,11 +163,11 @@ def voice_mask(rms: np.ndarray) -> np.ndarray | None:
     """Frames that hold voice: all where levels vary as speech does, else long bursts well above the median."""
     if len(rms) < 25:
         return None
-    p10, p50 = np.percentile(rms, [10, 50])
-    if rms.std() / max(rms.mean(), 1e-9) >= 0.5 or p10 / max(p50, 1e-9) <= 0.55:
+    smooth = np.convolve(rms, np.ones(5) / 5, "same")
+    p10, p50 = np.percentile(smooth, [10, 50])
+    if smooth.std() / max(smooth.mean(), 1e-9) >= 0.5 or p10 / max(p50, 1e-9) <= 0.55:
         return np.ones(len(rms), bool)
     mask = np.zeros(len(rms), bool)
-    smooth = np.convolve(rms, np.ones(5) / 5, "same")
     for a, b in runs(smooth >= 1.8 * p50):
         if b - a >= 10:
             mask[a:b] = True
@@ -204,11 +218,13 @@ def stream_arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
 
 
 def audio_quality(packets: DataFrame) -> DataFrame:
-    """One row of AUDIO per audio stream. packets: as rtp_packets gives them."""
+    """One row of AUDIO per stream whose main payload type is decoded here; video and other codecs have none. packets: as rtp_packets gives them."""
     schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in AUDIO.split(", ")])
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([audio_row(key[0].as_py(), key[1].as_py(), *stream_arrays(t))], schema=schema)
+        arrays = stream_arrays(t)
+        rows = [audio_row(key[0].as_py(), key[1].as_py(), *arrays)] if main_type(arrays[2]) in TABLES else []
+        return pa.Table.from_pylist(rows, schema=schema)
 
     audio = packets.select("path", "ssrc", "pkt_no", "seq", "rtp_ts", "pt", "body")
     return audio.groupBy("path", "ssrc").applyInArrow(one, AUDIO)

@@ -40,13 +40,14 @@ def daily(visits: DataFrame, analyses: DataFrame) -> DataFrame:
 
 @query(
     "jn17_regions", "visits", "analyses",
-    sql=""", v AS (SELECT country, province, count(*) AS pv, count(DISTINCT vid) AS uv FROM visits GROUP BY ALL), a AS (SELECT country, count(*) AS analyses FROM analyses GROUP BY country)
-    SELECT v.country, province, pv, uv, coalesce(analyses, 0) AS analyses FROM v LEFT JOIN a ON a.country = v.country""",
+    sql=""", v AS (SELECT country, province, count(*) AS pv, count(DISTINCT vid) AS uv FROM visits GROUP BY ALL), a AS (SELECT country, province, count(*) AS analyses FROM analyses GROUP BY ALL)
+    SELECT v.country, v.province, pv, uv, coalesce(analyses, 0) AS analyses FROM v LEFT JOIN a ON a.country = v.country AND a.province IS NOT DISTINCT FROM v.province""",
 )
 def regions(visits: DataFrame, analyses: DataFrame) -> DataFrame:
     v = visits.groupBy("country", "province").agg(F.count("*").alias("pv"), F.count_distinct("vid").alias("uv"))
-    a = analyses.groupBy("country").agg(F.count("*").alias("analyses"))
-    return v.join(a, "country", "left").na.fill(0, ["analyses"])
+    a = analyses.groupBy(F.col("country").alias("c"), F.col("province").alias("p")).agg(F.count("*").alias("analyses"))
+    both = v.join(a, (F.col("country") == F.col("c")) & F.col("province").eqNullSafe(F.col("p")), "left")
+    return both.select("country", "province", "pv", "uv", F.coalesce("analyses", F.lit(0)).alias("analyses"))
 
 
 @query("jn17_domains", "visits", "analyses", sql=", a AS (SELECT domain, count(*) AS analyses FROM analyses GROUP BY domain) SELECT v.domain, count(*) AS pv, max(coalesce(analyses, 0)) AS analyses FROM visits v LEFT JOIN a ON a.domain = v.domain GROUP BY v.domain")

@@ -71,10 +71,10 @@ VIEWS = {
         FROM {orders} WHERE o_orderstatus = 'F'""",
     "visits": """
         SELECT event_id, CAST(CAST(ts AS DATE) AS STRING) AS day, user_id AS vid, event_type AS path, CASE user_id % 7 WHEN 0 THEN 'CN' WHEN 1 THEN 'US' ELSE 'DE' END AS country,
-          CASE WHEN user_id % 7 > 1 THEN 'x' END AS province, concat('d', CAST(user_id % 5 AS STRING), '.example') AS domain FROM {events}""",
+          CASE WHEN user_id % 7 > 1 THEN concat('p', CAST(user_id % 3 AS STRING)) END AS province, concat('d', CAST(user_id % 5 AS STRING), '.example') AS domain FROM {events}""",
     "analyses": """
         SELECT event_id, CAST(CAST(ts AS DATE) AS STRING) AS day, user_id AS vid, CASE user_id % 7 WHEN 0 THEN 'CN' WHEN 1 THEN 'US' ELSE 'DE' END AS country,
-          concat('d', CAST(user_id % 5 AS STRING), '.example') AS domain, event_id % 4 AS files FROM {events} WHERE event_type = 'purchase' AND event_id % 3 <> 0""",
+          CASE WHEN user_id % 7 > 1 THEN concat('p', CAST(user_id % 3 AS STRING)) END AS province, concat('d', CAST(user_id % 5 AS STRING), '.example') AS domain, event_id % 4 AS files FROM {events} WHERE event_type = 'purchase' AND event_id % 3 <> 0""",
     "ip_ranges": """
         SELECT CAST(n_nationkey AS BIGINT) * 65536 * 3 + 16777216 AS start_ip, CAST(n_nationkey AS BIGINT) * 65536 * 3 + 16777216 + 65536 * 2 + 999 AS end_ip, n_name AS region FROM {nation}""",
     "addresses": "SELECT c_custkey AS id, 16777216 + (c_custkey * 104729) % 5000000 AS ip FROM {customer}",

@@ -4,7 +4,9 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from callscope.functions import scalars
 from callscope.functions.media_headers import control_packets, rtcp_events, rtp_packets
 from callscope.functions.sip_messages import sdp_codecs, sdp_endpoints, sip_events
 from callscope.operators import media
@@ -176,3 +178,23 @@ def test_ogg(spark, tmp_path):
     assert packets[0].startswith(b"OpusHead") and packets[1].startswith(b"OpusTags")
     assert [len(p) for p in packets[2:]] == [300 if k % 7 == 0 else 40 for k in range(400)]
     assert granules[-1] == 960 * 400 and granules == sorted(granules)
+
+
+def test_offsets_are_no_hum_and_video_is_no_audio():
+    steady = np.full(16000, 2000, np.int16)
+    mag, rms = media.spectra(steady)
+    assert media.hums(mag, rms) == [] and media.tones(mag, rms) == []
+    hum = (3000 * np.sin(2 * np.pi * 50 * np.arange(16000) / 8000)).astype(np.int16)
+    assert len(media.hums(*media.spectra(hum))) == 1
+
+
+def test_audio_of_decoded_types_only(spark):
+    rows = [("f", s, k, k, 160 * k, pt, bytes([k % 256] * 160)) for s, pt in ((1, 0), (2, 8), (3, 96), (4, 111)) for k in range(30)]
+    df = spark.createDataFrame(rows, "path string, ssrc long, pkt_no long, seq int, rtp_ts long, pt int, body binary")
+    assert sorted(r.ssrc for r in media.audio_quality(df).collect()) == [1, 2]
+
+
+def test_role_names(spark):
+    names = ["FS", " Terminal", "caller", "主叫", "zuoxi", "被叫", "seat", "server", None]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.canonical_role(F.col("n")).alias("x")).collect()]
+    assert got == ["fs", "terminal", "terminal", "terminal", "seat", "seat", "seat", "server", None]
