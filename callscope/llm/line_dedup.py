@@ -22,6 +22,8 @@ stay as they are; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,17 @@ from callscope.llm import common
 
 MIN_WORDS, GRAM = 50, 25
 CUT = r"(?<=[.!?] |\n)"
+#: What ends a line, and a mark set behind it to cut at.
+ENDS, MARK = (". ", "! ", "? ", "\n"), "\x00"
 LAST = 2**63 - 1
 #: Most fingerprints (of 8 bytes) sent to every task; beyond it they are shuffled.
 BROADCAST_ROWS = 20_000
 
 
 def lines_of(text: Column) -> Column:
-    """Lines that concatenate to the text."""
-    return F.split(text, CUT)
+    """Lines that concatenate to the text: cut at marks set by plain replacement, or by the pattern where a text holds the mark itself."""
+    marked = reduce(lambda x, end: F.replace(x, F.lit(end), F.lit(end + MARK)), ENDS, text)
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
 
 
 def trimmed(line: Column) -> Column:

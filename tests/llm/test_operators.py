@@ -327,6 +327,13 @@ def test_line_dedup(docs, clashing, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_are_cut_alike_with_and_without_the_mark(spark):
+    texts = ["", "a", "\n", "\n\n", "a. b! c? d.e\nf", "a. ", "a. \n", "... ! ? .\n", "x. y\x00z. \x00", "\x00", "é. 漢! \r\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", line_dedup.lines_of(F.col("text")).alias("lines")).collect():
+        assert r.lines == (None if r.text is None else re.split(r"(?<=[.!?] )|(?<=\n)", r.text))
+
+
 def test_line_dedup_finds_a_run_whose_gram_stands_alone_before(spark):
     r = random.Random(9)
     a, b = [sentence(r, 9) for _ in range(3)], [sentence(r, 9) for _ in range(6)]
