@@ -1,18 +1,24 @@
 """Language-model scoring with a class-based bigram model (Brown classes by exchange).
 
-Words are counted over all training documents by a shuffle. Items to cluster are the most frequent
-words and, for all others, one of 256 groups by word ending; their bigram counts over the whole
-training text are gathered as sums (at most ITEMS squared of them), and exchange moves one item at a
-time to the class that raises the class-bigram likelihood most. A text's probability is the product
-of p(class | previous class), interpolated with p(class), and p(word | class): a clustered word by
-its share of the class, any other by add-one within the class's share of rare words, so that unseen
-words are covered.
-
-The HEAD most frequent words (a bounded table) are scored inside the pass over the texts; the rest
-meet their counts in a join, which no broadcast would bound.
-
-Defined results: null and empty texts are the end token alone; repeated rows are each scored; with no
-training text every score is finite, from smoothing alone; an empty table gives no rows.
+Words are counted over all training documents by a shuffle. Exchange clustering runs over the CLUSTERED most frequent
+words and, as stand-ins for all others, 256 groups by word ending; their bigram counts over the whole training text are
+gathered as sums (at most the square of the items), and exchange moves one item at a time to the class that raises the
+class-bigram likelihood most. Then every other word of the training text moves once, to the class that gives the classes
+to its left and right the highest likelihood, with a start of PRIOR for the class of its ending: its neighbours are counted over the whole training text by a shuffle, at
+most CLASSES squared counts a word. With CLUSTERED as large as the vocabulary, exchange is exact for all words.
+
+A text's probability is the product of p(class | group before), interpolated with p(class), and p(word | class). The group
+before is the class of the word before, or of its ending where that word isn't one of the CLUSTERED, so that a word's
+probability needs no more than the word before, wherever that word's counts are kept. A clustered word has its share of the
+class, any other an add-one share of it; an unseen word takes the class of its ending.
+
+The HEAD most frequent words (a bounded table) are scored inside the pass over the texts; the rest meet their counts and
+classes in a join, which no broadcast would bound.
+
+Defined results: null and empty texts are the end token alone; repeated rows are each scored; of words with equal counts
+the smaller is clustered first, and of classes with equal likelihood the first is taken; a text is scored as a whole,
+however long; other columns, whatever their names, are carried along untouched; with no training text every score is
+finite, from smoothing alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +38,22 @@ from pyspark.sql import types as T
 from callscope.llm import common
 
 CLASSES = 48
-#: Frequent words that are clustered on their own, and groups of other words by ending.
+PAIRS = CLASSES * CLASSES
+#: Frequent words that exchange clusters on their own, and groups that stand in for the other words, by ending.
 CLUSTERED, ENDINGS = 766, 256
 #: Most words whose counts are broadcast.
 HEAD = 100_000
 ROUNDS = 6
 #: Pseudo-counts for p(class | class).
 MU = 20.0
-END = CLUSTERED + ENDINGS  # the item of the end token, and of the start
-ITEMS = END + 1
+#: What the class of its ending gains for a word, in powers of ten: a rare word leaves it only on evidence.
+PRIOR = 2.0
 #: Words that a task counts before it sends them on.
 FLUSH = 200_000
 
 
 def ending(word: bytes) -> int:
-    return CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
+    return zlib.crc32(word[-3:]) % ENDINGS
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,23 +73,110 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent()
 
 
+class Words:
+    """The words that a task has met, numbered, with their items: the clustered words, the groups by ending, the end (and start); begun anew after FLUSH words, between texts."""
+
+    def __init__(self, item_of: dict[bytes, int]):
+        self.ids, self.names, self.items, self.item_of = {}, [], [], item_of
+        self.end = len(item_of) + ENDINGS
+
+    def full(self) -> bool:
+        return len(self.ids) > FLUSH
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        for w in set(words):
+            if w not in self.ids:
+                self.ids[w] = len(self.names)
+                self.names.append(w)
+                self.items.append(i if (i := self.item_of.get(w)) is not None else len(self.item_of) + ending(w))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+    def item(self, at: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.items.__getitem__, at.tolist()), np.int64, len(at))
+
+    def ended(self, items: np.ndarray) -> np.ndarray:
+        """Start, the items, end."""
+        return np.concatenate(([self.end], items, [self.end]))
+
+
 def pair_counter(item_of: dict[bytes, int]) -> Callable:
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ITEMS * ITEMS, np.int64)
+        met = Words(item_of)
+        n_items = met.end + 1
+        total = np.zeros(n_items * n_items, np.int64)
         for b in batches:
             for text in common.binary_texts(b.column(0)):
-                s = items_of(common.space_words(text), item_of)
-                np.add.at(total, s[:-1] * ITEMS + s[1:], 1)
+                s = met.ended(met.item(met.numbers(common.space_words(text))))
+                np.add.at(total, s[:-1] * n_items + s[1:], 1)
+                if met.full():
+                    met = Words(item_of)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
     return paired
 
 
-def items_of(words: list[bytes], item_of: dict[bytes, int]) -> np.ndarray:
-    """Start, the words' items, end."""
-    get = item_of.get
-    return np.array([END, *(i if (i := get(w)) is not None else ending(w) for w in words), END], np.int64)
+def neighbour_counter(shared) -> Callable:
+    """(word, class before * CLASSES + class after, n) of the words that exchange hasn't clustered, summed as far as a task's memory goes."""
+
+    def counted_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item_of, of = shared.value
+        met, kept, held = Words(item_of), [], 0
+
+        def sent() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(kept or [np.empty(0, np.int64)]), return_counts=True)
+            words = pa.array(met.names, pa.binary()).cast(pa.string()).take(pa.array(keys // PAIRS))
+            return pa.RecordBatch.from_arrays([words, pa.array(keys % PAIRS, pa.int32()), pa.array(n, pa.int64())], names=["word", "beside", "n"])
+
+        for b in batches:
+            for text in common.binary_texts(b.column(0)):
+                at = met.numbers(common.space_words(text))
+                item = met.item(at)
+                cls = of[met.ended(item)]
+                kept.append((at * PAIRS + cls[:-2] * CLASSES + cls[2:])[item >= len(item_of)])
+                held += len(kept[-1])
+                if met.full() or held > 10 * FLUSH:
+                    yield sent()
+                    met, kept, held = Words(item_of), [], 0
+        yield sent()
+
+    return counted_beside
+
+
+def chooser(shared) -> Callable:
+    """From rows sorted by word: (word, n, class), and with a null word the class pairs (class before * CLASSES + class) that these make."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (like, of_ending), pairs, waiting = shared.value, np.zeros(PAIRS, np.int64), None
+
+        def chosen(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            beside, n = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            words = rows.column(0).take(pa.array(starts))
+            gains = np.add.reduceat(like[beside] * n[:, None], starts)
+            gains[np.arange(len(starts)), [of_ending[ending(w)] for w in common.binary_texts(words)]] += PRIOR
+            cls = gains.argmax(1)
+            np.add.at(pairs, beside // CLASSES * CLASSES + np.repeat(cls, np.diff(np.append(starts, len(n)))), n)
+            return output(words, np.add.reduceat(n, starts), cls)
+
+        def output(words: pa.Array, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64()), pa.array(cls, pa.int32())], names=["word", "n", "class"])
+
+        for b in batches:
+            rows = b if waiting is None else pa.Table.from_batches([waiting, b]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
+                continue
+            words = rows.column(0)
+            starts = np.append(0, np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) + 1)
+            # The last word may go on in the next batch; it has PAIRS rows at most.
+            waiting = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield chosen(rows.slice(0, starts[-1]), starts[:-1])
+        if waiting is not None:
+            yield chosen(waiting, np.zeros(1, np.int64))
+        at = np.flatnonzero(pairs)
+        yield output(pa.nulls(len(at), pa.string()), pairs[at], at)
+
+    return choose
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -133,60 +228,51 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
-class Model:
-    """All that a task needs: bounded by HEAD words, ITEMS items and CLASSES squared transitions."""
-
-    def __init__(self, head: dict[bytes, int], item_of: dict[bytes, int], of: np.ndarray, bigrams: np.ndarray, rare: dict[int, tuple[int, int]], ends: int, tokens: int, types: int):
-        self.head, self.item_of, self.of = head, item_of, of
-        self.tokens, self.types, self.ends = tokens, types, ends
-        onehot = np.eye(CLASSES)[of]
-        cc = onehot.T @ bigrams @ onehot
-        prior = cc.sum(0) + 1.0
-        prior /= prior.sum()
-        self.step = np.log10((cc + MU * prior) / (cc.sum(1, keepdims=True) + MU))
-        words, kinds, self.own = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(ITEMS)
-        for w, i in item_of.items():
-            self.own[i] = head[w]
-            words[of[i]] += head[w]
-        for i, (n, v) in rare.items():
-            words[of[i]] += n
-            kinds[of[i]] += v
-        self.log_class = np.log10(np.maximum(words + kinds + 1.0, 1.0))
-        self.log_own = np.log10(np.maximum(self.own, 1e-9))
-        self.base = np.log10(tokens + types + 1.0)
+def steps(cc: np.ndarray) -> np.ndarray:
+    """log10 p(class | class before) from counts of class pairs."""
+    prior = cc.sum(0) + 1.0
+    prior /= prior.sum()
+    return np.log10((cc + MU * prior) / (cc.sum(1, keepdims=True) + MU))
+
+
+def likelihoods(cc: np.ndarray) -> np.ndarray:
+    """By class before * CLASSES + class after: what one token between them adds to the log likelihood of each class; the end's class is closed."""
+    step = steps(cc)
+    like = step[:, None, :] + step.T[None, :, :] - np.log10(cc.sum(0) + 1.0)
+    like[:, :, -1] = -np.inf
+    return like.reshape(PAIRS, CLASSES)
 
 
 def scorer(shared) -> Callable:
-    """Per text: n_tokens, tokens known from the head, base and model scores as far as the head goes, and the other words."""
+    """Per text: n_tokens, tokens known from the head, base and model scores as far as the head goes, and the other words with their place among classes, scored as unseen."""
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         m = SimpleNamespace(**shared.value)
-        head = {w: np.log10(c + 1.0) for w, c in m.head.items()}
+        gain = m.gain.ravel()
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
+            met, at_head = Words(m.item_of), []
             for text in common.binary_texts(texts):
                 words = common.space_words(text)
-                items = items_of(words, m.item_of)
-                cls = m.of[items]
-                score = float(m.step[cls[:-1], cls[1:]].sum()) - float(m.log_class[cls[1:-1]].sum())
-                score += float(m.log_own[items[items < CLUSTERED]].sum())
-                base = float(np.log10(m.ends + 1.0)) - m.base * (len(words) + 1)
-                known, rest, item_of = int(m.ends > 0), [], m.item_of
-                for w, n in Counter(words).items():
-                    c = head.get(w)
-                    if c is None:
-                        rest.append((w, n))
-                        continue
-                    known += n
-                    base += n * c
-                    if w not in item_of:
-                        score += n * c
-                for col, v in zip(cols, (len(words) + 1, known, base, score, [w for w, _ in rest], [n for _, n in rest])):
+                if met.full():
+                    met, at_head = Words(m.item_of), []
+                at = met.numbers(words)
+                at_head.extend(m.head.get(w, -1) for w in met.names[len(at_head) :])
+                item, row = met.item(at), np.fromiter(map(at_head.__getitem__, at.tolist()), np.int64, len(at))
+                before = m.of[met.ended(item)][:-1]
+                known = row >= 0
+                # Class of each word: a known word's own, else that of its ending.
+                place = before[:-1] * CLASSES + np.where(known, m.cls[row], m.of[item])
+                score = float(gain[place].sum() + m.own[row[known]].sum() + m.end_gain[before[-1]])
+                base = float(np.log10(m.ends + 1.0)) - m.base * (len(words) + 1) + float(m.plain[row[known]].sum())
+                rest, times = np.unique(at[~known] * PAIRS + place[~known], return_counts=True)
+                found = (len(words) + 1, int(m.ends > 0) + int(known.sum()), base, score, [met.names[i] for i in (rest // PAIRS).tolist()], rest % PAIRS, times)
+                for col, v in zip(cols, found):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             out = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            return [*out[:4], out[4].cast(pa.list_(pa.string())), out[5]]
+            return [*out[:4], out[4].cast(pa.list_(pa.string())), *out[5:]]
 
         return work
 
@@ -199,63 +285,96 @@ FIELDS = [
     T.StructField("base", T.DoubleType()),
     T.StructField("model", T.DoubleType()),
     T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("places", T.ArrayType(T.IntegerType())),
     T.StructField("times", T.ArrayType(T.LongType())),
 ]
 
 
-def scored(docs: DataFrame, training: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) of each document and n_tokens, n_known, train_tokens, base_score, score; learns from rows where `training` holds."""
+def scored(docs: DataFrame, training: Column, text_col: str = "text", keep: list[str] | None = None, clustered: int = CLUSTERED, head: int = HEAD) -> DataFrame:
+    """The columns `keep` (default: all) of each document and n_tokens, n_known, train_tokens, base_score, score; learns from rows where `training` holds.
+
+    `clustered` words go through exchange one by one (its counts are gathered: at most (clustered + ENDINGS) squared), `head` words are broadcast.
+    """
     sc = docs.sparkSession.sparkContext
     learn = docs.where(training).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = learn.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = common.materialize(words)
-    # The frequent words by bands of counts, as many whole bands as HEAD words allow: no sort, and a gathered size that is checked.
+    own = {r.word.encode(): r.n for r in words.orderBy(F.desc("n"), "word").limit(clustered).collect()}
+    item_of = {w: i for i, w in enumerate(own)}
+    end = len(own) + ENDINGS
+    bigrams = np.zeros((end + 1) ** 2)
+    pairs = learn.mapInArrow(pair_counter(item_of), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
+    bigrams = bigrams.reshape(end + 1, end + 1)
+    ends = int(bigrams[end].sum())
+    of = exchange(bigrams)
+    onehot = np.eye(CLASSES)[of]
+    beside = learn.mapInArrow(neighbour_counter(sc.broadcast((item_of, of))), "word string, beside int, n long")
+    # Summed first by word and neighbours, so that a frequent word is spread; then a word has PAIRS rows at most.
+    beside = beside.groupBy("word", "beside").agg(F.sum("n").alias("n")).repartition("word").sortWithinPartitions("word", "beside")
+    like = sc.broadcast((likelihoods(onehot.T @ bigrams @ onehot), of[len(own) : end]))
+    classed = common.materialize(beside.mapInArrow(chooser(like), "word string, n long, class int"))
+    found = classed.where(F.col("word").isNotNull())
+    # Pairs of a class before and the class of any word or the end, each word in its own class.
+    cc = np.zeros(PAIRS)
+    for r in classed.where(F.col("word").isNull()).groupBy("class").agg(F.sum("n").alias("n")).collect():
+        cc[r["class"]] = r.n
+    single = [*range(len(own)), end]
+    cc = cc.reshape(CLASSES, CLASSES) + onehot.T @ bigrams[:, single] @ onehot[single]
+    size = np.ones(CLASSES)
+    tokens, types = sum(own.values()) + ends, len(own) + (ends > 0)
+    for w, i in item_of.items():
+        size[of[i]] += own[w]
+    for r in found.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        size[r["class"]] += r.n + r.v
+        tokens, types = tokens + r.n, types + r.v
+    # The frequent words by bands of counts, as many whole bands as `head` words allow: no sort, and a gathered size that is checked.
     band = F.floor(F.log2("n") * 32).cast("int")
-    sizes = sorted(((r.band, r["count"]) for r in words.groupBy(band.alias("band")).count().collect()), reverse=True)
-    least, held = 2**31 - 1, 0
+    sizes = sorted(((r.band, r["count"]) for r in found.groupBy(band.alias("band")).count().collect()), reverse=True)
+    least, held = 2**31 - 1, len(own)
     for b, n in sizes:
         held += n
-        if held > HEAD:
+        if held > head:
             break
         least = b
-    top = sorted(words.where(band >= least).collect(), key=lambda r: (-r.n, r.word))
-    head = {r.word.encode(): r.n for r in top}
-    item_of = {w: i for i, w in enumerate(list(head)[:CLUSTERED])}
-    bigrams = np.zeros(ITEMS * ITEMS)
-    pairs = learn.mapInArrow(pair_counter(item_of), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    bigrams[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
-    bigrams = bigrams.reshape(ITEMS, ITEMS)
-    ends = int(bigrams[END].sum())
-    of = exchange(bigrams)
-    # Rare words of each ending: tokens and types, over the whole vocabulary, less the clustered words.
-    tail_bytes = F.encode("word", "utf-8")
-    last = F.substring(tail_bytes, F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3))
-    by_ending = words.groupBy((F.crc32(last) % ENDINGS + CLUSTERED).alias("item")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    rare = {r.item: [r.n, r.v] for r in by_ending}
-    tokens, types = sum(r.n for r in by_ending) + ends, sum(r.v for r in by_ending) + (ends > 0)
-    for w in item_of:
-        rare[ending(w)][0] -= head[w]
-        rare[ending(w)][1] -= 1
-    shared = sc.broadcast(vars(Model(head, item_of, of, bigrams, {k: tuple(v) for k, v in rare.items()}, ends, tokens, types)))
+    top = found.where(band >= least).toPandas()
+    n = np.concatenate((np.array(list(own.values()), np.float64), top["n"].to_numpy(np.float64)))
+    step = steps(cc)
+    gain = step - np.log10(size)
+    model = {
+        "item_of": item_of,
+        "of": of,
+        "head": {w: i for i, w in enumerate([*own, *(w.encode() for w in top["word"])])},
+        # The last class stands for no word.
+        "cls": np.concatenate((of[: len(own)], top["class"].to_numpy(np.int64), [0])),
+        "own": np.log10(n + (np.arange(len(n)) >= len(own))),
+        "plain": np.log10(n + 1.0),
+        "gain": gain,
+        "end_gain": step[:, CLASSES - 1],
+        "base": np.log10(tokens + types + 1.0),
+        "ends": ends,
+    }
     narrow = docs.select(*(keep or docs.columns), *([text_col] if text_col not in (keep or docs.columns) else []))
-    first = common.map_text(narrow, text_col, scorer(shared), FIELDS)
-    first = first.select(F.struct(*(F.col(f"row.`{c}`") for c in (keep or docs.columns))).alias("row"), "n_tokens", "known", "base", "model", "words", "times")
+    first = common.map_text(narrow, text_col, scorer(sc.broadcast(model)), FIELDS)
+    first = first.select(F.struct(*(F.col(f"row.`{c}`") for c in (keep or docs.columns))).alias("row"), *(f.name for f in FIELDS))
     first = common.materialize(first.withColumn("at", F.monotonically_increasing_id()))
-    rest = first.select("at", F.explode(F.arrays_zip("words", "times")).alias("w")).select("at", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    if held > HEAD:
-        found = rest.join(words.where(band < least), "word")
-        gained = found.groupBy("at").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-        first = first.join(gained, "at", "left")
+    rest = first.select("at", F.explode(F.arrays_zip("words", "places", "times")).alias("w")).select("at", "w.*").withColumnRenamed("words", "word")
+    if held > head:
+        gains = F.lit(gain.ravel())
+        at = lambda place: F.get(gains, place)
+        place = (F.col("places") - F.col("places") % CLASSES + F.col("class")).cast("int")
+        more = F.col("times") * (at(place) - at(F.col("places")) + F.log10(F.col("n") + 1.0))
+        tail = rest.join(found.where(band < least), "word").groupBy("at")
+        tail = tail.agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("plain"), F.sum(more).alias("gain"))
+        first = first.join(tail, "at", "left")
     else:
-        first = first.withColumns({"more": F.lit(0), "gain": F.lit(0.0)})
-    more, gain = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0))
+        first = first.withColumns({"more": F.lit(0), "plain": F.lit(0.0), "gain": F.lit(0.0)})
     return first.select(
         "row",
         "n_tokens",
-        (F.col("known") + more).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"),
-        (F.col("model") + gain).alias("score"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(int(tokens)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("plain", F.lit(0.0))).alias("base_score"),
+        (F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

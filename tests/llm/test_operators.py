@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -343,14 +346,10 @@ def test_line_dedup_finds_a_run_whose_gram_stands_alone_before(spark):
     assert got[1] == texts[0][1] and got[2] == texts[1][1] and gram not in got[3] and got[3].endswith("the end. ")
 
 
-def test_class_lm(docs, none, monkeypatch):
+def test_class_lm(docs, none):
     for head in (100_000, 50):
-        monkeypatch.setattr(class_lm, "HEAD", head)
-        monkeypatch.setattr(class_lm, "CLUSTERED", min(766, head))
-        monkeypatch.setattr(class_lm, "END", class_lm.CLUSTERED + class_lm.ENDINGS)
-        monkeypatch.setattr(class_lm, "ITEMS", class_lm.END + 1)
         marked = docs.withColumn("held", F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)))
-        got = class_lm.scored(marked, ~F.col("held")).collect()
+        got = class_lm.scored(marked, ~F.col("held"), clustered=min(766, head), head=head).collect()
         c = Counter()
         for i, t, *_ in rows():
             if i is None or i % 7 != 2:
@@ -365,6 +364,104 @@ def test_class_lm(docs, none, monkeypatch):
     assert class_lm.scored(none, F.lit(True)).count() == 0
 
 
+def class_model_by_hand(texts: dict[int, str], training: set[int], clustered: int) -> dict[int, float]:
+    """Scores by the class model, one token at a time; exchange alone is the module's own."""
+    m, log = class_lm, math.log10
+    words = {i: [w.encode() for w in space_words(t)] for i, t in texts.items()}
+    count = Counter(w for i in training for w in words[i])
+    seeds = {w: i for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[:clustered])}
+    tail = lambda w: len(seeds) + m.ending(w)
+    item, end = lambda w: seeds.get(w, tail(w)), len(seeds) + m.ENDINGS
+    bigrams = np.zeros((end + 1, end + 1))
+    for i in training:
+        s = [end, *map(item, words[i]), end]
+        for x, y in zip(s, s[1:]):
+            bigrams[x, y] += 1
+    of = m.exchange(bigrams).tolist()
+
+    def steps(pairs: Counter):
+        before, after = Counter(), Counter()
+        for (x, y), n in pairs.items():
+            before[x] += n
+            after[y] += n
+        total = sum(after.values()) + m.CLASSES
+        return lambda x, y: log((pairs[x, y] + m.MU * (after[y] + 1) / total) / (before[x] + m.MU)), after
+
+    pairs = Counter()
+    for (x, y), n in np.ndenumerate(bigrams):
+        if n:
+            pairs[of[x], of[y]] += int(n)
+    step, after = steps(pairs)
+    beside = defaultdict(list)
+    for i in training:
+        s = [end, *map(item, words[i]), end]
+        for w, x, y in zip(words[i], s, s[2:]):
+            if w not in seeds:
+                beside[w].append((of[x], of[y]))
+    cls = {w: of[i] for w, i in seeds.items()}
+    for w, places in beside.items():
+        gain = [sum(step(x, k) + step(k, y) - log(after[k] + 1) for x, y in places) for k in range(m.CLASSES - 1)]
+        gain[of[tail(w)]] += m.PRIOR
+        cls[w] = int(np.argmax(np.round(gain, 9)))
+    pairs, size = Counter(), Counter()
+    for i in training:
+        group = of[end]
+        for w in words[i]:
+            pairs[group, cls[w]] += 1
+            group = of[item(w)]
+        pairs[group, of[end]] += 1
+    for w, n in count.items():
+        size[cls[w]] += n + (w not in seeds)
+    step, _ = steps(pairs)
+    out = {}
+    for i, ws in words.items():
+        group, score = of[end], 0.0
+        for w in ws:
+            k = cls.get(w, of[tail(w)])
+            score += step(group, k) + log(count[w] + (w not in seeds)) - log(size[k] + 1)
+            group = of[item(w)]
+        out[i] = score + step(group, of[end])
+    return out
+
+
+@pytest.mark.parametrize("clustered, head", [(766, 100_000), (20, 100_000), (20, 60)])
+def test_class_model_by_hand(spark, clustered, head):
+    """Words beyond the clustered ones and beyond the broadcast ones."""
+    r = random.Random(5)
+    noun, verb = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    texts = {i: " ".join(r.choice((noun, verb)[j % 2])[: r.randint(2, 3)] + r.choice(("", "", "", f"x{r.randint(0, 99)}")) for j in range(r.randint(0, 60))) for i in range(150)}
+    texts[150], texts[151] = "unseen words alone", texts[3]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x.row.doc_id: x.score for x in class_lm.scored(df, F.col("doc_id") % 7 != 2, clustered=clustered, head=head).collect()}
+    expected = class_model_by_hand(texts, {i for i in texts if i % 7 != 2}, clustered)
+    assert got.keys() == expected.keys()
+    for i, v in expected.items():
+        assert got[i] == pytest.approx(v, abs=1e-6)
+
+
+def test_class_model_in_parts(monkeypatch):
+    """What a task sends on early, and a word cut by the end of a batch, change nothing."""
+    r = random.Random(6)
+    texts = [sentence(r, r.randint(0, 60)) for _ in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    item_of = {w.lower().encode() + b"1": i for i, w in enumerate(WORDS)}
+    of = np.arange(len(item_of) + class_lm.ENDINGS + 1) % class_lm.CLASSES
+    like = np.random.default_rng(0).normal(size=(class_lm.PAIRS, class_lm.CLASSES))
+    seen = []
+    for flush, size in ((200_000, 10_000), (40, 10_000), (200_000, 3)):
+        monkeypatch.setattr(class_lm, "FLUSH", flush)
+        sums = Counter()
+        for b in class_lm.neighbour_counter(SimpleNamespace(value=(item_of, of)))(iter([batch])):
+            for w, x, n in zip(*b.to_pydict().values()):
+                sums[w, x] += n
+        rows = sorted((w, x, n) for (w, x), n in sums.items())
+        sent = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64()))], names=["word", "beside", "n"])
+        cut = [sent.slice(i, size) for i in range(0, sent.num_rows, size)]
+        out = class_lm.chooser(SimpleNamespace(value=(like, of[len(item_of) :])))(iter(cut))
+        seen.append((rows, sorted(((w or "", c, n) for b in out for w, n, c in zip(*b.to_pydict().values())))))
+    assert seen[0] == seen[1] == seen[2] and sum(n for w, _, n in seen[0][1] if w) == sum(n for w, _, n in seen[0][1] if not w)
+
+
 def test_exchange_finds_classes():
     r = np.random.default_rng(0)
     n, truth = 24, np.arange(24) % 3
