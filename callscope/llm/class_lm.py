@@ -73,26 +73,47 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent()
 
 
+class Grown:
+    """An array that values are added to."""
+
+    def __init__(self):
+        self.values, self.n = np.empty(1024, np.int64), 0
+
+    def extend(self, more: list[int]) -> None:
+        while self.n + len(more) > len(self.values):
+            self.values = np.concatenate((self.values, np.empty_like(self.values)))
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+class Numbers(dict):
+    """Numbers of words in order of their first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.names.append(word)
+        return n
+
+
 class Words:
     """The words that a task has met, numbered, with their items: the clustered words, the groups by ending, the end (and start); begun anew after FLUSH words, between texts."""
 
     def __init__(self, item_of: dict[bytes, int]):
-        self.ids, self.names, self.items, self.item_of = {}, [], [], item_of
+        self.ids, self.names, self.items, self.item_of = Numbers(), [], Grown(), item_of
+        self.ids.names = self.names
         self.end = len(item_of) + ENDINGS
 
     def full(self) -> bool:
         return len(self.ids) > FLUSH
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        for w in set(words):
-            if w not in self.ids:
-                self.ids[w] = len(self.names)
-                self.names.append(w)
-                self.items.append(i if (i := self.item_of.get(w)) is not None else len(self.item_of) + ending(w))
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        at = np.array(list(map(self.ids.__getitem__, words)), np.int64)
+        get, first = self.item_of.get, len(self.item_of)
+        self.items.extend([i if (i := get(w)) is not None else first + ending(w) for w in self.names[self.items.n :]])
+        return at
 
     def item(self, at: np.ndarray) -> np.ndarray:
-        return np.fromiter(map(self.items.__getitem__, at.tolist()), np.int64, len(at))
+        return self.items.values[at]
 
     def ended(self, items: np.ndarray) -> np.ndarray:
         """Start, the items, end."""
@@ -252,14 +273,14 @@ def scorer(shared) -> Callable:
 
         def work(texts: pa.Array) -> list[pa.Array]:
             cols: list[list] = [[], [], [], [], [], [], []]
-            met, at_head = Words(m.item_of), []
+            met, at_head = Words(m.item_of), Grown()
             for text in common.binary_texts(texts):
                 words = common.space_words(text)
                 if met.full():
-                    met, at_head = Words(m.item_of), []
+                    met, at_head = Words(m.item_of), Grown()
                 at = met.numbers(words)
-                at_head.extend(m.head.get(w, -1) for w in met.names[len(at_head) :])
-                item, row = met.item(at), np.fromiter(map(at_head.__getitem__, at.tolist()), np.int64, len(at))
+                at_head.extend([m.head.get(w, -1) for w in met.names[at_head.n :]])
+                item, row = met.item(at), at_head.values[at]
                 before = m.of[met.ended(item)][:-1]
                 known = row >= 0
                 # Class of each word: a known word's own, else that of its ending.
