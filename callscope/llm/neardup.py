@@ -16,8 +16,8 @@ other pair is confirmed on full sets.
 
 Groups are never expanded into pairs. Equal sets are one class. Then, in rounds, each key that holds
 several components links its members to one hub, another one each round, as long as a quarter of what
-is tried links. What is left are members that lie apart: those of different components that meet under
-a key are compared by sketch inside the join, each pair under its first common key only, and only pairs
+is tried links; all links are kept for the components at the end. What is left are members that lie
+apart: those of different components that meet under a key are compared by sketch inside the join, each pair under its first common key only, and only pairs
 that the sketch can't refuse become rows.
 
 Defined results: null or wordless text is empty and linked with nothing; fewer than 5 words make one
@@ -205,17 +205,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirmer(percent), "x long, y long")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, component): the smallest node that each other node can reach, by alternating large and small stars; the smallest have no row.
+def least(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node beside each node that has a smaller one."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
-    After `rounds` rounds, if given, components may still be parted.
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each other node can reach; the smallest have no row."""
+    return least(contracted(links))
+
+
+def contracted(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, that connect the same nodes as `links` (x, y), after alternating large and small stars.
+
+    Without `rounds` they are stars around the smallest node of each component. After `rounds` rounds a node may still hold several
+    edges, and all of them are needed to connect what the links connect.
     """
     edges = common.materialize(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     before = None
     for k in itertools.count():
         n = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() if rounds is None else None
         if k == rounds or (rounds is None and n == before):
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return edges
         before = n
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -247,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = common.materialize(same.where("node <> x").select("x", F.col("node").alias("y")).distinct())
     shared = keys(named).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     members = common.materialize(keys(named).join(shared, "key"))
-    parts, tried = None, None
+    parts, tried, edges = None, None, same
     for turn in itertools.count():
         placed, spread = placed_in_open_keys(members, named.select("node", "n", "bits"), parts, turn)
         spread = spread.join(named.select(F.col("node").alias("hub"), F.col("n").alias("ny"), F.col("bits").alias("yb")), "hub")
@@ -255,7 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = left.join(spread, (F.col("key") == F.col("k")) & (F.col("c") != F.col("hub_c")) & close(percent))
         stars = common.materialize(stars.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct())
         found = common.materialize(confirm(stars, texts, percent))
-        parts = common.materialize(components((same if parts is None else parts.toDF("x", "y")).union(found), rounds=2))
+        # Parted components only choose what is still compared; every link stays in `edges`.
+        edges = contracted(edges.union(found), rounds=2).toDF("x", "y")
+        parts = common.materialize(least(edges.toDF("u", "v")))
         tried = stars if tried is None else tried.union(stars)
         if 4 * found.count() <= stars.count():
             break
@@ -265,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meet = (F.col("k") == F.col("key")) & (F.col("cx") < F.col("cy")) & close(percent) & first_meeting(F.col("form"), F.col("xc"), F.col("yc"))
     crossing = left.join(right, meet).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     crossing = common.materialize(crossing.join(tried, ["x", "y"], "left_anti"))
-    parts = components(parts.toDF("x", "y").union(common.materialize(confirm(crossing, texts, percent))))
+    parts = components(edges.union(common.materialize(confirm(crossing, texts, percent))))
     found = rows.select("node", "n_shingles", "digest").join(named.select("digest", F.col("node").alias("rep")), "digest", "left")
     found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("digest").isNull(), F.col("node")).otherwise(F.coalesce("component", "rep"))

@@ -197,6 +197,34 @@ def test_components(spark):
     assert got == {n: p for n, p in parent.items() if n != p}
 
 
+def test_links_outlive_rounds(spark):
+    """After any number of rounds the edges still connect what the links connect."""
+    r = random.Random(6)
+    for rounds in (0, 1, 2):
+        ids = r.sample(range(10_000), 420)
+        path, tree = ids[:200], ids[200:]
+        edges = list(zip(path, path[1:])) + [(tree[k], tree[r.randint(max(0, k - 5), k - 1)]) for k in range(1, len(tree))]
+        cut = neardup.contracted(spark.createDataFrame(edges, "x long, y long"), rounds=rounds).toDF("x", "y")
+        got = {x.node: x.component for x in neardup.components(cut).collect()}
+        assert got == {n: min(part) for part in (path, tree) for n in part if n != min(part)}
+
+
+def test_chains_of_documents(spark):
+    """Two long chains of links among many pairs that just miss the threshold, copies of members included."""
+    r = random.Random(12)
+    window = lambda name, at: " ".join(f"{name}{k}" for k in range(at, at + 104))
+    texts = [(f"chain{c}", window(f"c{c}x", 12 * k)) for c, n in ((0, 130), (1, 100)) for k in range(n)]
+    texts += [(f"miss{k}.{e}", window(f"m{k}x", 16 * e)) for k in range(250) for e in range(2)]
+    texts += r.sample(texts[:230], 40)
+    r.shuffle(texts)
+    least = {}
+    for i, (group, _) in enumerate(texts):
+        least.setdefault(group, i)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()}
+    assert got == {i: least[group] for i, (group, _) in enumerate(texts)}
+
+
 def test_restoring():
     counts = np.zeros(toxicity.ALPHABET**3)
     for w in ["idiot", "stupid", "loser", "worthless", "clown", "hello", "the"] * 50:
