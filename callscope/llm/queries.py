@@ -3,6 +3,7 @@
 from callscope.llm import (
     class_lm,
     decontaminate,
+    fim,
     html_extract,
     license_scan,
     line_dedup,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_html_extract": html_extract.query,
     "op9_license_scan": license_scan.query,
     "op10_packing": packing.query,
+    "op13_fill_in_middle": fim.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_near_duplicates": neardup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }

@@ -35,10 +35,11 @@ def by_id(spark, data, name, key="doc_id"):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, data, duck, name):
-    ours, theirs = QUERIES[name](spark, data).toPandas(), duck.sql(ORACLES[name]).df()
+    ours, theirs = QUERIES[name](spark, data), duck.sql(ORACLES[name])
     cols = sorted(ours.columns)
     assert cols == sorted(theirs.columns)
-    assert sorted(map(str, ours[cols].itertuples(index=False, name=None))) == sorted(map(str, theirs[cols].itertuples(index=False, name=None)))
+    same_order = lambda found, names: sorted(str(tuple(x[names.index(c)] for c in cols)) for x in found)
+    assert same_order(ours.collect(), ours.columns) == same_order(theirs.fetchall(), theirs.columns)
 
 
 def test_line_dedup(spark, data, texts):
