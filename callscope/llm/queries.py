@@ -10,6 +10,7 @@ from callscope.llm import (
     neardup,
     packing,
     quality_rules,
+    simhash,
     token_count,
     toxicity,
 )
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_extract": html_extract.query,
     "op9_license_scan": license_scan.query,
     "op10_packing": packing.query,
+    "op12_simhash": simhash.query,
     "op13_fill_in_middle": fim.query,
 }
 ORACLES = {

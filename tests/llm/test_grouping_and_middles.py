@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import DOCS, rows, space_words
 
-from callscope.llm import fim
+from callscope.llm import fim, simhash
 from callscope.llm.queries import QUERIES
 
 UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -80,3 +80,91 @@ def test_fill_in_middle_query(spark, data):
     for x in got:
         *head, output = middle_by_hand(x.doc_id, texts[x.doc_id] or "", UNIT.findall(texts[x.doc_id] or ""))
         assert [x.n, x.form, x.prefix_chars, x.middle_chars] == head and (x.output_sha256, x.restored_sha256) == (sha(output), sha(texts[x.doc_id] or ""))
+
+
+def fingerprint_by_hand(text):
+    w = space_words(text)
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def least_reached(n, linked):
+    parent = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if parent[i] != parent[j] and linked(i, j):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if p in (a, b) else p for p in parent]
+    return parent
+
+
+def near_words(r, n, flips=6):
+    """Random fingerprints, with many that are a few flipped bits from others."""
+    made = [r.getrandbits(64) for _ in range(n)]
+    for i in range(1, n):
+        if r.random() < 0.7:
+            made[i] = made[r.randrange(i)]
+            for k in r.sample(range(64), r.randint(0, flips)):
+                made[i] ^= 1 << k
+    return made
+
+
+@pytest.mark.parametrize("radius", [1, 3, 4, 7])
+def test_bit_sliced_pairs(radius, monkeypatch):
+    """All pairs of each block within the radius and no others, in slices of any size."""
+    r = random.Random(radius)
+    for n, words in ((1, 4), (63, 3), (64, 1000), (65, 1), (300, 7), (700, 100_000)):
+        monkeypatch.setattr(simhash, "SLICE", words)
+        fp, key = near_words(r, n), sorted(r.choice([0, 0, 0, 1, 2, 3]) for _ in range(n))
+        end = np.array([max(k for k in range(n) if key[k] == x) + 1 for x in key])
+        got = [p for a, b in simhash.close_pairs(np.array(fp, np.uint64), end, radius) for p in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and (fp[i] ^ fp[j]).bit_count() <= radius]
+        x, y = simhash.compared(np.array([key, key]).T, np.array(fp, np.uint64), radius, range(5, 20))
+        assert len(x) == len(y) < n
+
+
+def test_fingerprints():
+    r = random.Random(8)
+    for text in ["", "one", "One TWO three", "a b c d", " x\u00c9\t\n y  z w v ", "word " * 9000, *(" ".join(r.choice("abcdef") for _ in range(n)) for n in (5, 50, 4098))]:
+        assert simhash.fingerprint(text.encode()) == fingerprint_by_hand(text)
+
+
+@pytest.mark.parametrize("most", [simhash.BLOCK, 30, 4])
+def test_blocks_lose_no_link(spark, most):
+    """Blocks as they are, parted, and dealt into pairs of tiles give the same components, with few edges."""
+    r = random.Random(9)
+    fp = list(dict.fromkeys(near_words(r, 400) + [(r.getrandbits(51) << 13) | 77 for _ in range(150)] + [0xFFFF ^ (1 << k) ^ (1 << j) for k in range(14) for j in range(k)]))
+    signed = [x - 2**64 if x >= 2**63 else x for x in fp]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most).collect()
+    at = {x: i for i, x in enumerate(signed)}
+    linked = {tuple(sorted((at[e.x], at[e.y]), reverse=True)) for e in edges}
+    assert least_reached(len(fp), lambda i, j: (i, j) in linked) == least_reached(len(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), radius=8)
+
+
+def test_simhash(spark, docs, none):
+    r = random.Random(10)
+    base = [f"w{k}" for k in range(600)]
+    more = [(200 + i, " ".join(w if r.random() > 0.01 else w + "x" for w in base), "a", "b", i) for i in range(60)]
+    all_docs = [x for x in [*rows(), *ODD, *more] if x[0] is not None]
+    df = docs.unionByName(spark.createDataFrame(more, DOCS)).withColumns({c: F.lit(5) for c in ("fp", "node", "root", "block", "part", "x", "y")}).repartition(7)
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == df.count()
+    prints = [fingerprint_by_hand(t) for _, t, *_ in all_docs]
+    assert sorted((x.doc_id, x.fingerprint) for x in got if x.doc_id is not None) == sorted((d[0], f"{p:016x}") for d, p in zip(all_docs, prints))
+    parent = least_reached(len(all_docs), lambda i, j: all_docs[i][0] == all_docs[j][0] or (prints[i] ^ prints[j]).bit_count() <= 4)
+    least = {}
+    for d, p in zip(all_docs, parent):
+        least[p] = min(least.get(p, d[0]), d[0])
+    assert {x.doc_id: x.component_id for x in got if x.doc_id is not None} == {d[0]: least[p] for d, p in zip(all_docs, parent)}
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_simhash_query(spark, data):
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    ids = sorted(texts)
+    prints = [fingerprint_by_hand(texts[i]) for i in ids]
+    parent = least_reached(len(ids), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    expected = {i: (f"{p:016x}", ids[c]) for i, p, c in zip(ids, prints, parent)}
+    assert {x.doc_id: (x.fingerprint, x.component_id) for x in QUERIES["op12_simhash"](spark, data).collect()} == expected
