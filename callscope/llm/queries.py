@@ -11,6 +11,7 @@ from callscope.llm import (
     packing,
     quality_rules,
     simhash,
+    spelling,
     token_count,
     toxicity,
 )
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_extract": html_extract.query,
     "op9_license_scan": license_scan.query,
     "op10_packing": packing.query,
+    "op11_spelling_variants": spelling.query,
     "op12_simhash": simhash.query,
     "op13_fill_in_middle": fim.query,
 }

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import DOCS, rows, space_words
 
-from callscope.llm import fim, simhash
+from callscope.llm import fim, simhash, spelling
 from callscope.llm.queries import QUERIES
 
 UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -168,3 +168,79 @@ def test_simhash_query(spark, data):
     parent = least_reached(len(ids), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
     expected = {i: (f"{p:016x}", ids[c]) for i, p, c in zip(ids, prints, parent)}
     assert {x.doc_id: (x.fingerprint, x.component_id) for x in QUERIES["op12_simhash"](spark, data).collect()} == expected
+
+
+def edited(w, letters):
+    """All texts that are exactly one character away."""
+    out = {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in letters}
+    return (out | {w[:k] + c + w[k + 1 :] for k in range(len(w)) for c in letters}) - {w}
+
+
+def words_by_hand(texts, least_chars=7, least_count=2):
+    n = Counter()
+    for key, text in texts:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            n[run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: c for w, c in n.items() if len(w) >= least_chars and c >= least_count}
+
+
+def variants_by_hand(n):
+    letters = sorted({c for w in n for c in w})
+    near = {w: [x for x in edited(w, letters) if x in n] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        if best and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = set()
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def found_variants(df):
+    rows = df.select("word", "form", "root", "n", "n_near", "form_n").collect()
+    assert len(rows) == len(set(map(tuple, rows)))
+    return set(map(tuple, rows))
+
+
+def spelled_texts(r, n, letters, sizes):
+    words = ["".join(r.choice(letters) for _ in range(r.choice(sizes))) for _ in range(n)]
+    weights = [1 / (k + 1) ** 1.3 for k in range(n)]
+    return [(i, " ".join(w.upper() if r.random() < 0.05 else w for w in r.choices(words, weights, k=300))) for i in range(60)]
+
+
+@pytest.mark.parametrize("most", [spelling.BLOCK, 3, 1])
+def test_spelling_variants(spark, most):
+    """Crowded dictionaries: every length next to its neighbours, and blocks subdivided to the last character."""
+    r = random.Random(13)
+    texts = spelled_texts(r, 700, "ab", [7, 8, 8, 9, 10]) + spelled_texts(r, 500, "aé", [7, 7, 8, 15])
+    texts += [(None, "abababab aaaaaaa"), (3, None), (4, ""), (5, "a" * 3000 + " " + "a" * 2999 + "b"), (6, "a" * 3000 + " " + "a" * 2999 + "b " + "a" * 3001), (7, "a" * 3001), (1, "× ÷ ÷÷÷÷÷÷÷× ÷÷÷÷÷÷÷× Ünïcöde ünïcöde Ünïcöde naïveté naïveté")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("word", "n", "kind", "s", "a", "b", "h", "near", "root")}).repartition(6)
+    n = words_by_hand(texts)
+    expected = variants_by_hand(n)
+    assert any(x[1] and x[1] != x[2] for x in expected) and len(n) > 300
+    assert found_variants(spelling.variants(df, most=most)) == expected
+
+
+def test_pairs_one_edit_apart():
+    r = random.Random(14)
+    for _ in range(4000):
+        x = "".join(r.choice("ab") for _ in range(r.randint(1, 6)))
+        y = "".join(r.choice("abc") for _ in range(len(x) + r.randint(0, 1)))
+        part = next((k for k in range(len(x)) if x[k] != y[k]), len(x))
+        a, b = (np.frombuffer(t.encode(), np.uint8)[None] for t in (x, y))
+        for bar in (0, 2, 99):
+            got = spelling.scanned_pairs(a, b, len(y) - len(x), np.array([bar]))
+            assert got.tolist() == [y in edited(x, "abc") and part < bar]
+
+
+def test_spelling_query(spark, data, none):
+    texts = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert found_variants(QUERIES["op11_spelling_variants"](spark, data)) == variants_by_hand(words_by_hand(texts))
+    assert spelling.variants(none).count() == 0
