@@ -122,19 +122,6 @@ def media_manifest(streams: DataFrame, packets: DataFrame) -> DataFrame:
     return streams.join(n, ["role", "ssrc"]).select(name.alias("name"), "packets")
 
 
-@query(
-    "rl7_codec_path", "legs",
-    sql=""", s AS (SELECT session_id, arg_min(ssrc % 3, (start_s, leg_id)) FILTER (role = 'terminal') AS a, arg_min(ssrc % 3, (start_s, leg_id)) FILTER (role = 'seat') AS b, count(*) FILTER (role = 'fs') AS f FROM legs GROUP BY session_id)
-    SELECT session_id, CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN f = 0 THEN 'bypass' WHEN a = b THEN 'same' ELSE 'transcode' END AS verdict FROM s""",
-)
-def codec_path(legs: DataFrame) -> DataFrame:
-    """Whether the server passes, keeps or changes the codec between the two sides."""
-    side = lambda role: F.min(F.when(F.col("role") == role, F.struct("start_s", "leg_id", (F.col("ssrc") % 3).alias("c")))).getField("c")
-    s = legs.groupBy("session_id").agg(side("terminal").alias("a"), side("seat").alias("b"), F.count_if(F.col("role") == "fs").alias("f"))
-    v = F.when(F.col("a").isNull() | F.col("b").isNull(), "unknown").when(F.col("f") == 0, "bypass").when(F.col("a") == F.col("b"), "same").otherwise("transcode")
-    return s.select("session_id", v.alias("verdict"))
-
-
 def merged(key: tuple, legs: pd.DataFrame) -> pd.DataFrame:
     """Calls of one session after greedy merging: two calls of at most two devices together that overlap and end within 3 s of each other become one, scanning anew after each merge."""
     import pandas as pd

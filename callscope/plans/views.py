@@ -55,6 +55,28 @@ VIEWS = {
         SELECT * FROM {sip}
         UNION ALL SELECT 'fs', call_id, t_us + 500000, method, cseq, src, dst FROM {sip} WHERE cseq % 2 = 1
         UNION ALL SELECT 'terminal', call_id, t_us + 1000000, method, cseq, src, dst FROM {sip} WHERE method = 'INVITE' AND length(call_id) = 2""",
+    # Dialogs with session descriptions: rounds of offers and answers, late offers, refusals, resends under other numbers, legs of one call.
+    "sdp_turns": """
+        SELECT l_orderkey AS o, l_partkey AS k, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS turn
+        FROM {lineitem}""",
+    "sdp_parts": """
+        SELECT o, turn, k, s, turn % 4 AS step, CASE WHEN turn % 4 IN (0, 3) THEN o % 3 = 0 ELSE o % 3 <> 0 END AS from_device,
+          concat('10.', CAST(o % 200 AS STRING), '.0.1') AS device,
+          concat(CASE WHEN k % 13 = 0 THEN '' ELSE concat('m=audio ', CAST(CASE WHEN k % 29 = 0 THEN 0 ELSE 10000 + (o + k % 2) % 5000 END AS STRING), ' RTP/AVP ',
+              CASE k % 6 WHEN 0 THEN '0 8 9 101' WHEN 1 THEN '8 0' WHEN 2 THEN '96 0 0' WHEN 3 THEN '9' WHEN 4 THEN '18 96 97' ELSE '96' END, chr(13), chr(10),
+              'a=rtpmap:96 ', CASE WHEN s % 2 = 0 THEN 'OPUS/48000/2' ELSE 'opus/16000' END, chr(13), chr(10), 'a=rtpmap:101 telephone-event/8000', chr(13), chr(10)) END,
+            CASE s % 3 WHEN 0 THEN '' WHEN 1 THEN concat('m=video ', CAST(30000 + k % 1000 AS STRING), ' RTP/AVP 97 98', chr(13), chr(10), 'a=rtpmap:97 H264/90000', chr(13), chr(10), 'a=rtpmap:98 H265/90000', chr(13), chr(10))
+              ELSE concat('m=video ', CAST(30000 + k % 1000 AS STRING), ' RTP/AVP 98', chr(13), chr(10), 'c=IN IP4 10.9.', CAST(k % 200 AS STRING), '.9', chr(13), chr(10), 'a=rtpmap:98 H265', chr(13), chr(10)) END) AS media
+        FROM {sdp_turns}""",
+    "offers": """
+        SELECT concat('d', CAST(o AS STRING)) AS call_id, CAST((o - o % 3) / 3 AS BIGINT) AS call_no, turn AS msg_no, 1704067200000000 + CAST(o AS BIGINT) * 15000000 + turn * 1000000 AS t_us,
+          CASE step WHEN 0 THEN 'INVITE' WHEN 1 THEN CASE k % 3 WHEN 0 THEN '183' WHEN 1 THEN '180' ELSE '200' END WHEN 2 THEN CASE WHEN k % 7 = 0 THEN '486' ELSE '200' END
+            ELSE CASE WHEN k % 5 = 0 THEN 'BYE' ELSE 'ACK' END END AS method,
+          CAST(1 + (turn - step) / 4 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS INT) AS cseq,
+          CASE WHEN from_device THEN device ELSE '192.0.2.1' END AS src, CASE WHEN from_device THEN '192.0.2.1' ELSE device END AS dst,
+          CASE WHEN CASE step WHEN 0 THEN k % 4 <> 0 WHEN 3 THEN k % 2 = 0 ELSE k % 3 <> 1 END
+            THEN concat('v=0', chr(13), chr(10), 'c=IN IP4 ', CASE WHEN k % 31 = 0 THEN '0.0.0.0' WHEN from_device THEN device ELSE '192.0.2.1' END, chr(13), chr(10), media) ELSE '' END AS body
+        FROM {sdp_parts}""",
     "rtcp": """
         SELECT event_id AS report_no, user_id AS ssrc, user_id + 500 + event_id % 3 AS reporter, CAST(event_id % 6 AS DOUBLE) AS fraction,
           event_id % 100 AS lost, 1704067200000000 + event_id * 1000 AS t_us,
