@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.components import components
 from callscope.plans.registry import query
 
 OVERLAP = 0.7
@@ -28,46 +29,30 @@ EDGES_SQL = """, e AS (SELECT a.session_id, a.leg_id AS x, b.leg_id AS y FROM le
 @query("jn6_leg_edges", "legs", sql=EDGES_SQL + " SELECT session_id, x, y FROM e")
 def leg_edges(legs: DataFrame) -> DataFrame:
     """Pairs of legs of one call: the same media source, or one device and most of the shorter leg in common."""
-    cols = ["leg_id", "ssrc", "ip", "start_s", "end_s"]
-    a = legs.select("session_id", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = legs.select("session_id", *(F.col(c).alias(f"b_{c}") for c in cols))
-    ordered = F.col("a_leg_id") < F.col("b_leg_id")
-    by_source = a.join(b.withColumnRenamed("b_ssrc", "a_ssrc"), ["session_id", "a_ssrc"]).where(ordered)
-    shared = F.least("a_end_s", "b_end_s") - F.greatest("a_start_s", "b_start_s")
-    shorter = F.least(F.col("a_end_s") - F.col("a_start_s"), F.col("b_end_s") - F.col("b_start_s"))
-    near = bucketed(a, "a_start_s", "a_end_s").join(bucketed(b.withColumnRenamed("b_ip", "a_ip"), "b_start_s", "b_end_s"), ["session_id", "a_ip", "bucket"])
-    near = near.where(ordered & first_shared_bucket(F.col("a_start_s"), F.col("b_start_s")) & (shared > OVERLAP * shorter))
-    pairs = [p.select("session_id", F.col("a_leg_id").alias("x"), F.col("b_leg_id").alias("y")) for p in (by_source, near)]
-    return pairs[0].union(pairs[1]).distinct()
-
-
-def component_of(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
-    """The smallest node that each node can reach."""
-    parent = {n: n for n in nodes}
+    a, b = (legs.select("session_id", "ssrc", F.col("leg_id").alias(f"{k}_leg_id")) for k in "ab")
+    by_source = a.join(b, ["session_id", "ssrc"]).where("a_leg_id < b_leg_id")
+    by_source = by_source.select("session_id", F.col("a_leg_id").alias("x"), F.col("b_leg_id").alias("y"))
+    return by_source.union(overlapping(legs)).distinct()
 
-    def root(n: int) -> int:
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
 
-    for x, y in edges:
-        a, b = sorted((root(x), root(y)))
-        parent[b] = a
-    return {n: root(n) for n in nodes}
-
-
-def grouped_components(legs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session_id, leg_id, call_id): components within each session, whose legs are few by nature."""
-    import pandas as pd
+def overlapping(legs: DataFrame) -> DataFrame:
+    """(session_id, x, y): legs of one device that share most of the shorter one's time."""
+    cols = ["leg_id", "start_s", "end_s"]
+    a = bucketed(legs.select("session_id", "ip", *(F.col(c).alias(f"a_{c}") for c in cols)), "a_start_s", "a_end_s")
+    b = bucketed(legs.select("session_id", "ip", *(F.col(c).alias(f"b_{c}") for c in cols)), "b_start_s", "b_end_s")
+    shared = F.least("a_end_s", "b_end_s") - F.greatest("a_start_s", "b_start_s")
+    shorter = F.least(F.col("a_end_s") - F.col("a_start_s"), F.col("b_end_s") - F.col("b_start_s"))
+    once = first_shared_bucket(F.col("a_start_s"), F.col("b_start_s"))
+    near = a.join(b, ["session_id", "ip", "bucket"]).where((F.col("a_leg_id") < F.col("b_leg_id")) & once & (shared > OVERLAP * shorter))
+    return near.select("session_id", F.col("a_leg_id").alias("x"), F.col("b_leg_id").alias("y"))
 
-    def solve(key: tuple, nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        found = component_of(nodes["leg_id"].tolist(), list(zip(pairs["x"].tolist(), pairs["y"].tolist())))
-        return pd.DataFrame({"session_id": key[0], "leg_id": list(found), "call_id": list(found.values())})
 
-    nodes = legs.select(F.col("session_id").alias("s"), "leg_id").groupBy("s")
-    both = nodes.cogroup(edges.select(F.col("session_id").alias("s"), "x", "y").groupBy("s"))
-    return both.applyInPandas(solve, "session_id long, leg_id long, call_id long")
+def call_of(legs: DataFrame) -> DataFrame:
+    """(session_id, leg_id, call_id): legs that edges connect, the call named by its smallest leg. A source ties its legs to one of them, so that no pairs arise."""
+    hub = F.min("leg_id").over(Window.partitionBy("session_id", "ssrc"))
+    by_source = legs.select(F.col("leg_id").alias("x"), hub.alias("y")).where("x <> y")
+    parts = components(by_source.unionByName(overlapping(legs).select("x", "y"))).withColumnsRenamed({"node": "leg_id", "root": "call_id"})
+    return legs.select("session_id", "leg_id").join(parts, "leg_id", "left").select("session_id", "leg_id", F.coalesce("call_id", "leg_id").alias("call_id"))
 
 
 CALLS_SQL = EDGES_SQL + """, b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
@@ -79,8 +64,7 @@ CALLS_SQL = EDGES_SQL + """, b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM
     FROM legs JOIN m ON m.leg_id = legs.leg_id GROUP BY session_id, call_id""")
 def calls(legs: DataFrame) -> DataFrame:
     """Calls: connected legs, with their span and devices."""
-    of = grouped_components(legs, leg_edges(legs))
-    return legs.join(of, ["session_id", "leg_id"]).groupBy("session_id", "call_id").agg(
+    return legs.join(call_of(legs), ["session_id", "leg_id"]).groupBy("session_id", "call_id").agg(
         F.count("*").alias("legs"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count_distinct("ip").alias("devices")
     )
 
@@ -118,7 +102,7 @@ def strong_binding(legs: DataFrame, dialogs: DataFrame) -> DataFrame:
     SELECT session_id, r1, r2 FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.session_id = w.session_id AND s.r1 = w.r1 AND s.r2 = w.r2)""")
 def roles_apart(legs: DataFrame) -> DataFrame:
     """Pairs of capture points of a session that share no call."""
-    of = legs.join(grouped_components(legs, leg_edges(legs)), ["session_id", "leg_id"])
+    of = legs.join(call_of(legs), ["session_id", "leg_id"])
     pairs = lambda df, by: df.groupBy(*by).agg(F.array_sort(F.collect_set("role")).alias("r")).select(
         "session_id", F.explode(F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: y > x), lambda y: F.struct(x.alias("r1"), y.alias("r2")))))).alias("p")
     ).select("session_id", "p.r1", "p.r2")

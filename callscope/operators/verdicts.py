@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from typing import TYPE_CHECKING
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import scalars
-from callscope.operators.calls import bucketed, first_shared_bucket, grouped_components, leg_edges
+from callscope.operators.assembly import merged_units
+from callscope.operators.calls import bucketed, call_of, first_shared_bucket
 from callscope.operators.signalling import answer_and_bye
 from callscope.operators.streams import clock_rate, main_pt
 from callscope.plans.registry import query
-
-if TYPE_CHECKING:
-    import pandas as pd
+from callscope.work import materialize
 
 SERVER = "192.0.2.1"
 #: Clock bands of audio (narrow, wide) and video, in Hz.
@@ -122,36 +119,14 @@ def media_manifest(streams: DataFrame, packets: DataFrame) -> DataFrame:
     return streams.join(n, ["role", "ssrc"]).select(name.alias("name"), "packets")
 
 
-def merged(key: tuple, legs: pd.DataFrame) -> pd.DataFrame:
-    """Calls of one session after greedy merging: two calls of at most two devices together that overlap and end within 3 s of each other become one, scanning anew after each merge."""
-    import pandas as pd
-
-    calls = [
-        {"ids": sorted(g["leg_id"]), "ips": set(g["ip"]), "start": int(g["start_s"].min()), "end": int(g["end_s"].max())}
-        for _, g in sorted(legs.groupby("call_id"), key=lambda kv: (kv[1]["start_s"].min(), kv[0]))
-    ]
-    again = True
-    while again:
-        again = False
-        for i, a in enumerate(calls):
-            for j in range(i + 1, len(calls)):
-                b = calls[j]
-                if len(a["ips"] | b["ips"]) <= 2 and abs(a["end"] - b["end"]) <= 3 and min(a["end"], b["end"]) > max(a["start"], b["start"]):
-                    calls[i] = {"ids": sorted(a["ids"] + b["ids"]), "ips": a["ips"] | b["ips"], "start": min(a["start"], b["start"]), "end": max(a["end"], b["end"])}
-                    del calls[j]
-                    again = True
-                    break
-            if again:
-                break
-    return pd.DataFrame([{"session_id": key[0], "call_id": c["ids"][0], "legs": len(c["ids"]), "devices": len(c["ips"])} for c in calls])
-
-
 @query("gr4_merged_calls", "legs")
 def merged_calls(legs: DataFrame) -> DataFrame:
-    """Calls after the order-dependent merge, a fold over each session's few calls."""
-    of = grouped_components(legs, leg_edges(legs))
-    rows = legs.join(of, ["session_id", "leg_id"]).select(F.col("session_id").alias("s"), "leg_id", "call_id", "ip", "start_s", "end_s")
-    return rows.groupBy("s").applyInPandas(merged, "session_id long, call_id long, legs long, devices long")
+    """Calls after the order-dependent merge of those that hold two devices at most together, overlap and end aligned."""
+    rows = materialize(legs.join(call_of(legs), ["session_id", "leg_id"]).withColumnRenamed("call_id", "unit_id"))
+    nothing = {c: F.lit(None).cast("string") for c in ("at", "peer_ip", "peer_at")}
+    merged = merged_units(rows.select("session_id", "unit_id", "start_s", "end_s", "ip").withColumns(nothing))
+    out = rows.join(merged, ["session_id", "unit_id"]).groupBy("session_id", "call_id")
+    return out.agg(F.count("*").alias("legs"), F.count_distinct("ip").alias("devices"))
 
 
 @query(

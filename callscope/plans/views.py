@@ -87,6 +87,26 @@ VIEWS = {
         SELECT o_orderkey AS leg_id, o_custkey % 400 AS session_id, o_orderkey % 5000 AS ssrc, concat('10.', CAST(o_custkey % 250 AS STRING), '.0.1') AS ip,
           (o_orderkey * 7919) % 20000 AS start_s, (o_orderkey * 7919) % 20000 + 60 + o_orderkey % 600 AS end_s,
           CASE o_orderkey % 3 WHEN 0 THEN 'terminal' WHEN 1 THEN 'fs' ELSE 'seat' END AS role, o_orderkey % 90 AS first_seq FROM {orders}""",
+    # Media between two ends as one capture saw it. A call has a leg at each side of the server, each captured twice; a third of all calls are
+    # one session's. Some captures share no source with the other, some devices send from a second address, some ends don't align.
+    "flow_calls": """
+        SELECT o_orderkey AS flow_id, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS c, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 4 < 2 THEN 0 ELSE 1 END AS side, o_custkey AS z FROM {orders}""",
+    "flows": """
+        SELECT CASE WHEN c % 3 = 0 THEN CAST(0 AS BIGINT) ELSE CAST((c - c % 20) / 20 AS BIGINT) END AS session_id, flow_id, CASE k WHEN 0 THEN 'terminal' WHEN 3 THEN 'seat' ELSE 'fs' END AS role,
+          concat(CASE WHEN c % 13 = 0 AND k = 0 THEN '172.16.' WHEN side = 0 THEN '10.0.' ELSE '10.1.' END, CAST(c % 150 AS STRING), '.1') AS ip, CAST(10000 + c % 5000 AS INT) AS port,
+          CASE WHEN c % 23 = 0 THEN concat('10.1.', CAST(c % 150 AS STRING), '.1') ELSE '192.0.2.1' END AS peer_ip, CAST(20000 + (c * 2 + side) % 9000 AS INT) AS peer_port,
+          (c * 7919) % 20000 + z % 3 AS start_s, (c * 7919) % 20000 + 60 + c % 600 + z % 3 + CASE WHEN c % 11 = 0 THEN 15 * side ELSE 0 END AS end_s FROM {flow_calls}""",
+    "flow_sources": """
+        SELECT CASE WHEN c % 3 = 0 THEN CAST(0 AS BIGINT) ELSE CAST((c - c % 20) / 20 AS BIGINT) END AS session_id, flow_id, c * 10 + side * 4 + d + CASE WHEN c % 7 = 0 THEN 5000000 * k ELSE 0 END AS ssrc
+        FROM {flow_calls} CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) WHERE (z + d) % 7 <> 0""",
+    # What the signalling of a leg says: its span, announced ends and who took part; some announce nothing, some legs have none.
+    "leg_dialogs": """
+        SELECT session_id, flow_id AS dialog_id, start_s - 5 - z % 4 AS first_s, end_s + z % 9 AS last_s FROM {flows} JOIN (SELECT flow_id AS f, z, c, k FROM {flow_calls}) ON f = flow_id WHERE k IN (1, 2) AND (c + k) % 9 <> 0""",
+    "dialog_ends": """
+        SELECT session_id, dialog_id, CASE WHEN d = 0 THEN ip ELSE peer_ip END AS ip, CASE WHEN d = 0 THEN port ELSE peer_port END AS port
+        FROM {leg_dialogs} JOIN (SELECT flow_id, ip, port, peer_ip, peer_port FROM {flows}) ON flow_id = dialog_id CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) WHERE dialog_id % 5 <> 0""",
+    "dialog_peers": """
+        SELECT session_id, dialog_id, ip FROM {leg_dialogs} JOIN (SELECT flow_id, ip FROM {flows}) ON flow_id = dialog_id""",
     "dialogs": """
         SELECT o_orderkey AS dialog_id, o_custkey % 400 AS session_id, concat('10.', CAST(o_custkey % 250 AS STRING), '.0.1') AS ip,
           (o_orderkey * 7919) % 20000 - (o_orderkey % 25) AS invite_s, (o_orderkey * 7919) % 20000 + 40 + o_orderkey % 600 AS bye_s
