@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from callscope.operators.folds import sorted_fold
 from callscope.plans.registry import query
 
 WINDOW_US = 32_000_000
@@ -36,26 +38,32 @@ DEDUPE_SQL = """, s AS (SELECT *, CASE file WHEN 'fs' THEN 0 WHEN 'terminal' THE
 def message_dedupe(messages: DataFrame) -> DataFrame:
     """One row per message: copies within 32 s of the kept one are resends (same capture) or replace it (better capture).
 
-    A fold per message key, in time order; a group holds one message's copies only.
+    Copies of a key pass by in order of time; only the kept one is held.
     """
-    one = F.struct(F.col("t_us"), F.col("file"), priority(F.col("file")).cast("int").alias("pr"))
-    kept = "struct<t_us:bigint,file:string,pr:int,retrans:bigint>"
-    zero = F.struct(F.array().cast(f"array<{kept}>").alias("done"), F.lit(None).cast(kept).alias("now"))
-
-    def fresh(x: Column, retrans: Column) -> Column:
-        return F.struct(x["t_us"].alias("t_us"), x["file"].alias("file"), x["pr"].alias("pr"), retrans.cast("long").alias("retrans"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = s["now"]
-        new = now.isNull() | (x["t_us"] - now["t_us"] > WINDOW_US)
-        done = F.when(new & now.isNotNull(), F.concat(s["done"], F.array(now))).otherwise(s["done"])
-        same = fresh(now, now["retrans"] + 1)
-        kept_ = F.when(new, fresh(x, F.lit(0))).when(x["file"] == now["file"], same).when(x["pr"] < now["pr"], fresh(x, now["retrans"])).otherwise(now)
-        return F.struct(done.alias("done"), kept_.alias("now"))
-
-    folded = messages.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("copies"))
-    rows = F.aggregate("copies", zero, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    return folded.select(*KEY, F.explode(rows).alias("k")).select(*KEY, "k.t_us", "k.file", "k.retrans")
+    rows = messages.select(*KEY, "t_us", "file", priority(F.col("file")).cast("int").alias("rank"))
+    return sorted_fold(rows, KEY, ["t_us", "file"], Copies, T.StructType().add("t_us", "long").add("file", "string").add("retrans", "long"))
+
+
+class Copies:
+    """The kept copy of a message: its time, its capture and that one's rank (least is best), and its resends."""
+
+    def __init__(self, *now: object) -> None:
+        self.now = now or None
+
+    def feed(self, t_us: int, file: object, rank: int) -> list[tuple]:
+        """The copy that this one ends, if any, as (t_us, file, retrans)."""
+        if self.now is None or t_us - self.now[0] > WINDOW_US:
+            done, self.now = self.close(), (t_us, file, rank, 0)
+            return done
+        if file == self.now[1]:
+            self.now = (*self.now[:3], self.now[3] + 1)
+        elif rank < self.now[2]:
+            self.now = (t_us, file, rank, self.now[3])
+        return []
+
+    def close(self) -> list[tuple]:
+        done, self.now = [(self.now[0], self.now[1], self.now[3])] if self.now else [], None
+        return done
 
 
 @query(
