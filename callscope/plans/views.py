@@ -120,6 +120,22 @@ VIEWS = {
     "ip_ranges": """
         SELECT CAST(n_nationkey AS BIGINT) * 65536 * 3 + 16777216 AS start_ip, CAST(n_nationkey AS BIGINT) * 65536 * 3 + 16777216 + 65536 * 2 + 999 AS end_ip, n_name AS region FROM {nation}""",
     "addresses": "SELECT c_custkey AS id, 16777216 + (c_custkey * 104729) % 5000000 AS ip FROM {customer}",
+    # What checks say of calls and their streams, one row a finding. media is null where a check isn't about one kind of media.
+    "evidence": """
+        SELECT user_id AS call_id, CASE WHEN event_id % 21 IN (0, 1, 13, 14) THEN CAST(NULL AS STRING) WHEN event_id % 2 = 0 THEN 'video' ELSE 'audio' END AS media,
+          concat('s', CAST(user_id * 10 + event_id % 4 AS STRING)) AS subject,
+          CASE event_id % 21 WHEN 0 THEN 'silence' WHEN 1 THEN 'relay' WHEN 2 THEN 'loss' WHEN 3 THEN 'loss' WHEN 4 THEN 'reports' WHEN 5 THEN 'order' WHEN 6 THEN 'quality' WHEN 7 THEN 'quality' WHEN 8 THEN 'quality' WHEN 9 THEN 'codec'
+            WHEN 10 THEN 'continuity' WHEN 11 THEN 'continuity' WHEN 12 THEN 'frames' WHEN 13 THEN 'server' WHEN 14 THEN 'pair' WHEN 15 THEN 'jitter' WHEN 16 THEN 'chain' WHEN 17 THEN 'roundtrip' WHEN 18 THEN 'nack' WHEN 19 THEN 'key_requests' ELSE 'frames' END AS check_name,
+          CASE event_id % 21 WHEN 0 THEN CASE user_id % 6 WHEN 0 THEN 'blocked' WHEN 1 THEN 'silent_path' WHEN 2 THEN 'no_source' ELSE 'ok' END
+            WHEN 1 THEN CASE user_id % 7 WHEN 0 THEN 'redirected' WHEN 1 THEN 'no_relay' WHEN 2 THEN 'partial_uplink' WHEN 3 THEN 'partial_downlink' ELSE 'relayed' END
+            WHEN 6 THEN CASE event_id % 5 WHEN 0 THEN 'howling' WHEN 1 THEN 'hum' WHEN 2 THEN 'clipping' WHEN 3 THEN 'prompt_tone' ELSE 'broken_nal' END
+            WHEN 7 THEN CASE event_id % 5 WHEN 0 THEN 'clicks' WHEN 1 THEN 'noise' WHEN 2 THEN 'low_level' WHEN 3 THEN 'high_level' ELSE 'no_idr' END
+            WHEN 8 THEN CASE event_id % 5 WHEN 0 THEN 'no_speech' WHEN 1 THEN 'rtp_loss' WHEN 2 THEN 'decode_errors' WHEN 3 THEN 'video_loss' ELSE 'idr_gap' END
+            WHEN 9 THEN CASE event_id % 8 WHEN 1 THEN 'G.711 PCMU' WHEN 3 THEN 'PCMA' ELSE 'OPUS' END
+            WHEN 14 THEN CASE user_id % 3 WHEN 0 THEN 'unseen' ELSE 'seen' END ELSE CASE WHEN event_id % 4 < 2 THEN 'high' ELSE 'ok' END END AS verdict,
+          CASE WHEN event_id % 21 IN (6, 7, 8) THEN CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' END END AS level,
+          CASE event_id % 21 WHEN 2 THEN value / 20 WHEN 3 THEN value / 50 WHEN 4 THEN value / 25 WHEN 12 THEN value / 5 WHEN 20 THEN value / 4 WHEN 15 THEN value / 6 ELSE value END AS value,
+          CASE WHEN event_id % 21 IN (12, 20) THEN event_id % 300 ELSE event_id % 6 END AS n, event_id % 5 % 2 AS backward, event_id % 10 % 3 AS duplicates FROM {events}""",
     "findings": """
         SELECT event_id AS finding_id, user_id AS call_id, CASE event_type WHEN 'error' THEN 'loss' WHEN 'signup' THEN 'jitter' WHEN 'click' THEN 'silence' WHEN 'view' THEN 'delay' ELSE 'clipping' END AS kind,
           value, concat('s', CAST(event_id % 9 AS STRING)) AS stream FROM {events}""",
