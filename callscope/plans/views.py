@@ -136,6 +136,30 @@ VIEWS = {
           CASE WHEN event_id % 21 IN (6, 7, 8) THEN CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' END END AS level,
           CASE event_id % 21 WHEN 2 THEN value / 20 WHEN 3 THEN value / 50 WHEN 4 THEN value / 25 WHEN 12 THEN value / 5 WHEN 20 THEN value / 4 WHEN 15 THEN value / 6 ELSE value END AS value,
           CASE WHEN event_id % 21 IN (12, 20) THEN event_id % 300 ELSE event_id % 6 END AS n, event_id % 5 % 2 AS backward, event_id % 10 % 3 AS duplicates FROM {events}""",
+    # Calls through a server between two devices, captured at up to three points with clocks of their own: source 1 is what the caller
+    # sends, 2 what the callee gets of it, 3 what the callee sends, 4 what the caller gets. Some captures and streams are missing, some calls go direct.
+    "path_calls": """
+        SELECT DISTINCT user_id AS call_id, concat('10.0.', CAST(user_id % 200 AS STRING), '.1') AS caller_ip, concat('10.1.', CAST(user_id % 200 AS STRING), '.1') AS callee_ip, user_id % 7 = 0 AS direct FROM {events}""",
+    "path_kinds": """
+        SELECT 'terminal' AS role, 1 AS kind, 0 AS at_us UNION ALL SELECT 'fs', 1, 210000 UNION ALL SELECT 'fs', 2, 230000 UNION ALL SELECT 'seat', 2, 140000
+        UNION ALL SELECT 'seat', 3, 100000 UNION ALL SELECT 'fs', 3, 210000 UNION ALL SELECT 'fs', 4, 230000 UNION ALL SELECT 'terminal', 4, 40000 UNION ALL SELECT 'seat', 1, 110000""",
+    "path_packets": """
+        SELECT ssrc AS call_id, role, ssrc * 10 + kind AS ssrc, seq, pkt_no, t_us + at_us + (pkt_no * 31 + kind) % 4000
+            + CASE WHEN ssrc % 13 = 0 AND role = 'seat' AND pkt_no % 9 = 0 THEN 250000 ELSE 0 END AS t_us
+        FROM (SELECT ssrc, seq, pkt_no, t_us FROM {pkt}) CROSS JOIN {path_kinds}
+        WHERE (pkt_no + kind) % 23 <> 0 AND (CASE WHEN ssrc % 7 = 0 THEN (kind = 1 AND role IN ('terminal', 'seat')) OR (kind = 4 AND role = 'terminal') ELSE NOT (kind = 1 AND role = 'seat') END)
+          AND NOT (ssrc % 5 = 1 AND role = 'seat') AND NOT (ssrc % 17 = 3 AND role = 'fs') AND NOT (ssrc % 6 = 5 AND role = 'terminal') AND NOT (ssrc % 8 = 2 AND kind IN (2, 4)) AND NOT (ssrc % 9 = 4 AND kind = 3 AND role = 'fs') AND NOT (ssrc % 11 = 0 AND kind IN (2, 4) AND pkt_no % 8 <> 0)""",
+    "path_points": "SELECT DISTINCT call_id, role FROM {path_packets}",
+    "path_streams": """
+        SELECT call_id, role, ssrc, CASE kind WHEN 1 THEN caller_ip WHEN 3 THEN callee_ip WHEN 4 THEN CASE WHEN direct THEN callee_ip ELSE '192.0.2.1' END ELSE '192.0.2.1' END AS src_ip,
+          CASE kind WHEN 1 THEN CASE WHEN direct THEN callee_ip ELSE '192.0.2.1' END WHEN 2 THEN callee_ip WHEN 3 THEN '192.0.2.1' ELSE caller_ip END AS dst_ip, packets
+        FROM (SELECT call_id, role, ssrc, ssrc % 10 AS kind, count(*) AS packets FROM {path_packets} GROUP BY call_id, role, ssrc) s JOIN (SELECT call_id AS c, caller_ip, callee_ip, direct FROM {path_calls}) ON c = call_id""",
+    # How each stream of a call sounds at each point.
+    "path_sounds": """
+        SELECT call_id, role, ssrc, CASE (call_id * 3 + ssrc + length(role)) % 6 WHEN 0 THEN 'silent' WHEN 1 THEN 'sparse' WHEN 2 THEN 'unknown' ELSE 'normal' END AS sound FROM {path_streams} WHERE (call_id + ssrc) % 19 <> 0""",
+    # Levels of packets as they were sent, with the sender's clock.
+    "levels": """
+        SELECT role, ssrc, seq, rtp_ts, pt, t_us, pkt_no, value * 12 AS level FROM {pkt} JOIN (SELECT event_id, value FROM {events}) ON event_id = pkt_no""",
     "findings": """
         SELECT event_id AS finding_id, user_id AS call_id, CASE event_type WHEN 'error' THEN 'loss' WHEN 'signup' THEN 'jitter' WHEN 'click' THEN 'silence' WHEN 'view' THEN 'delay' ELSE 'clipping' END AS kind,
           value, concat('s', CAST(event_id % 9 AS STRING)) AS stream FROM {events}""",
