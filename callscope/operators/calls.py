@@ -152,29 +152,6 @@ def early_first_seq(legs: DataFrame, within_s: int = 300) -> DataFrame:
     )
 
 
-@query(
-    "ag14_relay_matrix", "legs",
-    sql=""" SELECT ip, count(*) FILTER (role = 'terminal') AS terminal, count(*) FILTER (role = 'fs') AS fs, count(*) FILTER (role = 'seat') AS seat, min(start_s) AS first_s, max(end_s) AS last_s FROM legs GROUP BY ip""",
-)
-def relay_matrix(legs: DataFrame) -> DataFrame:
-    """What each device sends and receives, by capture point."""
-    by = [F.count_if(F.col("role") == r).alias(r) for r in ("terminal", "fs", "seat")]
-    return legs.groupBy("ip").agg(*by, F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
-
-
-@query(
-    "rl8_relay_verdict", "legs",
-    sql=""", m AS (SELECT session_id, ip, count(*) FILTER (role = 'terminal') AS up, count(*) FILTER (role = 'fs') AS down FROM legs GROUP BY ALL)
-    SELECT session_id, ip, CASE WHEN up = 0 AND down = 0 THEN 'insufficient' WHEN up > 0 AND down = 0 THEN 'partial_uplink' WHEN up = 0 THEN 'partial_downlink' ELSE 'relayed' END AS verdict FROM m""",
-)
-def relay_verdict(legs: DataFrame) -> DataFrame:
-    """Whether a device's media passes the server both ways."""
-    up, down = F.count_if(F.col("role") == "terminal"), F.count_if(F.col("role") == "fs")
-    m = legs.groupBy("session_id", "ip").agg(up.alias("up"), down.alias("down"))
-    v = F.when((F.col("up") == 0) & (F.col("down") == 0), "insufficient").when((F.col("up") > 0) & (F.col("down") == 0), "partial_uplink").when(F.col("up") == 0, "partial_downlink").otherwise("relayed")
-    return m.select("session_id", "ip", v.alias("verdict"))
-
-
 @query(
     "ag22_main_peer", "sip",
     sql=", n AS (SELECT src AS ip, dst AS peer, count(*) AS n FROM sip GROUP BY ALL) SELECT ip, arg_min(peer, (-n, peer)) AS peer, max(n) AS messages FROM n GROUP BY ip",

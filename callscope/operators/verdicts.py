@@ -94,17 +94,6 @@ def silence_diagnosis(streams: DataFrame, frames: DataFrame) -> DataFrame:
     return streams.join(p, "ssrc", "left").select("role", "ssrc", direction.alias("direction"), diagnosis.alias("diagnosis"))
 
 
-@query(
-    "rl5_media_redirects", "legs", "dialogs",
-    sql=""" SELECT d.dialog_id, l.leg_id, d.ip AS announced, l.ip AS seen FROM dialogs d JOIN legs l ON l.session_id = d.session_id AND l.leg_id = d.dialog_id + 400 AND l.ip <> d.ip""",
-)
-def media_redirects(legs: DataFrame, dialogs: DataFrame) -> DataFrame:
-    """Legs whose device isn't the one that their dialog announced."""
-    seen = legs.select("session_id", "leg_id", F.col("ip").alias("seen"))
-    d = dialogs.select("session_id", "dialog_id", F.col("ip").alias("announced"), (F.col("dialog_id") + 400).alias("leg_id"))
-    return d.join(seen, ["session_id", "leg_id"]).where("announced <> seen").select("dialog_id", "leg_id", "announced", "seen")
-
-
 @query(
     "snk5_media_manifest", "streams", "captures",
     sql=""", n AS (SELECT role, ssrc, count(*) AS packets FROM captures GROUP BY role, ssrc)

@@ -75,7 +75,7 @@ VIEWS = {
           CAST(1 + (turn - step) / 4 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS INT) AS cseq,
           CASE WHEN from_device THEN device ELSE '192.0.2.1' END AS src, CASE WHEN from_device THEN '192.0.2.1' ELSE device END AS dst,
           CASE WHEN CASE step WHEN 0 THEN k % 4 <> 0 WHEN 3 THEN k % 2 = 0 ELSE k % 3 <> 1 END
-            THEN concat('v=0', chr(13), chr(10), 'c=IN IP4 ', CASE WHEN k % 31 = 0 THEN '0.0.0.0' WHEN from_device THEN device ELSE '192.0.2.1' END, chr(13), chr(10), media) ELSE '' END AS body
+            THEN concat('v=0', chr(13), chr(10), 'c=IN IP4 ', CASE WHEN k % 31 = 0 THEN '0.0.0.0' WHEN from_device OR k % 37 = 0 THEN device ELSE '192.0.2.1' END, chr(13), chr(10), media) ELSE '' END AS body
         FROM {sdp_parts}""",
     "rtcp": """
         SELECT event_id AS report_no, user_id AS ssrc, user_id + 500 + event_id % 3 AS reporter, CAST(event_id % 6 AS DOUBLE) AS fraction,
@@ -160,6 +160,22 @@ VIEWS = {
     # Levels of packets as they were sent, with the sender's clock.
     "levels": """
         SELECT role, ssrc, seq, rtp_ts, pt, t_us, pkt_no, value * 12 AS level FROM {pkt} JOIN (SELECT event_id, value FROM {events}) ON event_id = pkt_no""",
+    # Media between devices and the server, by call: who sends what, who gets what, some of it under another address of the device.
+    "relay_calls": """
+        SELECT DISTINCT c AS call_no, concat('10.', CAST(3 * c % 200 AS STRING), '.0.1') AS caller_ip, CASE WHEN c % 41 = 0 THEN NULL ELSE concat('10.', CAST((3 * c + 1) % 200 AS STRING), '.0.1') END AS callee_ip
+        FROM (SELECT CAST((o - o % 3) / 3 AS BIGINT) AS c FROM {sdp_turns})""",
+    "relay_streams": """
+        SELECT c AS call_no, turn * 10 + o % 3 AS stream, CASE WHEN up THEN device ELSE '192.0.2.1' END AS src_ip, CASE WHEN up THEN '192.0.2.1' WHEN c % 4 = 0 AND side = 1 THEN concat('172.16.', CAST(c % 100 AS STRING), '.1') ELSE device END AS dst_ip,
+          CASE WHEN k % 3 = 0 THEN 'video' ELSE 'audio' END AS media, CASE WHEN k % 19 = 0 THEN 9000 ELSE 200 + k END AS packets, turn * 5 AS start_s, turn * 5 + 10 + k % 50 AS end_s
+        FROM (SELECT *, CAST((o - o % 3) / 3 AS BIGINT) AS c, o % 3 AS side, s % 2 = 0 OR (o % 9 = 0 AND s % 5 > 0) AS up, concat('10.', CAST(o % 200 AS STRING), '.0.1') AS device FROM {sdp_turns} WHERE o % 7 <> 0 AND o % 3 < 2)""",
+    "relay_announced": """
+        SELECT call_no, 'caller' AS side, caller_ip AS ip FROM {relay_calls} UNION ALL SELECT call_no, 'callee', callee_ip FROM {relay_calls} WHERE callee_ip IS NOT NULL
+        UNION ALL SELECT call_no, 'callee', concat('172.16.', CAST(call_no % 100 AS STRING), '.1') FROM {relay_calls} WHERE call_no % 4 = 0 UNION ALL SELECT call_no, 'caller', '192.0.2.1' FROM {relay_calls}
+        UNION ALL SELECT call_no, 'caller', callee_ip FROM {relay_calls} WHERE call_no % 9 = 0""",
+    # What each side agreed on; of some calls nothing is known.
+    "relay_agreed": """
+        SELECT call_no, side, media FROM {relay_calls} CROSS JOIN (SELECT 'caller' AS side UNION ALL SELECT 'callee') CROSS JOIN (SELECT 'audio' AS media UNION ALL SELECT 'video')
+        WHERE call_no % 5 <> 0 AND (media = 'audio' OR (side = 'callee' AND call_no % 3 <> 1) OR (side = 'caller' AND call_no % 2 = 0))""",
     "findings": """
         SELECT event_id AS finding_id, user_id AS call_id, CASE event_type WHEN 'error' THEN 'loss' WHEN 'signup' THEN 'jitter' WHEN 'click' THEN 'silence' WHEN 'view' THEN 'delay' ELSE 'clipping' END AS kind,
           value, concat('s', CAST(event_id % 9 AS STRING)) AS stream FROM {events}""",
