@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.modular import signed32
 from callscope.operators.delay import TOLERANCE_US, next_at
-from callscope.operators.streams import extended
+from callscope.operators.streams import extended, upper_median
 from callscope.plans.registry import query
 
 SERVER = "192.0.2.1"
@@ -223,11 +223,7 @@ def activity(levels: DataFrame) -> DataFrame:
     counts = once.groupBy(*of, "pt").agg(F.count("*").alias("n"))
     main = counts.groupBy(*of).agg(F.min(F.struct((-F.col("n")).alias("n"), "pt")).getField("pt").alias("main"))
     steps = once.withColumn("d", signed32("rtp_ts", F.lag("rtp_ts").over(Window.partitionBy(*of).orderBy("ext"))))
-    # The upper median: the value at place n // 2 of the sorted ones.
-    ranked = steps.where("d > 0").groupBy(*of, "d").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*of).orderBy("d"))
-    ranked = ranked.withColumn("upto", upto).withColumn("half", F.expr("sum(k) over (partition by role, ssrc) div 2"))
-    middle = ranked.where("upto > half").groupBy(*of).agg(F.min("d").alias("m"))
+    middle = upper_median(steps.where("d > 0"), of, "d").withColumnRenamed("upper_median", "m")
     size = F.when(F.col("m").between(1, RATE // 2), F.col("m")).otherwise(160)
     rows = steps.join(main, of).join(middle, of, "left").withColumn("size", size)
     gap = F.col("d") - F.col("size")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.functions.modular import ahead16, signed16, signed32
+from callscope.operators.folds import sorted_fold
 from callscope.plans.registry import query
 
 GAP_MS, ABNORMAL_MS, OFFSET_MS = 200.0, 100.0, 500.0
@@ -105,9 +107,13 @@ def jitter(packets: DataFrame) -> DataFrame:
     """Gap statistics per stream and the expected gap: the centre of the fullest 1 ms bin up to 50 ms, the first on ties."""
     kept = packet_gaps(packets).where((F.col("gap_ms") > 0) & (F.col("gap_ms") < GAP_MS))
     stats = kept.groupBy("role", "ssrc").agg(*statistics("gap_ms"), F.count_if(F.col("gap_ms") > ABNORMAL_MS).alias("abnormal"))
-    bins = kept.where("gap_ms <= 50").groupBy("role", "ssrc", F.least(F.floor("gap_ms"), F.lit(49)).alias("bin")).agg(F.count("*").alias("n"))
-    modal = bins.groupBy("role", "ssrc").agg((F.min(F.struct(-F.col("n"), "bin")).getField("bin") + F.lit(0.5)).cast("double").alias("expected_ms"))
-    return stats.join(modal, ["role", "ssrc"], "left").withColumn("expected_ms", F.coalesce("expected_ms", F.lit(0.5)))
+    return stats.join(modal_gap(kept), ["role", "ssrc"], "left").withColumn("expected_ms", F.coalesce("expected_ms", F.lit(0.5)))
+
+
+def modal_gap(gaps: DataFrame) -> DataFrame:
+    """(role, ssrc, expected_ms) of streams that have gaps of up to 50 ms."""
+    bins = gaps.where("gap_ms > 0 and gap_ms <= 50").groupBy("role", "ssrc", F.least(F.floor("gap_ms"), F.lit(49)).alias("bin")).agg(F.count("*").alias("n"))
+    return bins.groupBy("role", "ssrc").agg((F.min(F.struct(-F.col("n"), "bin")).getField("bin") + F.lit(0.5)).cast("double").alias("expected_ms"))
 
 
 @query(
@@ -123,19 +129,24 @@ def worst_jitter(packets: DataFrame) -> DataFrame:
 
 
 @query(
-    "wn2_drift", "captures", doubles="drift_ms largest_ms drift_ms_per_s",
-    sql=""", g AS (SELECT role, ssrc, t_us, pkt_no, t_us - lag(t_us) OVER (PARTITION BY role, ssrc ORDER BY t_us, pkt_no) - 20000 AS d FROM captures),
-    c AS (SELECT *, sum(d) OVER (PARTITION BY role, ssrc ORDER BY t_us, pkt_no) AS s FROM g WHERE d IS NOT NULL)
-    SELECT role, ssrc, CAST(sum(d) AS DOUBLE) / 1000 AS drift_ms, CAST(max(abs(s)) AS DOUBLE) / 1000 AS largest_ms,
-      CAST(sum(d) AS DOUBLE) * 1000 / nullif(max(t_us) - min(t_us), 0) AS drift_ms_per_s FROM c GROUP BY role, ssrc""",
+    "wn2_drift", "captures", doubles="expected_ms drift_ms largest_ms drift_ms_per_s",
+    sql=""", g AS (SELECT role, ssrc, t_us, pkt_no, t_us - lag(t_us) OVER (PARTITION BY role, ssrc ORDER BY t_us, pkt_no) AS gap FROM captures),
+    b AS (SELECT role, ssrc, arg_min(bin, (-n, bin)) + CAST(0.5 AS DOUBLE) AS e FROM
+      (SELECT role, ssrc, least(floor(gap / CAST(1000 AS DOUBLE)), 49) AS bin, count(*) AS n FROM g WHERE gap > 0 AND gap <= 50000 GROUP BY ALL) GROUP BY role, ssrc),
+    w AS (SELECT g.*, coalesce(e, 20) AS e, gap - coalesce(e, 20) * 1000 AS d FROM g LEFT JOIN b USING (role, ssrc)),
+    c AS (SELECT *, sum(d) OVER (PARTITION BY role, ssrc ORDER BY t_us, pkt_no) AS s FROM w WHERE gap IS NOT NULL)
+    SELECT role, ssrc, max(e) AS expected_ms, sum(d) / 1000 AS drift_ms, max(abs(s)) / 1000 AS largest_ms, sum(d) * 1000 / nullif(max(t_us) - min(t_us), 0) AS drift_ms_per_s FROM c GROUP BY role, ssrc""",
 )
-def drift(packets: DataFrame, expected_us: int = 20_000) -> DataFrame:
-    """Accumulated difference between gaps and the expected gap."""
-    df = packets.withColumn("d", F.col("t_us") - F.lag("t_us").over(by_time()) - expected_us).withColumn("s", F.sum("d").over(running())).where("d is not null")
-    total = F.sum("d").cast("double")
+def drift(packets: DataFrame, usual_ms: float = 20.0) -> DataFrame:
+    """Accumulated difference between gaps and the stream's own usual gap: the centre of its fullest 1 ms bin up to 50 ms, `usual_ms` if it has no such gap."""
+    gaps = packets.withColumn("gap", F.col("t_us") - F.lag("t_us").over(by_time())).where("gap is not null")
+    df = gaps.join(modal_gap(gaps.withColumn("gap_ms", F.col("gap") / 1000)), ["role", "ssrc"], "left").withColumn("expected_ms", F.coalesce("expected_ms", F.lit(usual_ms)))
+    df = df.withColumn("d", F.col("gap") - F.col("expected_ms") * 1000).withColumn("s", F.sum("d").over(running()))
+    total = F.sum("d")
     return df.groupBy("role", "ssrc").agg(
+        F.max("expected_ms").alias("expected_ms"),
         (total / 1000).alias("drift_ms"),
-        (F.max(F.abs("s")).cast("double") / 1000).alias("largest_ms"),
+        (F.max(F.abs("s")) / 1000).alias("largest_ms"),
         F.try_divide(total * 1000, F.max("t_us") - F.min("t_us")).alias("drift_ms_per_s"),
     )
 
@@ -211,9 +222,15 @@ def rtp_integrity(packets: DataFrame) -> DataFrame:
 def median_ts_delta(packets: DataFrame) -> DataFrame:
     """Median of the positive timestamp steps: the usual one, and the upper one."""
     d = packets.select("role", "ssrc", signed32("rtp_ts", F.lag("rtp_ts").over(by_time())).alias("d")).where("d > 0")
-    return d.groupBy("role", "ssrc").agg(
-        F.percentile("d", 0.5).alias("median_delta"), F.element_at(F.array_sort(F.collect_list("d")), (F.floor(F.count("d") / 2) + 1).cast("int")).alias("upper_median")
-    )
+    return d.groupBy("role", "ssrc").agg(F.percentile("d", 0.5).alias("median_delta")).join(upper_median(d, ["role", "ssrc"], "d"), ["role", "ssrc"])
+
+
+def upper_median(rows: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """(keys, upper_median): the value at place n div 2 of n sorted ones, by counts of equal values, so that no group is gathered."""
+    counts = rows.groupBy(*keys, c).agg(F.count("*").alias("_k"))
+    upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*keys).orderBy(c)))
+    half = upto.groupBy(*keys).agg(F.expr("max(_upto) div 2").alias("_half"))
+    return upto.join(half, keys).where("_upto > _half").groupBy(*keys).agg(F.min(c).alias("upper_median"))
 
 
 @query(
@@ -233,9 +250,6 @@ def clock_rate(packets: DataFrame, tail: int = 64) -> DataFrame:
     return rates.where(F.size("r") >= 4).select("role", "ssrc", F.element_at("r", F.floor(F.size("r") / 2).cast("int") + 1).alias("clock_rate"))
 
 
-CONTINUITY = "struct<prev_seq:bigint,prev_ts:bigint,prev_main:boolean,pending:double,wraps:bigint,jumps:bigint,backward:bigint,reorders:bigint,duplicates:bigint,gap:double>"
-
-
 @query(
     "wn4_ts_continuity", "pkt", doubles="media_gap_ms", recursive=True,
     sql=""", p AS (SELECT ssrc, arg_min(pt, (-n, pt)) AS main_pt FROM (SELECT ssrc, pt, count(*) AS n FROM pkt GROUP BY ALL) GROUP BY ssrc),
@@ -260,40 +274,53 @@ CONTINUITY = "struct<prev_seq:bigint,prev_ts:bigint,prev_main:boolean,pending:do
 def ts_continuity(packets: DataFrame, rate: int = 8000) -> DataFrame:
     """Timestamp jumps, steps back, reorders and duplicates of each audio stream: an ordered fold with a debt.
 
-    One row per stream holds its packets; packets outside the main payload type are skipped.
+    Packets pass by in order of time, only the counts and the debt are held; packets outside the main payload type are skipped.
     """
     main = packets.groupBy("ssrc", "pt").agg(F.count("*").alias("n")).groupBy("ssrc").agg(F.min(F.struct(-F.col("n"), "pt")).getField("pt").alias("main_pt"))
     w = Window.partitionBy("ssrc").orderBy("t_us", "pkt_no")
     df = packets.join(main, "ssrc").withColumn("main", F.col("pt") == F.col("main_pt")).withColumn("d", signed32("rtp_ts", F.lag("rtp_ts").over(w)))
     df = df.withColumn("g", ahead16("seq", F.lag("seq").over(w))).withColumn("use", F.col("main") & F.lag("main").over(w))
     df = df.withColumn("wrap", (F.col("d") > 0) & (F.col("rtp_ts") < F.lag("rtp_ts").over(w)))
-    steps = df.groupBy("ssrc").agg(
-        F.array_sort(F.collect_list(F.struct("t_us", "pkt_no", "d", "g", "use"))).alias("steps"),
-        F.coalesce(F.rint(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5)), F.lit(0.0)).alias("med"),
-        F.count_if("wrap").alias("wraps"),
-    )
-    med, limit = F.col("med"), F.greatest(F.floor(F.col("med") / 2), F.lit(1))
-    names = ("jumps", "backward", "reorders", "duplicates")
-    zero = F.struct(F.lit(0.0).alias("pending"), *(F.lit(0).cast("long").alias(k) for k in names), F.lit(0.0).alias("gap"))
-
-    def step(s: Column, x: Column) -> Column:
-        d, g = x["d"], x["g"]
-        use = F.coalesce(x["use"], F.lit(False)) & d.isNotNull()
-        net = d - g * med + s["pending"]
-        moving = use & (d > 0) & (med > 0) & (g < 32768)
-        is_ = {"jumps": moving & (net > limit), "backward": use & (d < 0) & (g < 32768), "reorders": use & (d < 0) & (g >= 32768), "duplicates": use & (d == 0)}
-        pending = (
-            F.when(is_["reorders"], s["pending"] + d + (65536 - g) * med)
-            .when(is_["backward"], s["pending"] + d - g * med)
-            .when(is_["duplicates"], s["pending"] - med)
-            .when(is_["jumps"], F.lit(0.0))
-            .when(moving, F.least(net, F.lit(0.0)))
-            .otherwise(s["pending"])
-        )
-        return F.struct(pending.alias("pending"), *((s[k] + is_[k].cast("long")).alias(k) for k in names), (s["gap"] + F.when(is_["jumps"], net).otherwise(0.0)).alias("gap"))
-
-    out = steps.withColumn("r", F.aggregate("steps", zero, step))
-    return out.select("ssrc", "wraps", *(F.col("r")[k].alias(k) for k in names), (F.col("r")["gap"] * 1000 / rate).alias("media_gap_ms"))
+    usual = df.groupBy("ssrc").agg(F.coalesce(F.rint(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5)), F.lit(0.0)).alias("med"), F.count_if("wrap").alias("wraps"))
+    steps = df.join(usual, "ssrc").select("ssrc", "t_us", "pkt_no", "d", "g", F.coalesce("use", F.lit(False)).alias("use"), "med")
+    found = sorted_fold(steps, ["ssrc"], ["t_us", "pkt_no"], Continuity, CONTINUITY).join(usual, "ssrc")
+    return found.select("ssrc", "wraps", "jumps", "backward", "reorders", "duplicates", (F.col("gap") * 1000 / rate).alias("media_gap_ms"))
+
+
+CONTINUITY = T.StructType().add("jumps", "long").add("backward", "long").add("reorders", "long").add("duplicates", "long").add("gap", "double")
+
+
+class Continuity:
+    """How a sender's clock moves against its packets' numbers. What a step falls short of is a debt that later steps make up for first."""
+
+    def __init__(self) -> None:
+        self.jumps = self.backward = self.reorders = self.duplicates = 0
+        self.debt = self.gap = 0.0
+
+    def feed(self, t_us: int, pkt_no: int, d: int | None, g: int | None, use: bool, med: float) -> tuple:
+        if not use or d is None:
+            return ()
+        if d == 0:
+            self.duplicates += 1
+            self.debt -= med
+        elif d < 0 and g < 32768:
+            self.backward += 1
+            self.debt += d - g * med
+        elif d < 0:
+            self.reorders += 1
+            self.debt += d + (65536 - g) * med
+        elif med > 0 and g < 32768:
+            net = d - g * med + self.debt
+            if net > max(med // 2, 1):
+                self.jumps += 1
+                self.gap += net
+                self.debt = 0.0
+            else:
+                self.debt = min(net, 0.0)
+        return ()
+
+    def close(self) -> tuple:
+        return ((self.jumps, self.backward, self.reorders, self.duplicates, self.gap),)
 
 
 @query(
