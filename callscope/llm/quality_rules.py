@@ -4,7 +4,8 @@ RULES names a measure and the range it must keep to; `verdict` turns the table i
 column. All measures are built-in expressions on the row itself: no user functions, no shuffle.
 
 Defined results: null or wordless text has no words, so it fails the base rule; ratios of such texts
-are 0; an empty table gives no rows; repeated rows are each judged.
+are 0; an empty table gives no rows; repeated rows are each judged; very long texts are measured whole;
+a measure at the end of its range passes; other columns, whatever their names, stay in `row`.
 """
 
 from __future__ import annotations
@@ -68,7 +69,6 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     per_word = lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))
     per_line = lambda x: F.coalesce(F.try_divide(x, F.size("_lines")), F.lit(0.0))
     without = lambda chars: F.length(F.translate("_text", chars, ""))
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
     dup_lines = F.size("_lines") - F.size(F.array_distinct("_lines"))
     measures = {
         "n_words": n,
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "mean_word_chars": per_word(without(SPACE)),
         "symbols_per_word": per_word(F.length("_text") - without(SYMBOLS)),
         "exclamations_per_word": per_word(F.length("_text") - without("!")),
-        "stop_word_ratio": per_word(F.size(F.filter("_words", lambda w: F.array_contains(stop, F.lower(w))))),
+        "stop_word_ratio": per_word(F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS)))),
         "dup_line_ratio": per_line(dup_lines),
         "distinct_word_ratio": per_word(F.size(F.array_distinct("_words"))),
         "bullet_line_ratio": per_line(F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]")))),

@@ -8,7 +8,8 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import BASE_PHRASES, plain_words, runs_by_hand, shingles, space_words
+from pyspark.sql import functions as F
+from test_operators import BASE_PHRASES, DOCS, plain_words, rows, runs_by_hand, shingles, space_words
 
 import corpus_pipeline
 from callscope.llm import common, html_extract, line_dedup, packing, token_count
@@ -149,3 +150,21 @@ def test_pipeline(spark, data, duck):
         hit = {p for s in range(len(w)) for n in {len(x) for x in windows} if tuple(w[s : s + n]) in windows for p in range(s, s + n)}
         assert (i in clean) == (not hit or 20 * len(hit) < len(w))
     check_packed(kept[4].collect(), clean)
+
+
+def test_stages_of_odd_rows(spark, data):
+    """Null, empty, repeated and very long texts, rows without ids and columns that clash go through each stage."""
+    df = spark.createDataFrame(rows(), DOCS).withColumns({c: F.lit(5) for c in ("row", "n_words", "score", "node", "digest", "items", "window", "fp")})
+    before = {x.doc_id for x in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.materialize(stage(spark, df, data))
+        assert out.columns == df.columns, name
+        assert {x.doc_id for x in out.collect()} <= before and out.where("doc_id is null").count() <= 2
+        assert stage(spark, df.limit(0), data).count() == 0, name
+        df = out
+    kept = {x.doc_id: x.text for x in df.where("doc_id is not null").collect()}
+    assert len(kept) > 20 and any(not (t or "").strip() for t in kept.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, data)
+    assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} >= set(kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), data).count() == 0
+
