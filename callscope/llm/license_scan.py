@@ -58,10 +58,11 @@ def may_match(text: Column) -> Column:
 
 
 def weights(docs: DataFrame, text_col: str) -> dict[str, float]:
-    """idf of each index word over all documents."""
-    found = docs.where(may_match(F.col(text_col))).select(F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, INDEXED))).alias("w"))
-    df = {r.w: r.n for r in found.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    n = docs.count()
+    """idf of each index word over all documents, which are counted in the same pass, as if each held an empty word."""
+    mine = F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, INDEXED)))
+    found = docs.select(F.explode(F.concat(F.array(F.lit("")), F.when(may_match(F.coalesce(F.col(text_col), F.lit(""))), mine).otherwise(F.array().cast("array<string>")))).alias("w"))
+    df = {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    n = df.get("", 0)
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1.0 for w in INDEXED}
 
 
