@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callscope.work import materialize
+
+__all__ = ["binary_texts", "lower_az", "map_text", "materialize", "per_process", "space_words", "table", "word_list"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z; every other byte becomes a space.
 WORD_TABLE = bytes(
@@ -38,23 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_path(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a local one only where none is set."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="callscope-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/callscope/{sc.applicationId}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = work_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def binary_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """Texts as UTF-8 bytes, null as empty, one at a time."""
     for v in column.cast(pa.large_binary()):

@@ -7,7 +7,9 @@ run of marks that follows something else, and also around characters without a p
 symbols are their UTF-8 bytes; equal pieces of text are counted once per task and remembered.
 
 Defined results: null or empty text has no tokens and no bytes; any other text gets one leading
-space mark; strings of special tokens are ordinary text; an empty table gives no rows.
+space mark; strings of special tokens are ordinary text; very long texts are counted whole; of adjacent pairs of equal
+rank the left one merges first; repeated rows are each counted; other columns, whatever their names, stay in `row`; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
