@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is written as Parquet to the cluster's shared folder and read again before the next.
+
+Defined results of all stages: a null text counts as an empty one and stays until packing, which gives it its closing token; very long texts
+are taken whole; rows that repeat a doc_id stay or go together; rows without a doc_id stay; columns beyond those of `documents`, whatever their
+names, are kept up to packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
