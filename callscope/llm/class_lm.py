@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import compress
 from types import SimpleNamespace
 
 import numpy as np
@@ -42,7 +43,7 @@ PAIRS = CLASSES * CLASSES
 #: Frequent words that exchange clusters on their own, and groups that stand in for the other words, by ending.
 CLUSTERED, ENDINGS = 766, 256
 #: Most words whose counts are broadcast.
-HEAD = 100_000
+HEAD = 250_000
 ROUNDS = 6
 #: Pseudo-counts for p(class | class).
 MU = 20.0
@@ -73,64 +74,52 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent()
 
 
-class Grown:
-    """An array that values are added to."""
+class Endings(dict):
+    """Items of words that aren't clustered, by their last three bytes."""
 
-    def __init__(self):
-        self.values, self.n = np.empty(1024, np.int64), 0
+    def __init__(self, first: int):
+        super().__init__()
+        self.first = first
 
-    def extend(self, more: list[int]) -> None:
-        while self.n + len(more) > len(self.values):
-            self.values = np.concatenate((self.values, np.empty_like(self.values)))
-        self.values[self.n : self.n + len(more)] = more
-        self.n += len(more)
-
-
-class Numbers(dict):
-    """Numbers of words in order of their first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.names.append(word)
+    def __missing__(self, last: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        n = self[last] = self.first + ending(last)
         return n
 
 
-class Words:
-    """The words that a task has met, numbered, with their items: the clustered words, the groups by ending, the end (and start); begun anew after FLUSH words, between texts."""
+class Items:
+    """Items of words: the clustered words, the groups by ending, the end (and start)."""
 
     def __init__(self, item_of: dict[bytes, int]):
-        self.ids, self.names, self.items, self.item_of = Numbers(), [], Grown(), item_of
-        self.ids.names = self.names
-        self.end = len(item_of) + ENDINGS
-
-    def full(self) -> bool:
-        return len(self.ids) > FLUSH
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        at = np.array(list(map(self.ids.__getitem__, words)), np.int64)
-        get, first = self.item_of.get, len(self.item_of)
-        self.items.extend([i if (i := get(w)) is not None else first + ending(w) for w in self.names[self.items.n :]])
-        return at
-
-    def item(self, at: np.ndarray) -> np.ndarray:
-        return self.items.values[at]
+        self.get, self.first = item_of.get, len(item_of)
+        self.end, self.by_ending = self.first + ENDINGS, Endings(self.first)
 
-    def ended(self, items: np.ndarray) -> np.ndarray:
-        """Start, the items, end."""
-        return np.concatenate(([self.end], items, [self.end]))
+    def ended(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Start, the words' items, end; which words aren't clustered; and these."""
+        get, by_ending = self.get, self.by_ending
+        out = np.array([self.end, *[get(w, -1) for w in words], self.end], np.int64)
+        open_ = out[1:-1] < 0
+        rare = list(compress(words, open_.tolist()))
+        out[1:-1][open_] = [by_ending[w[-3:]] for w in rare]
+        return out, open_, rare
 
 
 def pair_counter(item_of: dict[bytes, int]) -> Callable:
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Words(item_of)
-        n_items = met.end + 1
-        total = np.zeros(n_items * n_items, np.int64)
+        items = Items(item_of)
+        n_items = items.end + 1
+        total, kept, held = np.zeros(n_items * n_items, np.int64), [], 0
         for b in batches:
             for text in common.binary_texts(b.column(0)):
-                s = met.ended(met.item(met.numbers(common.space_words(text))))
-                np.add.at(total, s[:-1] * n_items + s[1:], 1)
-                if met.full():
-                    met = Words(item_of)
+                s, _, _ = items.ended(common.space_words(text))
+                kept.append(s[:-1] * n_items + s[1:])
+                held += len(s)
+                if held > 10 * FLUSH:
+                    total += np.bincount(np.concatenate(kept), minlength=len(total))
+                    kept, held = [], 0
+        if kept:
+            total += np.bincount(np.concatenate(kept), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
@@ -142,23 +131,25 @@ def neighbour_counter(shared) -> Callable:
 
     def counted_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_of, of = shared.value
-        met, kept, held = Words(item_of), [], 0
+        items, met, kept, held = Items(item_of), {}, [], 0
 
         def sent() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(kept or [np.empty(0, np.int64)]), return_counts=True)
-            words = pa.array(met.names, pa.binary()).cast(pa.string()).take(pa.array(keys // PAIRS))
+            words = pa.array(list(met), pa.binary()).cast(pa.string()).take(pa.array(keys // PAIRS))
             return pa.RecordBatch.from_arrays([words, pa.array(keys % PAIRS, pa.int32()), pa.array(n, pa.int64())], names=["word", "beside", "n"])
 
         for b in batches:
             for text in common.binary_texts(b.column(0)):
-                at = met.numbers(common.space_words(text))
-                item = met.item(at)
-                cls = of[met.ended(item)]
-                kept.append((at * PAIRS + cls[:-2] * CLASSES + cls[2:])[item >= len(item_of)])
-                held += len(kept[-1])
-                if met.full() or held > 10 * FLUSH:
+                item, open_, rare = items.ended(common.space_words(text))
+                cls = of[item]
+                # Words are numbered in order of their first appearance.
+                number = met.setdefault
+                at = np.array([number(w, len(met)) for w in rare], np.int64)
+                kept.append(at * PAIRS + (cls[:-2] * CLASSES + cls[2:])[open_])
+                held += len(at)
+                if len(met) > FLUSH or held > 10 * FLUSH:
                     yield sent()
-                    met, kept, held = Words(item_of), [], 0
+                    met, kept, held = {}, [], 0
         yield sent()
 
     return counted_beside
@@ -273,22 +264,22 @@ def scorer(shared) -> Callable:
 
         def work(texts: pa.Array) -> list[pa.Array]:
             cols: list[list] = [[], [], [], [], [], [], []]
-            met, at_head = Words(m.item_of), Grown()
+            by_ending, get = Endings(m.first), m.head.get
             for text in common.binary_texts(texts):
                 words = common.space_words(text)
-                if met.full():
-                    met, at_head = Words(m.item_of), Grown()
-                at = met.numbers(words)
-                at_head.extend([m.head.get(w, -1) for w in met.names[at_head.n :]])
-                item, row = met.item(at), at_head.values[at]
-                before = m.of[met.ended(item)][:-1]
+                row = np.array([get(w, -1) for w in words], np.int64)
                 known = row >= 0
+                unseen = list(compress(words, (~known).tolist()))
+                item = m.item[row]
+                item[~known] = [by_ending[w[-3:]] for w in unseen]
+                of = m.of[item]
+                before = np.concatenate(([CLASSES - 1], of))
                 # Class of each word: a known word's own, else that of its ending.
-                place = before[:-1] * CLASSES + np.where(known, m.cls[row], m.of[item])
+                place = before[:-1] * CLASSES + np.where(known, m.cls[row], of)
                 score = float(gain[place].sum() + m.own[row[known]].sum() + m.end_gain[before[-1]])
                 base = float(np.log10(m.ends + 1.0)) - m.base * (len(words) + 1) + float(m.plain[row[known]].sum())
-                rest, times = np.unique(at[~known] * PAIRS + place[~known], return_counts=True)
-                found = (len(words) + 1, int(m.ends > 0) + int(known.sum()), base, score, [met.names[i] for i in (rest // PAIRS).tolist()], rest % PAIRS, times)
+                rest = Counter(zip(unseen, place[~known].tolist()))
+                found = (len(words) + 1, int(m.ends > 0) + int(known.sum()), base, score, [w for w, _ in rest], [k for _, k in rest], list(rest.values()))
                 for col, v in zip(cols, found):
                     col.append(v)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -362,7 +353,9 @@ def scored(docs: DataFrame, training: Column, text_col: str = "text", keep: list
     step = steps(cc)
     gain = step - np.log10(size)
     model = {
-        "item_of": item_of,
+        "first": len(own),
+        # The item of each frequent word; the last stands for no word.
+        "item": np.concatenate((np.arange(len(own)), [len(own) + ending(w.encode()) for w in top["word"]], [0])).astype(np.int64),
         "of": of,
         "head": {w: i for i, w in enumerate([*own, *(w.encode() for w in top["word"])])},
         # The last class stands for no word.
