@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import scalars
@@ -52,18 +52,24 @@ def session_codecs(packets: DataFrame) -> DataFrame:
     SELECT leg_id, arg_min(dialog_id, (apart, dialog_id)) AS dialog_id, min(apart) AS apart FROM c GROUP BY leg_id""",
 )
 def nearest_dialog(legs: DataFrame, dialogs: DataFrame, within_s: int = 6) -> DataFrame:
-    """The dialog of a leg's device that begins or ends within 6 s of it, the nearest. Each dialog is keyed by the seconds around its two ends."""
-
-    def ends(df: DataFrame, start: str, end: str, wide: int) -> DataFrame:
-        at = lambda c: F.sequence(F.col(c) - wide, F.col(c) + wide)
-        each = F.explode(F.array(F.struct(F.lit("start").alias("which"), at(start).alias("s")), F.struct(F.lit("end").alias("which"), at(end).alias("s"))))
-        return df.withColumn("_e", each).withColumn("second", F.explode("_e.s")).withColumn("which", F.col("_e.which")).drop("_e")
-
-    d = ends(dialogs, "invite_s", "bye_s", within_s)
-    j = ends(legs, "start_s", "end_s", 0).join(d, ["session_id", "ip", "which", "second"])
-    apart = F.least(F.abs(F.col("end_s") - F.col("bye_s")), F.abs(F.col("start_s") - F.col("invite_s")))
-    best = F.min(F.struct(apart.alias("apart"), "dialog_id"))
-    return j.groupBy("leg_id").agg(best.alias("k")).select("leg_id", "k.dialog_id", "k.apart")
+    """The dialog of a leg's device that begins or ends within 6 s of it, the nearest: the last before it and the first after it at either end, from sorts, without pairs."""
+
+    def ends(df: DataFrame, leg: Column, dialog: Column, start: str, end: str) -> DataFrame:
+        each = F.explode(F.array(F.struct(F.lit("start").alias("which"), F.col(start).alias("s")), F.struct(F.lit("end").alias("which"), F.col(end).alias("s"))))
+        return df.select("session_id", "ip", leg.alias("leg_id"), dialog.alias("dialog_id"), each.alias("e")).select("session_id", "ip", "leg_id", "dialog_id", "e.*")
+
+    none = F.lit(None).cast("long")
+    rows = ends(legs, F.col("leg_id"), none, "start_s", "end_s").unionByName(ends(dialogs, none, F.col("dialog_id"), "invite_s", "bye_s"))
+    rows = rows.where("session_id is not null and ip is not null and s is not null")
+    at, is_dialog = Window.partitionBy("session_id", "ip", "which"), F.col("dialog_id").isNotNull()
+    # Both frames grow from the first row, so that each is one pass: of those before, the latest, then the smallest; of those after, the earliest, then the smallest.
+    before = F.max(F.when(is_dialog, F.struct("s", (-F.col("dialog_id")).alias("d")))).over(at.orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(is_dialog, F.struct("s", F.col("dialog_id").alias("d")))).over(at.orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    j = rows.withColumns({"before": before, "after": after}).where("leg_id is not null")
+    sides = F.array(F.struct((F.col("s") - F.col("before.s")).alias("apart"), (-F.col("before.d")).alias("dialog_id")), F.struct((F.col("after.s") - F.col("s")).alias("apart"), F.col("after.d").alias("dialog_id")))
+    best = F.min(F.struct("k.apart", "k.dialog_id"))
+    near = j.select("leg_id", F.explode(sides).alias("k")).where(F.col("k.apart") <= within_s)
+    return near.groupBy("leg_id").agg(best.alias("k")).select("leg_id", "k.dialog_id", "k.apart")
 
 
 @query(
