@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from callscope.operators.folds import sorted_fold
 from callscope.operators.streams import OFFSET_MS, STAT_SQL, statistics
 from callscope.plans.registry import query
 
@@ -64,8 +68,9 @@ def end_to_end(a: DataFrame, b: DataFrame, local_ms: float = 2.0) -> DataFrame:
 
 
 def next_at(rows: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """rows: keys, t_us, side ('in' or 'out'). Each 'in' row with next_us, the first 'out' time at or after it (strictly after, if strict). One sort, no pairs."""
-    w = Window.partitionBy(*keys).orderBy("t_us").rangeBetween(1 if strict else Window.currentRow, Window.unboundedFollowing)
+    """rows: keys, t_us, side ('in' or 'out'). Each 'in' row with next_us, the first 'out' time at or after it (strictly after, if strict). One sort, latest
+    first, no pairs: the frame grows from there in one pass, where one that reaches to the end would be read anew for each row."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("t_us")).rangeBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
     return rows.withColumn("next_us", F.min(F.when(F.col("side") == "out", F.col("t_us"))).over(w)).where("side = 'in'").drop("side")
 
 
@@ -102,15 +107,55 @@ def reverse_ports(streams: DataFrame) -> DataFrame:
     SELECT ssrc, arg_min(o, (-n, o)) AS out_ssrc, max(n) AS matched FROM n GROUP BY ssrc""",
 )
 def stream_pairing(streams: DataFrame, inbound: DataFrame, outbound: DataFrame) -> DataFrame:
-    """For each stream into the server, the outbound stream to the same device that follows it most often."""
+    """For each stream into the server, the outbound stream to the same device that follows it most often.
+
+    An outbound packet takes the inbound ones of the half second before it, so that a stream covers a few spans of time. One whose only span lies
+    inside a span of a smaller stream never wins. A stream covered whole is settled without its packets; what is left is counted pair by pair.
+    """
     s = streams.where("role = 'fs'")
     into = s.where("dst_ip = '192.0.2.1'").select("ssrc", F.col("src_ip").alias("ip"))
     out = s.where("src_ip = '192.0.2.1'").select(F.col("ssrc").alias("o"), F.col("dst_ip").alias("ip"))
-    pairs = into.join(out, "ip").select("ssrc", "o")
-    rows = pairs.join(inbound.select("ssrc", "t_us"), "ssrc").withColumn("side", F.lit("in"))
-    rows = rows.unionByName(pairs.join(outbound.select(F.col("ssrc").alias("o"), "t_us"), "o").withColumn("side", F.lit("out")))
-    n = next_at(rows, ["ssrc", "o"]).where(F.col("next_us") - F.col("t_us") < TOLERANCE_US).groupBy("ssrc", "o").agg(F.count("*").alias("n"))
-    return n.groupBy("ssrc").agg(F.min(F.struct(-F.col("n"), "o")).getField("o").alias("out_ssrc"), F.max("n").alias("matched"))
+    at = Window.partitionBy("o").orderBy("t_us")
+    sent = outbound.select(F.col("ssrc").alias("o"), "t_us").where("o is not null and t_us is not null")
+    sent = sent.withColumn("cut", F.coalesce(F.col("t_us") - F.lag("t_us").over(at) > TOLERANCE_US, F.lit(False)).cast("long"))
+    sent = sent.withColumn("span", F.sum("cut").over(at)).groupBy("o", "span").agg((F.min("t_us") - TOLERANCE_US).alias("low"), F.max("t_us").alias("high"))
+    spans = out.join(sent.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans")), "o").where("ip is not null").select("ip", "o", "spans")
+    kept = sorted_fold(spans, ["ip"], ["o"], Covering, T.StructType([spans.schema["o"], spans.schema["spans"]]))
+    mine = into.join(inbound.groupBy("ssrc").agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"), F.count("t_us").alias("packets")), "ssrc")
+    whole = F.exists("spans", lambda x: (x["low"] < F.col("first")) & (x["high"] >= F.col("last")))
+    pairs = mine.join(kept, "ip").withColumn("sure", F.min(F.when(whole, F.col("o"))).over(Window.partitionBy("ssrc"))).where("packets > 0")
+    sure = pairs.where("o = sure").select("ssrc", "o", F.col("packets").alias("n")).distinct()
+    left = pairs.where(F.col("sure").isNull() | ((F.col("o") < F.col("sure")) & (F.size("spans") > 1))).select("ssrc", "o", "spans")
+    taken = F.exists("spans", lambda x: (x["low"] < F.col("t_us")) & (x["high"] >= F.col("t_us")))
+    counted = left.join(inbound.select("ssrc", "t_us"), "ssrc").where(taken).groupBy("ssrc", "o").agg(F.count("*").alias("n"))
+    return sure.unionByName(counted).groupBy("ssrc").agg(F.min(F.struct(-F.col("n"), "o")).getField("o").alias("out_ssrc"), F.max("n").alias("matched"))
+
+
+class Covering:
+    """Streams of a device by their numbers, without those whose one span lies inside a span of an earlier one. Holds spans that lie in no other."""
+
+    def __init__(self) -> None:
+        self.lows: list[int] = []
+        self.highs: list[int] = []
+
+    def inside(self, low: int, high: int) -> bool:
+        i = bisect.bisect_right(self.lows, low) - 1
+        return i >= 0 and self.highs[i] >= high
+
+    def feed(self, o: int, spans: list[dict]) -> tuple:
+        if len(spans) == 1 and self.inside(spans[0]["low"], spans[0]["high"]):
+            return ()
+        for low, high in ((x["low"], x["high"]) for x in spans):
+            if self.inside(low, high):
+                continue
+            i = j = bisect.bisect_left(self.lows, low)
+            while j < len(self.highs) and self.highs[j] <= high:
+                j += 1
+            self.lows[i:j], self.highs[i:j] = [low], [high]
+        return ((o, spans),)
+
+    def close(self) -> tuple:
+        return ()
 
 
 @query(

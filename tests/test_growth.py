@@ -2,7 +2,7 @@
 
 import random
 
-from callscope.operators import calls, verdicts
+from callscope.operators import calls, delay, verdicts
 
 LEGS = "leg_id long, session_id long, ssrc long, ip string, start_s long, end_s long, role string, first_seq long"
 DIALOGS = "dialog_id long, session_id long, ip string, invite_s long, bye_s long"
@@ -40,3 +40,23 @@ def test_exactly_seven_tenths_is_not_most(spark):
     """63 of 90 seconds: 0.7 * 90 is less than 63 in doubles."""
     legs = spark.createDataFrame([(1, 1, 1, "a", 0, 90, "x", 0), (2, 1, 2, "a", 27, 200, "x", 0), (3, 1, 3, "a", 26, 116, "x", 0)], LEGS)
     assert {(x.x, x.y) for x in calls.leg_edges(legs).collect()} == {(1, 3), (2, 3)}
+
+
+def test_stream_pairing_counts_only_what_can_win(spark):
+    """Streams with long gaps and of all lengths, many to a device, against counting every pair; few of them reach the join."""
+    for seed in range(3):
+        r = random.Random(seed)
+        times = lambda: sorted({r.randrange(4_000_000) for _ in range(r.choice([1, 2, 5, 30]))})
+        server = "192.0.2.1"
+        ins, outs = ({k: (f"10.0.0.{r.randrange(2)}", times()) for k in range(a, a + n)} for a, n in ((0, 30), (100, 40)))
+        rows = [("fs", k, ip, server) for k, (ip, _) in ins.items()] + [("fs", k, server, ip) for k, (ip, _) in outs.items()]
+        streams = spark.createDataFrame(rows, "role string, ssrc long, src_ip string, dst_ip string")
+        packets = [spark.createDataFrame([(k, t) for k, (_, ts) in side.items() for t in ts], "ssrc long, t_us long") for side in (ins, outs)]
+        want = {}
+        for k, (ip, ts) in ins.items():
+            n = [(-sum(any(0 <= q - t < 500_000 for q in qs) for t in ts), o) for o, (at, qs) in outs.items() if at == ip]
+            if n and min(n)[0] < 0:
+                want[k] = (min(n)[1], -min(n)[0])
+        assert {x.ssrc: (x.out_ssrc, x.matched) for x in delay.stream_pairing(streams, *packets).collect()} == want
+    machine = delay.Covering()
+    assert [len(machine.feed(o, [{"low": 0, "high": 100 - o}])) for o in range(50)] == [1] + [0] * 49
