@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import scalars
 from callscope.operators.assembly import merged_units
-from callscope.operators.calls import bucketed, call_of, first_shared_bucket
+from callscope.operators.calls import bucketed, first_shared_bucket, with_calls
 from callscope.operators.signalling import answer_and_bye
 from callscope.operators.streams import clock_rate, main_pt
 from callscope.plans.registry import query
@@ -117,7 +117,7 @@ def media_manifest(streams: DataFrame, packets: DataFrame) -> DataFrame:
 @query("gr4_merged_calls", "legs")
 def merged_calls(legs: DataFrame) -> DataFrame:
     """Calls after the order-dependent merge of those that hold two devices at most together, overlap and end aligned."""
-    rows = materialize(legs.join(call_of(legs), ["session_id", "leg_id"]).withColumnRenamed("call_id", "unit_id"))
+    rows = materialize(with_calls(legs).withColumnRenamed("call_id", "unit_id"))
     nothing = {c: F.lit(None).cast("string") for c in ("at", "peer_ip", "peer_at")}
     merged = merged_units(rows.select("session_id", "unit_id", "start_s", "end_s", "ip").withColumns(nothing))
     out = rows.join(merged, ["session_id", "unit_id"]).groupBy("session_id", "call_id")
