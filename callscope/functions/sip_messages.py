@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,20 @@ def media_sections(body: Column) -> Column:
     """array<struct<kind, port, pts, addr, lines>>: the m= sections of a description, each with its own or the session's address."""
     lines = F.filter(F.split(body, "\r?\n"), lambda x: x != "")
     cut = F.split(F.array_join(lines, "\n"), "\n(?=m=)")
-    session = F.regexp_extract(F.get(F.filter(cut, lambda s: ~s.rlike("^m=")), F.lit(0)), r"(?m)^c=IN IP[46] (\S+)", 1)
-    one = lambda s: F.struct(
+    one = lambda s, session: F.struct(
         F.regexp_extract(s, r"^m=(\w+)", 1).alias("kind"),
         F.regexp_extract(s, r"^m=\w+ (\d+)", 1).try_cast("int").alias("port"),
         F.split(F.regexp_extract(s, r"^m=\w+ \S+ \S+ ?([^\n]*)", 1), " ").alias("pts"),
         F.coalesce(F.nullif(F.regexp_extract(s, r"(?m)^c=IN IP[46] (\S+)", 1), F.lit("")), session).alias("addr"),
         F.filter(F.split(s, "\n"), lambda x: x.rlike("^a=rtpmap:")).alias("maps"),
     )
-    return F.transform(F.filter(cut, lambda s: s.rlike("^m=")), one)
+    session = lambda c: F.regexp_extract(F.get(F.filter(c, lambda s: ~s.rlike("^m=")), F.lit(0)), r"(?m)^c=IN IP[46] (\S+)", 1)
+    return bound_once(cut, lambda c: bound_once(session(c), lambda at: F.transform(F.filter(c, lambda s: s.rlike("^m=")), lambda s: one(s, at))))
+
+
+def bound_once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being computed once a row, however often `then` names it inside its own lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def sdp_endpoints(events: DataFrame) -> DataFrame:

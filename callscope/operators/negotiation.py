@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.functions.scalars import AUDIO_PT, STATIC_PT, codec_match
-from callscope.functions.sip_messages import media_sections
+from callscope.functions.sip_messages import bound_once, media_sections
 from callscope.operators.folds import sorted_fold
 from callscope.operators.streams import clock_rate
 from callscope.plans.registry import query
@@ -19,18 +19,21 @@ EVENTS = "TELEPHONE"
 AUDIO_BANDS, VIDEO_BANDS = ((7200, 8800), (43000, 53000)), ((81000, 99000),)
 
 
-def codecs(sections: Column, kind: str) -> Column:
-    """array<struct<pt, name, rate>> of a description's media sections, in their order; types without a name are left out."""
+def codecs(sections: Column, *kinds: str) -> Column:
+    """array<struct<pt, name, rate>> of a description's media sections of some kinds, in their order; types without a name are left out. Each line of a section is read once."""
     known = F.create_map(*(F.lit(v) for k, (name, rate) in STATIC_PT.items() for v in (str(k), f"{name}/{rate}")))
 
-    def one(section: Column, pt: Column) -> Column:
-        mine = F.get(F.filter(section["maps"], lambda x: F.regexp_extract(x, r"^a=rtpmap:(\d+)\s", 1) == pt), F.lit(0))
-        own, fixed = F.split(F.nullif(F.regexp_extract(mine, r"^a=rtpmap:\d+\s+(\S+)", 1), F.lit("")), "/"), F.split(F.try_element_at(known, pt), "/")
+    def read(line: Column) -> Column:
+        whole = F.nullif(F.regexp_extract(line, r"^a=rtpmap:\d+\s+(\S+)", 1), F.lit(""))
+        return F.struct(F.regexp_extract(line, r"^a=rtpmap:(\d+)\s", 1).alias("pt"), F.split(whole, "/").alias("parts"))
+
+    def one(maps: Column, pt: Column) -> Column:
+        own, fixed = F.get(F.filter(maps, lambda x: x["pt"] == pt), F.lit(0))["parts"], F.split(F.try_element_at(known, pt), "/")
         rate = F.coalesce(F.get(own, F.lit(1)), F.get(fixed, F.lit(1))).try_cast("int")
         return F.struct(pt.alias("pt"), F.upper(F.coalesce(F.get(own, F.lit(0)), F.get(fixed, F.lit(0)))).alias("name"), rate.alias("rate"))
 
-    mine_ = F.filter(sections, lambda s: s["kind"] == kind)
-    all_ = F.flatten(F.transform(mine_, lambda s: F.transform(s["pts"], lambda pt: one(s, pt))))
+    mine_ = F.filter(sections, lambda s: s["kind"].isin(*kinds))
+    all_ = F.flatten(F.transform(mine_, lambda s: bound_once(F.transform(s["maps"], read), lambda maps: F.transform(s["pts"], lambda pt: one(maps, pt)))))
     return F.filter(all_, lambda c: c["name"].isNotNull() & ~c["name"].startswith(EVENTS))
 
 
@@ -157,9 +160,8 @@ def negotiation(messages: DataFrame) -> DataFrame:
 
 def dialog_rounds(messages: DataFrame) -> DataFrame:
     """(call_id, answered, cseq, rounds, offer, answer): the round that holds at the end, with its two descriptions."""
-    rows = messages.where("body rlike '(?m)^m='").withColumn("sections", media_sections(F.col("body")))
-    named = (F.size(codecs(F.col("sections"), "audio")) > 0) | (F.size(codecs(F.col("sections"), "video")) > 0)
-    rows = rows.where(named).select("call_id", "t_us", "msg_no", "method", "cseq", "body")
+    named = F.size(codecs(media_sections(F.col("body")), *KINDS)) > 0
+    rows = messages.where("body rlike '(?m)^m='").where(named).select("call_id", "t_us", "msg_no", "method", "cseq", "body")
     return sorted_fold(rows, ["call_id"], ["t_us", "msg_no"], Rounds, ROUND)
 
 

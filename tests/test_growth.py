@@ -100,3 +100,20 @@ def test_calls_of_dense_legs_need_few_edges(spark):
         assert {x.leg_id: x.call_id for x in calls.call_of(legs).collect()} == {x: of(x) for x in root}
         few = calls.alike(legs, ["session_id", "ip"], "leg_id").count()
         assert few <= 2 * 300 * 1.2 and (seed % 2 or few < pairs / 2)
+
+
+def test_descriptions_are_split_once(spark):
+    """Sections see the parts that were cut once a row: the split isn't repeated for each of them, nor each line for each payload type."""
+    from pyspark.sql import functions as F
+
+    from callscope.functions.sip_messages import media_sections
+    from callscope.operators.negotiation import codecs
+
+    body = "v=0\r\nc=IN IP4 10.0.0.1\r\nm=audio 4000 RTP/AVP 96 0 101 77\r\na=rtpmap:96 opus/48000/2\r\na=rtpmap:101 telephone-event/8000\r\n\r\nm=video 5000 RTP/AVP 97\r\nc=IN IP6 ::1\r\na=rtpmap:97 H264\r\n"
+    df = spark.createDataFrame([(1, body), (2, None), (3, ""), (4, "v=0\r\n"), (5, "m=audio 1 RTP/AVP 8")], "k int, body string")
+    s = media_sections(F.col("body"))
+    got = {x.k: x for x in df.select("k", s.alias("s"), codecs(s, "audio").alias("a"), codecs(s, "audio", "video").alias("b")).collect()}
+    assert [(x.kind, x.port, x.addr, x.pts) for x in got[1].s] == [("audio", 4000, "10.0.0.1", ["96", "0", "101", "77"]), ("video", 5000, "::1", ["97"])]
+    assert [tuple(x) for x in got[1].a] == [("96", "OPUS", 48000), ("0", "PCMU", 8000)] and [tuple(x) for x in got[1].b][2:] == [("97", "H264", None)]
+    assert got[2].s is None and got[3].s == got[4].s == [] and [tuple(x) for x in got[5].a] == [("8", "PCMA", 8000)] and got[5].s[0].addr is None
+    assert df.select(s)._jdf.queryExecution().analyzed().toString().count("split(body#") == 1
