@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.sip_messages import media_sections
 from callscope.plans.registry import query
+from callscope.work import materialize
 
 SERVER = "192.0.2.1"
 KINDS = ("audio", "video")
@@ -47,14 +48,22 @@ MATRIX_SQL = SIDES_SQL + """, dv AS (SELECT call_no, CASE WHEN src_ip = '192.0.2
 @query("ag14_relay_matrix", "relay_calls", "relay_streams", "relay_announced", sql=MATRIX_SQL + " SELECT * FROM mx")
 def relay_matrix(calls: DataFrame, streams: DataFrame, announced: DataFrame, server: str = SERVER) -> DataFrame:
     """Packets of each kind that each device of a call sends to the server and gets from it, second addresses counted with the first, and how long it was sent to."""
+    return matrix(calls, folded(streams, aliases(calls, announced, server), server))
+
+
+def folded(streams: DataFrame, named: DataFrame, server: str) -> DataFrame:
+    """Streams to and from the server, by the device's own address; `second` is the side whose second address it is, if it is one."""
     down = F.col("src_ip") == server
     here = streams.where(down != (F.col("dst_ip") == server)).withColumn("way", F.when(down, "down").otherwise("up")).withColumn("at", F.when(down, F.col("dst_ip")).otherwise(F.col("src_ip")))
-    named = aliases(calls, announced, server).select("call_no", F.col("alias_ip").alias("at"), "party_ip")
-    folded = here.join(named, ["call_no", "at"], "left").withColumn("ip", F.coalesce("party_ip", "at"))
+    known = named.select("call_no", F.col("alias_ip").alias("at"), "party_ip", F.col("side").alias("second"))
+    return here.join(known, ["call_no", "at"], "left").select("call_no", F.coalesce("party_ip", "at").alias("ip"), "second", "way", "media", "packets", "start_s", "end_s")
+
+
+def matrix(calls: DataFrame, of_device: DataFrame) -> DataFrame:
     of = lambda way, kind: (F.col("way") == way) & (F.col("media") == kind)
     counts = [F.coalesce(F.sum(F.when(of(w, k), F.col("packets"))), F.lit(0)).cast("long").alias(f"{k}_{w}") for k in KINDS for w in ("up", "down")]
     spans = [F.coalesce(F.max(F.when(of("down", k), F.col("end_s"))) - F.min(F.when(of("down", k), F.col("start_s"))), F.lit(0)).cast("long").alias(f"{k}_down_s") for k in KINDS]
-    rows = sides(calls).select("call_no", "side", "ip").join(folded.select("call_no", "ip", "way", "media", "packets", "start_s", "end_s"), ["call_no", "ip"], "left")
+    rows = sides(calls).select("call_no", "side", "ip").join(of_device.drop("second"), ["call_no", "ip"], "left")
     return rows.groupBy("call_no", "side", "ip").agg(*counts, *spans)
 
 
@@ -80,10 +89,10 @@ WANT_SQL = MATRIX_SQL + REDIRECT_SQL + """, wt AS (SELECT mx.*, (SELECT count(*)
     pr AS (SELECT a.*, b.call_no IS NOT NULL AS paired, coalesce(b.audio_up, 0) AS peer_audio, coalesce(b.video_up, 0) AS peer_video FROM wt a LEFT JOIN wt b ON b.call_no = a.call_no AND b.side <> a.side)"""
 
 
-def expected(calls: DataFrame, streams: DataFrame, announced: DataFrame, agreed: DataFrame, server: str) -> DataFrame:
-    """The matrix, with what the other device sends up and whether a side expects each kind of media."""
+def expected(calls: DataFrame, of_device: DataFrame, agreed: DataFrame) -> DataFrame:
+    """The matrix, made once, with what the other device sends up and whether a side expects each kind of media."""
     wants = agreed.groupBy("call_no", "side").agg(*(F.bool_or(F.col("media") == k).alias(f"wants_{k}") for k in KINDS))
-    m = relay_matrix(calls, streams, announced, server)
+    m = materialize(matrix(calls, of_device))
     flip = F.when(F.col("side") == "caller", "callee").otherwise("caller")
     peer = m.select("call_no", flip.alias("side"), F.lit(True).alias("paired"), *(F.col(f"{k}_up").alias(f"peer_{k}") for k in KINDS))
     out = m.join(wants, ["call_no", "side"], "left").join(peer, ["call_no", "side"], "left")
@@ -100,7 +109,7 @@ def expected(calls: DataFrame, streams: DataFrame, announced: DataFrame, agreed:
 )
 def relay_verdict(calls: DataFrame, streams: DataFrame, announced: DataFrame, agreed: DataFrame, messages: DataFrame, server: str = SERVER) -> DataFrame:
     """Redirected past the server, not relayed at all, sent by one side only, not passed on to a side that expects it, or relayed."""
-    m = expected(calls, streams, announced, agreed, server)
+    m = expected(calls, folded(streams, aliases(calls, announced, server), server), agreed)
     lacks = lambda k: (F.col(f"{k}_down") == 0) & (F.col(f"peer_{k}") > 0) & F.col(f"wants_{k}")
     gone = [F.array_join(F.array_sort(F.collect_list(F.when(lacks(k), F.concat("side", F.lit(f":{k}"))))), ",") for k in KINDS]
     v = m.groupBy("call_no").agg(F.count("*").alias("devices"), F.count_if(F.col("audio_up") + F.col("video_up") > 0).alias("senders"), gone[0].alias("x"), gone[1].alias("y"))
@@ -124,11 +133,12 @@ def relay_notes(calls: DataFrame, streams: DataFrame, announced: DataFrame, agre
     not_passed_on: the other side sends it, this one never gets it. local_source: it gets what nobody sent (a tone or an announcement). mostly_local: far
     more than was sent. second_address: the server sends to another address of the device than it sends from.
     """
-    m = expected(calls, streams, announced, agreed, server).where("paired")
+    of_device = materialize(folded(streams, aliases(calls, announced, server), server))
+    m = expected(calls, of_device, agreed).where("paired")
     each = F.array(*(F.struct(F.lit(k).alias("media"), F.col(f"{k}_down").alias("down"), F.col(f"{k}_down_s").alias("span"), F.col(f"peer_{k}").alias("peer"), F.col(f"wants_{k}").alias("wants")) for k in KINDS))
     e = m.select("call_no", "side", F.explode(each).alias("e")).select("call_no", "side", "e.*")
     note: Column = F.when(F.col("down") == 0, F.when((F.col("peer") > 0) & F.col("wants"), "not_passed_on")).when(F.col("peer") == 0, "local_source").when((F.col("span") > LONG_S) & (F.col("down") > TIMES * F.col("peer")), "mostly_local")
     found = e.select("call_no", "side", "media", note.alias("note"), "down", "peer").where("note is not null")
-    sent = streams.where((F.col("src_ip") == server) & (F.col("dst_ip") != server)).withColumnRenamed("dst_ip", "alias_ip").join(aliases(calls, announced, server), ["call_no", "alias_ip"])
-    second = sent.groupBy("call_no", "side", "media").agg(F.sum("packets").cast("long").alias("down")).select("call_no", "side", "media", F.lit("second_address").alias("note"), "down", F.lit(None).cast("long").alias("peer"))
+    sent = of_device.where("way = 'down' and second is not null").groupBy("call_no", F.col("second").alias("side"), "media").agg(F.sum("packets").cast("long").alias("down"))
+    second = sent.select("call_no", "side", "media", F.lit("second_address").alias("note"), "down", F.lit(None).cast("long").alias("peer"))
     return found.unionByName(second)

@@ -181,3 +181,23 @@ def test_refined_calls_need_no_pairs(spark):
     for k in range(1000):
         machine.feed(0, 1, k, k + 2, "a", None, None, None)
     assert machine.units[0]["spans"] == [(0, 1001)]
+
+
+def test_relay_notes_read_streams_once(spark):
+    from pyspark.sql import functions as F
+
+    from callscope.operators import relay
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return x
+
+    calls_ = spark.createDataFrame([(1, "10.0.0.1", "10.0.0.2")], "call_no long, caller_ip string, callee_ip string")
+    rows = [(1, 1, "10.0.0.1", relay.SERVER, "audio", 500, 0, 20), (1, 2, relay.SERVER, "172.16.0.1", "audio", 300, 0, 20), (1, 3, relay.SERVER, "10.0.0.1", "audio", 40, 0, 20)]
+    streams = spark.createDataFrame(rows, "call_no long, stream long, src_ip string, dst_ip string, media string, packets long, start_s long, end_s long").withColumn("packets", F.udf(one, "long")("packets"))
+    said = spark.createDataFrame([(1, "callee", "172.16.0.1")], "call_no long, side string, ip string")
+    agreed = spark.createDataFrame([], "call_no long, side string, media string")
+    got = {(x.side, x.note, x.down, x.peer) for x in relay.relay_notes(calls_, streams, said, agreed, None).collect()}
+    assert got == {("caller", "local_source", 40, 0), ("callee", "second_address", 300, None)} and seen.value == 3
