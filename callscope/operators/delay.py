@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.operators.folds import sorted_fold
+from callscope.operators.folds import sorted_fold, spread
 from callscope.operators.streams import OFFSET_MS, STAT_SQL, statistics
 from callscope.plans.registry import query
 
@@ -83,7 +83,7 @@ def next_at(rows: DataFrame, keys: list[str], strict: bool = False) -> DataFrame
 def server_delay(inbound: DataFrame, outbound: DataFrame) -> DataFrame:
     """Time from each inbound packet to the first outbound one of the stream, up to half a second."""
     rows = inbound.select("ssrc", "t_us", F.lit("in").alias("side")).unionByName(outbound.select((F.col("ssrc") - 1_000_000).alias("ssrc"), "t_us", F.lit("out").alias("side")))
-    d = next_at(rows, ["ssrc"]).where(F.col("next_us") - F.col("t_us") < TOLERANCE_US).withColumn("d", (F.col("next_us") - F.col("t_us")) / 1000)
+    d = next_at(spread(rows, "ssrc"), ["ssrc"]).where(F.col("next_us") - F.col("t_us") < TOLERANCE_US).withColumn("d", (F.col("next_us") - F.col("t_us")) / 1000)
     return d.groupBy("ssrc").agg(*statistics("d"), F.count_if(F.col("d") > 50).alias("over_50"), F.count_if(F.col("d") > 100).alias("over_100"))
 
 

@@ -19,11 +19,17 @@ class Machine(Protocol):
     def close(self) -> Iterable[tuple]: ...
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[], Machine], result: T.StructType) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys, in as many partitions as the session's shuffles have. A number that is given stands: without one, adaptive execution deals the tasks
+    of one parallelism out to all branches of a union and makes few large tasks of a branch."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[], Machine], result: T.StructType, apart: bool = False) -> DataFrame:
     """Keys and `result`: what a machine for each key makes of its rows, which pass by one after the other.
 
     One shuffle by key and one sort inside partitions, which spill; a worker holds a batch of rows and the state of one key, never
-    the rows of a key. Columns of df are keys first, then what the machine is fed; `order` is among them.
+    the rows of a key. Columns of df are keys first, then what the machine is fed; `order` is among them. apart: by `spread`, for a branch of a union.
     """
     k = len(keys)
     schema = T.StructType([*(df.schema[c] for c in keys), *result])
@@ -49,4 +55,4 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], machine: Calla
         if state is not None:
             yield packed([now + x for x in state.close()])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (spread(df, *keys) if apart else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

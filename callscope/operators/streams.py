@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callscope.functions.modular import ahead16, signed16, signed32
-from callscope.operators.folds import sorted_fold
+from callscope.operators.folds import sorted_fold, spread
 from callscope.plans.registry import query
 
 GAP_MS, ABNORMAL_MS, OFFSET_MS = 200.0, 100.0, 500.0
@@ -25,6 +25,10 @@ def running() -> WindowSpec:
     return by_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def as_sent() -> WindowSpec:
+    return stream().orderBy("ext", "pkt_no")
+
+
 def statistics(x: str) -> list[Column]:
     """Count, mean, median, tail and spread of a column of milliseconds."""
     c = F.col(x)
@@ -173,17 +177,27 @@ EXT_SQL = """, s AS (SELECT *, seq - lag(seq) OVER w AS d FROM captures WINDOW w
 )
 def packet_loss(packets: DataFrame) -> DataFrame:
     """Lost packets per stream; a late packet is refunded. loss_events and longest_gap keep gaps later filled."""
+    return numbered(packets).groupBy("role", "ssrc").agg(*losses())
+
+
+def numbered(packets: DataFrame) -> DataFrame:
+    """Adds to ext and top start, the first ext; gap, the numbers passed over; de, the step from the number before it as sent. Two sorts of a stream, no table of its packets."""
     df = extended(packets).withColumn("start", F.first("ext").over(running())).withColumn("gap", F.col("top") - F.lag("top").over(by_time()) - 1)
-    arrived = F.count_distinct(F.when(F.col("ext") >= F.col("start"), F.col("ext")))
+    return df.withColumn("de", F.col("ext") - F.lag("ext").over(as_sent()))
+
+
+def losses() -> list[Column]:
+    """Of a stream's numbered packets: what was lost. A number counts once, where it differs from the one before it as sent."""
+    arrived = F.count_if((F.col("ext") >= F.col("start")) & F.coalesce(F.col("de") != 0, F.lit(True)))
     lost = F.max("ext") - F.min("start") + 1 - arrived
-    return df.groupBy("role", "ssrc").agg(
+    return [
         F.count("*").alias("packets"),
         lost.alias("lost"),
         F.count_if(F.col("gap") > 0).alias("loss_events"),
         F.coalesce(F.max(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0).cast("long")).alias("longest_gap"),
         F.count_if(F.col("ext") < F.col("top")).alias("reordered"),
         (lost * 100.0 / (F.count("*") + lost)).alias("loss_pct"),
-    )
+    ]
 
 
 @query(
@@ -199,19 +213,37 @@ def packet_loss(packets: DataFrame) -> DataFrame:
 )
 def rtp_integrity(packets: DataFrame) -> DataFrame:
     """Order of sequence numbers and timestamps as sent; timestamps among packets of the main payload type only."""
-    by_seq = stream().orderBy("ext", "pkt_no")
-    df = extended(packets).join(main_pt(packets), ["role", "ssrc"]).withColumn("main", F.col("pt") == F.col("main_pt"))
-    df = df.withColumn("de", F.col("ext") - F.lag("ext").over(by_seq))
-    before = F.last(F.when(F.col("main"), F.col("rtp_ts")), ignorenulls=True).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("before", before).withColumn("d", F.when(F.col("main"), signed32("rtp_ts", "before")))
-    return df.groupBy("role", "ssrc").agg(
+    return clocked(numbered(packets).join(main_pt(packets), ["role", "ssrc"])).groupBy("role", "ssrc").agg(*orders())
+
+
+def clocked(packets: DataFrame) -> DataFrame:
+    """Adds to numbered packets with main_pt before, the timestamp of the main type before it as sent, and d, the step from there."""
+    df = packets.withColumn("main", F.col("pt") == F.col("main_pt"))
+    before = F.last(F.when(F.col("main"), F.col("rtp_ts")), ignorenulls=True).over(as_sent().rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("before", before).withColumn("d", F.when(F.col("main"), signed32("rtp_ts", "before")))
+
+
+def orders() -> list[Column]:
+    """Of a stream's clocked packets: gaps and order."""
+    return [
         F.count_if(F.col("de") > 1).alias("seq_gaps"),
         F.coalesce(F.sum(F.when(F.col("de") > 1, F.col("de") - 1)), F.lit(0)).cast("long").alias("lost_packets"),
         F.count_if(~F.col("main")).alias("other_pt_packets"),
         F.count_if(F.col("d") < 0).alias("ts_backward"),
         F.count_if(F.col("d") == 0).alias("ts_duplicate"),
         F.count_if((F.col("d") > 0) & (F.col("rtp_ts") < F.col("before"))).alias("ts_wrap"),
-    )
+    ]
+
+
+def stream_checks(packets: DataFrame) -> DataFrame:
+    """Loss, order and std_ms of the gaps of each stream (as packet_loss, rtp_integrity and jitter have them) from one pass over its packets."""
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gap_ms = (F.col("t_us") - F.lag("t_us").over(by_time())) / 1000
+    # What has no source has losses and gaps, but no order.
+    main = F.when(F.col("ssrc").isNotNull(), F.mode("pt", True).over(whole))
+    df = clocked(numbered(spread(packets, "ssrc").withColumn("gap_ms", gap_ms).withColumn("main_pt", main)))
+    kept = F.when((F.col("gap_ms") > 0) & (F.col("gap_ms") < GAP_MS), F.col("gap_ms"))
+    return df.groupBy("role", "ssrc").agg(*losses(), *orders(), F.stddev_pop(kept).alias("std_ms"))
 
 
 @query(
@@ -274,30 +306,31 @@ def clock_rate(packets: DataFrame, tail: int = 64) -> DataFrame:
 def ts_continuity(packets: DataFrame, rate: int = 8000) -> DataFrame:
     """Timestamp jumps, steps back, reorders and duplicates of each audio stream: an ordered fold with a debt.
 
-    Packets pass by in order of time, only the counts and the debt are held; packets outside the main payload type are skipped.
+    Packets pass by in order of time, only the counts and the debt are held; packets outside the main payload type are skipped. One shuffle and one sort.
     """
-    main = packets.groupBy("ssrc", "pt").agg(F.count("*").alias("n")).groupBy("ssrc").agg(F.min(F.struct(-F.col("n"), "pt")).getField("pt").alias("main_pt"))
     w = Window.partitionBy("ssrc").orderBy("t_us", "pkt_no")
-    df = packets.join(main, "ssrc").withColumn("main", F.col("pt") == F.col("main_pt")).withColumn("d", signed32("rtp_ts", F.lag("rtp_ts").over(w)))
-    df = df.withColumn("g", ahead16("seq", F.lag("seq").over(w))).withColumn("use", F.col("main") & F.lag("main").over(w))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = spread(packets.where("ssrc is not null"), "ssrc").withColumn("main", F.col("pt") == F.mode("pt", True).over(whole)).withColumn("d", signed32("rtp_ts", F.lag("rtp_ts").over(w)))
+    df = df.withColumn("g", ahead16("seq", F.lag("seq").over(w))).withColumn("use", F.coalesce(F.col("main") & F.lag("main").over(w), F.lit(False)))
     df = df.withColumn("wrap", (F.col("d") > 0) & (F.col("rtp_ts") < F.lag("rtp_ts").over(w)))
-    usual = df.groupBy("ssrc").agg(F.coalesce(F.rint(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5)), F.lit(0.0)).alias("med"), F.count_if("wrap").alias("wraps"))
-    steps = df.join(usual, "ssrc").select("ssrc", "t_us", "pkt_no", "d", "g", F.coalesce("use", F.lit(False)).alias("use"), "med")
-    found = sorted_fold(steps, ["ssrc"], ["t_us", "pkt_no"], Continuity, CONTINUITY).join(usual, "ssrc")
+    med = F.coalesce(F.rint(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5).over(whole)), F.lit(0.0))
+    steps = df.select("ssrc", "t_us", "pkt_no", "d", "g", "use", med.alias("med"), F.count_if("wrap").over(whole).alias("wraps"))
+    found = sorted_fold(steps, ["ssrc"], ["t_us", "pkt_no"], Continuity, CONTINUITY, apart=True)
     return found.select("ssrc", "wraps", "jumps", "backward", "reorders", "duplicates", (F.col("gap") * 1000 / rate).alias("media_gap_ms"))
 
 
-CONTINUITY = T.StructType().add("jumps", "long").add("backward", "long").add("reorders", "long").add("duplicates", "long").add("gap", "double")
+CONTINUITY = T.StructType().add("wraps", "long").add("jumps", "long").add("backward", "long").add("reorders", "long").add("duplicates", "long").add("gap", "double")
 
 
 class Continuity:
     """How a sender's clock moves against its packets' numbers. What a step falls short of is a debt that later steps make up for first."""
 
     def __init__(self) -> None:
-        self.jumps = self.backward = self.reorders = self.duplicates = 0
+        self.wraps = self.jumps = self.backward = self.reorders = self.duplicates = 0
         self.debt = self.gap = 0.0
 
-    def feed(self, t_us: int, pkt_no: int, d: int | None, g: int | None, use: bool, med: float) -> tuple:
+    def feed(self, t_us: int, pkt_no: int, d: int | None, g: int | None, use: bool, med: float, wraps: int) -> tuple:
+        self.wraps = wraps
         if not use or d is None:
             return ()
         if d == 0:
@@ -320,7 +353,7 @@ class Continuity:
         return ()
 
     def close(self) -> tuple:
-        return ((self.jumps, self.backward, self.reorders, self.duplicates, self.gap),)
+        return ((self.wraps, self.jumps, self.backward, self.reorders, self.duplicates, self.gap),)
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators import delay, signalling, streams
+from callscope.operators.folds import spread
 from callscope.plans.registry import ORACLES, query
 
 #: Problem, usual priority; and priorities by severity (critical, warning, info) where these differ.
@@ -37,30 +40,30 @@ SQL = f""", l AS ({ORACLES["wn3_packet_loss"]}), j AS ({ORACLES["ag5_jitter"]}),
 @query("rl18_stream_problems", "captures", "pkt", "pkt_fs", "pkt_out", "rtcp", sql=SQL, recursive=True)
 def stream_problems(captures: DataFrame, pkt: DataFrame, at_server: DataFrame, sent_on: DataFrame, reports: DataFrame, role: str = "terminal") -> DataFrame:
     """Problems of each audio stream with their worst severity, priority and the checks that found them."""
-    here = captures.where(F.col("role") == role)
-    loss, order = streams.packet_loss(here), streams.rtp_integrity(here)
-    steady, jitter = streams.ts_continuity(pkt), streams.jitter(here)
-    server = delay.server_delay(at_server, sent_on)
+    gap = F.col("media_gap_ms")
+    # Each check runs once, whatever it finds.
+    checks = [
+        (streams.stream_checks(captures.where(F.col("role") == role)), [
+            (F.col("lost") > 0, "loss_artifact", F.when(F.col("loss_pct") >= LOSS_PCT, 0).otherwise(1), "loss"),
+            (F.col("ts_backward") > 0, "clock_anomaly", F.lit(0), "order"),
+            (F.col("ts_duplicate") > 0, "dup_audio", F.lit(1), "order"),
+            (F.col("std_ms") > JITTER_MS, "latency", F.lit(1), "jitter"),
+        ]),
+        (signalling.rtcp_summary(reports), [(F.col("fraction") > REPORTED_PCT, "loss_artifact", F.lit(1), "report")]),
+        (streams.ts_continuity(pkt), [
+            (F.col("jumps") > 0, "dropouts", F.when(gap >= GAP_MS, 0).when(gap >= SMALL_GAP_MS, 1).otherwise(2), "continuity"),
+            (F.col("backward") > 0, "clock_anomaly", F.lit(0), "continuity"),
+            (F.col("duplicates") > 0, "dup_audio", F.lit(1), "continuity"),
+        ]),
+        (delay.server_delay(at_server, sent_on), [(F.col("mean_ms") >= SERVER_MS, "latency", F.when(F.col("mean_ms") >= HIGH_SERVER_MS, 0).otherwise(1), "server")]),
+    ]
 
-    def found(df: DataFrame, where, problem: str, severity, origin: str) -> DataFrame:
-        severity = severity if not isinstance(severity, int) else F.lit(severity)
-        return df.where(where).select("ssrc", F.lit(problem).alias("problem"), severity.cast("int").alias("sev"), F.lit(origin).alias("origin"))
+    def found(df: DataFrame, gates: list[tuple[Column, str, Column, str]]) -> DataFrame:
+        """Findings of a check, moved once: branches of a union that are partitioned alike run in the same tasks, whose memory would be that of all checks."""
+        each = (F.when(where, F.struct(F.lit(problem).alias("problem"), severity.cast("int").alias("sev"), F.lit(origin).alias("origin"))) for where, problem, severity, origin in gates)
+        return spread(df.select("ssrc", F.explode(F.array_compact(F.array(*each))).alias("x")).select("ssrc", "x.*"), "ssrc", "problem")
 
-    gap = F.col("media_gap_ms")
-    all_ = [
-        found(loss, F.col("lost") > 0, "loss_artifact", F.when(F.col("loss_pct") >= LOSS_PCT, 0).otherwise(1), "loss"),
-        found(signalling.rtcp_summary(reports), F.col("fraction") > REPORTED_PCT, "loss_artifact", 1, "report"),
-        found(order, F.col("ts_backward") > 0, "clock_anomaly", 0, "order"),
-        found(order, F.col("ts_duplicate") > 0, "dup_audio", 1, "order"),
-        found(steady, F.col("jumps") > 0, "dropouts", F.when(gap >= GAP_MS, 0).when(gap >= SMALL_GAP_MS, 1).otherwise(2), "continuity"),
-        found(steady, F.col("backward") > 0, "clock_anomaly", 0, "continuity"),
-        found(steady, F.col("duplicates") > 0, "dup_audio", 1, "continuity"),
-        found(server, F.col("mean_ms") >= SERVER_MS, "latency", F.when(F.col("mean_ms") >= HIGH_SERVER_MS, 0).otherwise(1), "server"),
-        found(jitter, F.col("std_ms") > JITTER_MS, "latency", 1, "jitter"),
-    ]
-    rows = all_[0]
-    for df in all_[1:]:
-        rows = rows.unionByName(df)
+    rows = reduce(DataFrame.unionByName, (found(*c) for c in checks))
     g = rows.groupBy("ssrc", "problem").agg(F.min("sev").alias("sev"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"))
     priorities = F.create_map(*(F.lit(x) for p, usual in {**AUDIO, **VIDEO}.items() for k in range(3) for x in (f"{p}{k}", BY_SEVERITY.get(p, (usual,) * 3)[k])))
     priority = F.try_element_at(priorities, F.concat("problem", F.col("sev").cast("string")))

@@ -2,7 +2,10 @@
 
 import random
 
-from callscope.operators import calls, delay, verdicts
+import pytest
+
+from callscope.operators import calls, delay, streams, verdicts
+from callscope.plans.all import QUERIES
 
 LEGS = "leg_id long, session_id long, ssrc long, ip string, start_s long, end_s long, role string, first_seq long"
 DIALOGS = "dialog_id long, session_id long, ip string, invite_s long, bye_s long"
@@ -201,3 +204,43 @@ def test_relay_notes_read_streams_once(spark):
     agreed = spark.createDataFrame([], "call_no long, side string, media string")
     got = {(x.side, x.note, x.down, x.peer) for x in relay.relay_notes(calls_, streams, said, agreed, None).collect()}
     assert got == {("caller", "local_source", 40, 0), ("callee", "second_address", 300, None)} and seen.value == 3
+
+
+def test_checks_of_a_stream_share_one_pass(spark):
+    """Losses, order and jitter of streams with gaps, copies, late packets, wraps and packets without a source, as each alone has them, without joins or tables of packets."""
+    r, rows = random.Random(3), []
+    for ssrc in [None, *range(30)]:
+        for i in range(r.choice([1, 2, 12, 70])):
+            if r.random() < 0.9:
+                seq = 65500 + i + r.choice([0, 0, 0, 0, -1, -3, 2])
+                rows.append(("x", ssrc, seq % 65536, (4294960000 + seq * 160) % 2**32, r.choice([0, 0, 0, 8]), i * 20000 + r.randrange(5) * 9000, len(rows)))
+    packets = spark.createDataFrame(rows, "role string, ssrc long, seq int, rtp_ts long, pt int, t_us long, pkt_no long")
+    got = streams.stream_checks(packets)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in streams.packet_loss(packets)._jdf.queryExecution().executedPlan().toString().lower()
+    got = {x.ssrc: x.asDict() for x in got.collect()}
+    for alone in (streams.packet_loss(packets), streams.rtp_integrity(packets), streams.jitter(packets).select("ssrc", "std_ms")):
+        for x in alone.collect():
+            assert all(got[x.ssrc][c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in x.asDict().items())
+    for ssrc, x in got.items():
+        own = sorted(((p[5], p[6], p[2]) for p in rows if p[1] == ssrc))
+        ext = [own[0][2]]
+        for _, _, seq in own[1:]:
+            ext.append(ext[-1] + (seq - ext[-1] + 32768) % 65536 - 32768)
+        assert x["lost"] == max(ext) - ext[0] + 1 - len({e for e in ext if e >= ext[0]})
+    assert got[None]["ts_backward"] == got[None]["ts_duplicate"] == 0 and sum(x["lost"] for x in got.values()) > 0
+
+
+def test_checks_of_stream_problems_run_in_tasks_of_their_own(spark, data):
+    """What sorts packets lies below an exchange: branches of a union that are partitioned alike would run in the same tasks, with the memory of all."""
+    lines = QUERIES["rl18_stream_problems"](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("Union"))
+    column = lines[top].index("Union")
+    above, branches, open_ = [], 0, False
+    for line in lines[top + 1 :]:
+        name = line.lstrip(" :+-")
+        if len(line) - len(name) == column + 3:
+            branches, open_ = branches + 1, True
+        open_ = open_ and not name.startswith("Exchange")
+        above += [name] * open_
+    assert branches == 4 and not [x for x in above if x.startswith(("Sort", "Window", "MapInArrow"))]
