@@ -215,9 +215,9 @@ def test_checks_of_a_stream_share_one_pass(spark):
                 seq = 65500 + i + r.choice([0, 0, 0, 0, -1, -3, 2])
                 rows.append(("x", ssrc, seq % 65536, (4294960000 + seq * 160) % 2**32, r.choice([0, 0, 0, 8]), i * 20000 + r.randrange(5) * 9000, len(rows)))
     packets = spark.createDataFrame(rows, "role string, ssrc long, seq int, rtp_ts long, pt int, t_us long, pkt_no long")
+    assert "distinct" not in streams.packet_loss(packets)._jdf.queryExecution().executedPlan().toString().lower()
     got = streams.stream_checks(packets)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
-    assert "distinct" not in streams.packet_loss(packets)._jdf.queryExecution().executedPlan().toString().lower()
     got = {x.ssrc: x.asDict() for x in got.collect()}
     for alone in (streams.packet_loss(packets), streams.rtp_integrity(packets), streams.jitter(packets).select("ssrc", "std_ms")):
         for x in alone.collect():
@@ -243,4 +243,4 @@ def test_checks_of_stream_problems_run_in_tasks_of_their_own(spark, data):
             branches, open_ = branches + 1, True
         open_ = open_ and not name.startswith("Exchange")
         above += [name] * open_
-    assert branches == 4 and not [x for x in above if x.startswith(("Sort", "Window", "MapInArrow"))]
+    assert not [x for x in above if x.startswith(("Sort", "Window", "MapInArrow"))] and branches == 4
