@@ -19,6 +19,13 @@ class Machine(Protocol):
     def close(self) -> Iterable[tuple]: ...
 
 
+def values(column: pa.Array) -> list:
+    """As to_pylist, which makes an object of its own for each value first."""
+    if pa.types.is_string(column.type) or (pa.types.is_integer(column.type) and column.null_count == 0):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df by keys, in as many partitions as the session's shuffles have. A number that is given stands: without one, adaptive execution deals the tasks
     of one parallelism out to all branches of a union and makes few large tasks of a branch."""
@@ -45,7 +52,7 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], machine: Calla
 
         for b in batches:
             out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            for row in zip(*map(values, b.columns)):
                 if state is None or row[:k] != now:
                     if state is not None:
                         out.extend(now + x for x in state.close())

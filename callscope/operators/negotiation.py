@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import lru_cache, reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +20,10 @@ SERVER = "192.0.2.1"
 KINDS = ("audio", "video")
 #: Names of event types, which are no codecs, and clock bands of audio and video in Hz.
 EVENTS = "TELEPHONE"
+#: Static types as text, and the parts of a description that name codecs: letters, digits and white space are those of ASCII.
+FIXED = {str(pt): (name, str(rate)) for pt, (name, rate) in STATIC_PT.items()}
+MEDIA, RTPMAP, NUMBER = (re.compile(x, re.ASCII) for x in (r"(\w+)(?: \S+ \S+ ?([^\n]*))?", r"a=rtpmap:(\d+)\s+(\S*)", r"[+-]?\d+"))
+CONTROL = "".join(map(chr, [*range(33), *range(127, 160)]))
 AUDIO_BANDS, VIDEO_BANDS = ((7200, 8800), (43000, 53000)), ((81000, 99000),)
 
 
@@ -37,21 +45,6 @@ def codecs(sections: Column, *kinds: str) -> Column:
     return F.filter(all_, lambda c: c["name"].isNotNull() & ~c["name"].startswith(EVENTS))
 
 
-def idents(found: Column) -> Column:
-    """array<struct<name, rate>>: each codec once."""
-    return F.array_distinct(F.transform(found, lambda c: F.struct(c["name"].alias("name"), c["rate"].alias("rate"))))
-
-
-def agreed(offer: Column, answer: Column) -> Column:
-    """What both list, in the order of the offer; if nothing, what the answer lists; without an answer, what is offered."""
-    both = F.filter(offer, lambda o: F.exists(answer, lambda a: codec_match(o["name"], o["rate"], a["name"], a["rate"])))
-    return F.when(answer.isNull(), offer).when(F.size(both) > 0, both).otherwise(answer)
-
-
-def listed(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda c: F.concat_ws("/", c["name"], c["rate"].cast("string"))), ",")
-
-
 def endpoint(sections: Column, kind: str) -> Column:
     """The first address and port that a description announces for a kind of media; a rejected or held one announces nothing."""
     open_ = F.filter(sections, lambda s: (s["kind"] == kind) & (s["port"] > 0) & ~s["addr"].isin("", "0.0.0.0"))
@@ -59,44 +52,112 @@ def endpoint(sections: Column, kind: str) -> Column:
     return F.concat_ws(":", first["addr"], first["port"].cast("string"))
 
 
+@lru_cache(maxsize=4096)
+def named(pts: str, lines: str) -> tuple[tuple[str, int | None], ...]:
+    """(name, rate) of the payload types of a section with these lines, each codec once, as `codecs` has them. Devices send the same lists again and again, so that few are read."""
+    own: dict[str, list[str]] = {}
+    for m in filter(None, map(RTPMAP.match, lines.split("\n")[1:])):
+        own.setdefault(m[1], m[2].split("/") if m[2] else [])
+    found = {}
+    for pt in pts.split(" "):
+        parts, fixed = own.get(pt, []), FIXED.get(pt, ())
+        name, rate, *_ = *parts, *fixed[len(parts) :], None, None
+        if name is not None and not name.upper().startswith(EVENTS):
+            found[name.upper(), None if rate is None else whole_number(rate)] = None
+    return tuple(found)
+
+
+def whole_number(text: str) -> int | None:
+    """As a cast to int that gives null for what is none."""
+    text = text.strip(CONTROL)
+    return int(text) if NUMBER.fullmatch(text) and -(2**31) <= int(text) < 2**31 else None
+
+
+def named_by_kind(body: str) -> list[tuple]:
+    """What a description's sections of each of KINDS name, each codec once."""
+    found: list[tuple] = [() for _ in KINDS]
+    for section in ("\n" + body.replace("\r\n", "\n")).split("\nm=")[1:]:
+        m = MEDIA.match(section)
+        if m and m[1] in KINDS:
+            k, more = KINDS.index(m[1]), named(m[2] or "", section[m.end() :])
+            found[k] = tuple(dict.fromkeys(found[k] + more)) if found[k] else more
+    return found
+
+
+@lru_cache(maxsize=4096)
+def agreed(offer: tuple, answer: tuple | None) -> str:
+    """What both list, in the order of the offer; if nothing, what the answer lists; without an answer, what is offered."""
+    both = [(n, r) for n, r in offer if any(n == m and (r is None or s is None or r == s) for m, s in answer or ())]
+    return ",".join(n if r is None else f"{n}/{r}" for n, r in (both or (offer if answer is None else answer)))
+
+
 class Rounds:
     """Offers and answers of one dialog: a round is complete when an answer of the offer's transaction comes.
 
     An INVITE with a description opens a round. Its responses answer it, later ones of the transaction replace the answer.
-    A description in a response to no open round is itself an offer, which an ACK of the transaction answers.
+    A description in a response to no open round is itself an offer, which an ACK of the transaction answers. Descriptions that name no codec are
+    passed over; each is read once, with what it names beside it.
     """
 
     def __init__(self) -> None:
-        self.open: tuple[int | None, str] | None = None
-        self.last: tuple[int | None, str] | None = None
-        self.done: tuple[str, str] | None = None
+        self.open: tuple[int | None, tuple] | None = None
+        self.last: tuple[int | None, tuple] | None = None
+        self.done: tuple[tuple, tuple] | None = None
         self.rounds = 0
 
-    def answer(self, body: str) -> None:
+    def answer(self, said: tuple) -> None:
         assert self.open is not None
-        self.done, self.last, self.open = (self.open[1], body), self.open, None
+        self.done, self.last, self.open = (self.open[1], said), self.open, None
         self.rounds += 1
 
-    def feed(self, t_us: int, msg_no: int, method: str, cseq: int | None, body: str) -> tuple:
-        response = method.isdigit()
+    def feed(self, t_us: int, msg_no: int, method: str | None, cseq: int | None, body: str | None) -> tuple:
+        found = named_by_kind(body) if body is not None and method is not None else ()
+        if not any(found):
+            return ()
+        response, said = method.isdigit(), (body, found)
         if method == "INVITE":
-            self.open = (cseq, body)
+            self.open = (cseq, said)
         elif self.open is not None:
             if (response or method == "ACK") and self.open[0] == cseq:
-                self.answer(body)
+                self.answer(said)
         elif response and self.last is not None and self.last[0] == cseq:
-            self.done = (self.last[1], body)
+            self.done = (self.last[1], said)
         elif response:
-            self.open = (cseq, body)
+            self.open = (cseq, said)
         return ()
 
+    def settled(self) -> tuple:
+        """(answered, cseq, rounds, what is agreed on for each of KINDS, offer, answer)"""
+        if self.done is None and self.open is None:
+            return (False, None, 0, *("" for _ in KINDS), None, None)
+        offer, answer = self.done or (self.open[1], (None, None))
+        of = [agreed(offer[1][k], answer[1] and answer[1][k]) for k in range(len(KINDS))]
+        return (self.done is not None, (self.last if self.done else self.open)[0], self.rounds, *of, offer[0], answer[0])
+
     def close(self) -> tuple:
-        if self.done is not None:
-            return ((True, self.last[0], self.rounds, *self.done),)
-        return ((False, self.open[0], 0, self.open[1], None),) if self.open is not None else ()
+        return (self.settled(),)
+
+
+class SidedRounds:
+    """The same with the first INVITE of the dialog in each call that has messages of it, without descriptions. Rows of one time and number come by their ends."""
+
+    def __init__(self) -> None:
+        self.of = Rounds()
+        self.invites: dict[int | None, tuple] = {}
+
+    def feed(self, t_us: int, msg_no: int, method: str | None, cseq: int | None, body: str | None, call_no: int | None, src: str | None, dst: str | None) -> tuple:
+        if not self.invites.get(call_no):
+            self.invites[call_no] = (t_us, src, dst) if method == "INVITE" else ()
+        return self.of.feed(t_us, msg_no, method, cseq, body)
+
+    def close(self) -> list[tuple]:
+        answered, _, _, *of, _, _ = self.of.settled()
+        return [(call_no, bool(i), *(i or (None, None, None)), answered, *of) for call_no, i in self.invites.items()]
 
 
-ROUND = T.StructType().add("answered", "boolean").add("cseq", "integer").add("rounds", "long").add("offer", "string").add("answer", "string")
+ROUND = T.StructType().add("answered", "boolean").add("cseq", "integer").add("rounds", "long")
+for _c in (*KINDS, "offer", "answer"):
+    ROUND = ROUND.add(_c, "string")
 
 #: The same rules over parsed descriptions, row by row in a recursive query.
 CODECS_SQL = r""", m AS (SELECT *, replace(body, chr(13), '') AS b FROM offers),
@@ -142,27 +203,30 @@ def negotiation(messages: DataFrame) -> DataFrame:
     messages: call_id, t_us, msg_no (order within a time), method, cseq, body. Without an answer the offer's codecs are candidates; messages
     whose description names no codec say nothing about what was agreed and are passed over.
     """
-    rows = messages.select("call_id").distinct().join(dialog_rounds(messages), "call_id", "left")
-    rows = rows.withColumns({f"{c}_sections": media_sections(F.col(c)) for c in ("offer", "answer")})
-    rows = rows.withColumns({f"{c}_{kind}": idents(codecs(F.col(f"{c}_sections"), kind)) for c in ("offer", "answer") for kind in KINDS})
+    rows = read_rounds(messages).withColumns({f"{c}_sections": media_sections(F.col(c)) for c in ("offer", "answer")})
 
     def one(kind: str) -> Column:
-        answer = F.when(F.col("answer").isNotNull(), F.col(f"answer_{kind}"))
-        found = listed(agreed(F.col(f"offer_{kind}"), answer))
         ends = [F.coalesce(endpoint(F.col(f"{c}_sections"), kind), F.lit("")) for c in ("offer", "answer")]
-        return F.struct(F.lit(kind).alias("media"), F.coalesce(found, F.lit("")).alias("codecs"), ends[0].alias("offered_at"), ends[1].alias("answered_at"))
+        return F.struct(F.lit(kind).alias("media"), F.col(kind).alias("codecs"), ends[0].alias("offered_at"), ends[1].alias("answered_at"))
 
     rows = rows.withColumn("m", F.explode(F.array(*map(one, KINDS))))
-    return rows.select(
-        "call_id", "m.media", F.coalesce("answered", F.lit(False)).alias("answered"), "cseq", F.coalesce("rounds", F.lit(0)).alias("rounds"), "m.codecs", "m.offered_at", "m.answered_at"
-    )
+    return rows.select("call_id", "m.media", "answered", "cseq", "rounds", "m.codecs", "m.offered_at", "m.answered_at")
+
+
+def fed(messages: DataFrame, *more: str) -> DataFrame:
+    """What machines of rounds are fed; only what may describe media is moved. What has no dialog's name is of none."""
+    body = F.when(F.col("call_id").isNotNull() & F.col("body").contains("m="), F.col("body"))
+    return messages.select("call_id", "t_us", "msg_no", "method", "cseq", body.alias("body"), *more)
+
+
+def read_rounds(messages: DataFrame) -> DataFrame:
+    """(call_id, answered, cseq, rounds, audio, video, offer, answer) of every dialog: the round that holds at the end, what it agreed on, its two descriptions."""
+    return sorted_fold(fed(messages), ["call_id"], ["t_us", "msg_no"], Rounds, ROUND)
 
 
 def dialog_rounds(messages: DataFrame) -> DataFrame:
-    """(call_id, answered, cseq, rounds, offer, answer): the round that holds at the end, with its two descriptions."""
-    named = F.size(codecs(media_sections(F.col("body")), *KINDS)) > 0
-    rows = messages.where("body rlike '(?m)^m='").where(named).select("call_id", "t_us", "msg_no", "method", "cseq", "body")
-    return sorted_fold(rows, ["call_id"], ["t_us", "msg_no"], Rounds, ROUND)
+    """(call_id, answered, cseq, rounds, offer, answer): the round that holds at the end, with its two descriptions, of the dialogs that have one."""
+    return read_rounds(messages).drop(*KINDS).where("offer is not null")
 
 
 ROLE_SQL = r""", inv AS (SELECT call_no, call_id, arg_min(src, (t_us, msg_no)) AS src, arg_min(dst, (t_us, msg_no)) AS dst, min(t_us) AS t_us FROM offers WHERE method = 'INVITE' GROUP BY ALL),
@@ -180,9 +244,11 @@ def leg_roles(messages: DataFrame, server: str = SERVER) -> DataFrame:
     invite = F.when(F.col("method") == "INVITE", F.struct("t_us", "msg_no", "src", "dst"))
     dialogs = messages.groupBy("call_no", "call_id").agg(F.min(invite).alias("i"))
     first = dialogs.where("i is not null").groupBy("call_no").agg(F.min(F.struct("i.t_us", "call_id")).getField("call_id").alias("first_id"))
-    src, dst = F.col("i.src"), F.col("i.dst")
-    role = F.when(F.col("i").isNull() | (src == server), "callee").when((dst == server) | (F.col("first_id") == F.col("call_id")), "caller").otherwise("callee")
-    return dialogs.join(first, "call_no", "left").select("call_no", "call_id", role.alias("role"))
+    return dialogs.join(first, "call_no", "left").select("call_no", "call_id", role_of(F.col("i").isNotNull(), F.col("i.src"), F.col("i.dst"), server).alias("role"))
+
+
+def role_of(invited: Column, src: Column, dst: Column, server: str) -> Column:
+    return F.when(~invited | (src == server), "callee").when((dst == server) | (F.col("first_id") == F.col("call_id")), "caller").otherwise("callee")
 
 
 @query(
@@ -199,19 +265,24 @@ def codec_path(messages: DataFrame, server: str = SERVER) -> DataFrame:
 
     Of several legs of a side the answered one counts; calls of which one side, or no kind on both, is known have no row.
     """
-    of = negotiation(messages).where("codecs <> ''")
-    answered = of.groupBy("call_id").agg(F.bool_or("answered").alias("answered"))
-    side = leg_roles(messages, server).join(answered, "call_id").groupBy("call_no", "role").agg(F.min(F.struct(~F.col("answered"), "call_id")).getField("call_id").alias("call_id"))
-    sides = [side.where(F.col("role") == r).select("call_no", F.col("call_id").alias(r)) for r in ("caller", "callee")]
-    legs = [of.select(F.col("call_id").alias(r), "media", F.split("codecs", ",").alias(f"{r}_codecs")) for r in ("caller", "callee")]
-    both = sides[0].join(sides[1], "call_no").join(legs[0], "caller").join(legs[1], ["callee", "media"])
-    part = lambda c, k: F.get(F.split(c, "/"), F.lit(k))
-    match = lambda a, b: codec_match(part(a, 0), part(a, 1), part(b, 0), part(b, 1))
-    common = F.filter("caller_codecs", lambda a: F.exists("callee_codecs", lambda b: match(a, b)))
-    both = both.withColumn("common", common)
-    verdict = F.when(F.bool_or(F.size("common") == 0), "transcode").otherwise("same")
-    text = F.array_sort(F.collect_list(F.concat_ws(":", "media", F.array_join("common", "+"))))
-    return both.groupBy("call_no", "caller", "callee").agg(verdict.alias("verdict"), F.array_join(text, " ").alias("common"))
+    result = T.StructType().add("call_no", messages.schema["call_no"].dataType).add("invited", "boolean").add("t_us", messages.schema["t_us"].dataType)
+    for c, kind in (("src", "string"), ("dst", "string"), ("answered", "boolean"), *((k, "string") for k in KINDS)):
+        result = result.add(c, kind)
+    dialogs = sorted_fold(fed(messages, "call_no", "src", "dst"), ["call_id"], ["t_us", "msg_no", "src", "dst"], SidedRounds, result)
+    first = F.min(F.when(F.col("invited"), F.struct("t_us", "call_id"))).over(Window.partitionBy("call_no")).getField("call_id")
+    dialogs = dialogs.where("call_no is not null").withColumn("first_id", first).withColumn("role", role_of(F.col("invited"), F.col("src"), F.col("dst"), server))
+    known = dialogs.where(reduce(or_, (F.col(k) != "" for k in KINDS)))
+    best = [F.min(F.when(F.col("role") == r, F.struct((~F.col("answered")).alias("open"), "call_id", *KINDS))).alias(r) for r in ("caller", "callee")]
+    sides = known.groupBy("call_no").agg(*best).where("caller is not null and callee is not null")
+    listed = lambda r, k: F.transform(F.split(F.col(r)[k], ","), lambda c: F.struct(c.alias("c"), F.split(c, "/").alias("w")))
+    kinds = [F.when((F.col("caller")[k] != "") & (F.col("callee")[k] != ""), F.struct(F.lit(k).alias("media"), *(listed(r, k).alias(r) for r in ("caller", "callee")))) for k in KINDS]
+    both = sides.select("call_no", F.col("caller.call_id").alias("caller"), F.col("callee.call_id").alias("callee"), F.array_compact(F.array(*kinds)).alias("m")).where(F.size("m") > 0)
+    match = lambda a, b: codec_match(F.get(a, F.lit(0)), F.get(a, F.lit(1)), F.get(b, F.lit(0)), F.get(b, F.lit(1)))
+    shared = lambda m: F.transform(F.filter(m["caller"], lambda a: F.exists(m["callee"], lambda b: match(a["w"], b["w"]))), lambda a: a["c"])
+    both = both.withColumn("m", F.transform("m", lambda m: F.struct(m["media"].alias("media"), shared(m).alias("common"))))
+    verdict = F.when(F.exists("m", lambda m: F.size(m["common"]) == 0), "transcode").otherwise("same")
+    text = F.array_sort(F.transform("m", lambda m: F.concat_ws(":", m["media"], F.array_join(m["common"], "+"))))
+    return both.select("call_no", "caller", "callee", verdict.alias("verdict"), F.array_join(text, " ").alias("common"))
 
 
 def in_bands(c: Column, bands: tuple) -> Column:

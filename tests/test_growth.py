@@ -244,3 +244,23 @@ def test_checks_of_stream_problems_run_in_tasks_of_their_own(spark, data):
         open_ = open_ and not name.startswith("Exchange")
         above += [name] * open_
     assert not [x for x in above if x.startswith(("Sort", "Window", "MapInArrow"))] and branches == 4
+
+
+def test_descriptions_of_a_call_are_read_in_one_pass(spark, data):
+    """One fold reads what dialogs agree on and who called; what it reads is what column functions read, of odd descriptions too."""
+    from pyspark.sql import functions as F
+
+    from callscope.functions.sip_messages import media_sections
+    from callscope.operators import negotiation
+
+    for name in ("rl7_codec_path", "wn10_negotiation"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    r, bodies = random.Random(5), ["", "m=audio", "\nm=audio 1 RTP/AVP 0", "m=video 1 RTP/AVP \r\n\r\na=rtpmap:97 H264/90000"]
+    parts = ["m=audio 4 RTP/AVP 0 8 96", "m=audio 4 RTP/AVP  97 x 0", "m=video 5 RTP/AVP 96 97", "m=audiox 1 RTP/AVP 0", "m= audio 1 RTP/AVP 0", "m=audio 9", "a=rtpmap:96 opus/48000/2", "a=rtpmap:96 ", "a=rtpmap:97", "a=rtpmap:x a/1", "a=rtpmap:97  /8000",
+             "a=rtpmap:97\tspeex", "a=rtpmap:0 pcmu/1e3", "a=rtpmap:8 own", "a=rtpmap:97 h264/99999999999", "a=rtpmap:96 a/+5", "a=rtpmap:96 straße/ 7", "a=rtpmap:96 telephone-event/8000", "c=IN IP4 1.2.3.4", "", "\r"]
+    bodies += [r.choice(["\r\n", "\n"]).join(r.choice(parts) for _ in range(r.randrange(1, 9))) + r.choice(["", "\r\n"]) for _ in range(600)]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body string")
+    one = lambda kind: F.array_distinct(F.transform(negotiation.codecs(media_sections(F.col("body")), kind), lambda c: F.struct(c["name"], c["rate"])))
+    want = {x.k: [tuple(map(tuple, c)) for c in (x.audio, x.video)] for x in df.select("k", *(one(k).alias(k) for k in negotiation.KINDS)).collect()}
+    assert {k: negotiation.named_by_kind(b) for k, b in enumerate(bodies)} == want and sum(any(x) for x in want.values()) > 200
