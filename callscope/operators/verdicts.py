@@ -58,8 +58,8 @@ def nearest_dialog(legs: DataFrame, dialogs: DataFrame, within_s: int = 6) -> Da
         each = F.explode(F.array(F.struct(F.lit("start").alias("which"), F.col(start).alias("s")), F.struct(F.lit("end").alias("which"), F.col(end).alias("s"))))
         return df.select("session_id", "ip", leg.alias("leg_id"), dialog.alias("dialog_id"), each.alias("e")).select("session_id", "ip", "leg_id", "dialog_id", "e.*")
 
-    none = F.lit(None).cast("long")
-    rows = ends(legs, F.col("leg_id"), none, "start_s", "end_s").unionByName(ends(dialogs, none, F.col("dialog_id"), "invite_s", "bye_s"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    rows = ends(legs, F.col("leg_id"), none(dialogs, "dialog_id"), "start_s", "end_s").unionByName(ends(dialogs, none(legs, "leg_id"), F.col("dialog_id"), "invite_s", "bye_s"))
     rows = rows.where("session_id is not null and ip is not null and s is not null")
     at, is_dialog = Window.partitionBy("session_id", "ip", "which"), F.col("dialog_id").isNotNull()
     # Both frames grow from the first row, so that each is one pass: of those before, the latest, then the smallest; of those after, the earliest, then the smallest.

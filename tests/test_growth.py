@@ -282,3 +282,32 @@ def test_pairs_of_legs_are_not_moved(spark):
         got = calls.leg_edges(legs)
         assert sorted((x.session_id, x.x, x.y) for x in got.collect()) == sorted(want) and len(want) > 30
         assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_silent_dialogs_are_bound_without_pairs(spark):
+    """The only or nearest dialog of a leg as all pairs would say, of backward spans and dialogs of two spans too; two rows at most for what meets many."""
+    from callscope.operators import assembly
+
+    for seed in range(6):
+        ls, ds, es, (legs, _, _, peers) = meeting(spark, seed, (3000, 300, 60)[seed % 3], odd=seed > 2)
+        es = [e for e in es if e[1] % 5 == 1]
+        ds += [(s, d, a + 3, b + 9) for s, d, a, b in ds[:4] * (seed > 2)]
+        ps = [tuple(x) for x in peers.collect()] + [(s, d, "b") for s, d, *_ in ds[::3]]
+        dialogs, ends = spark.createDataFrame(ds, "session_id long, dialog_id long, first_s long, last_s long"), spark.createDataFrame(es, "session_id long, dialog_id long, ip string, port int")
+        peers = spark.createDataFrame(ps, peers.schema)
+        cross = {(leg, d) for leg in ls for d in ds if leg[0] == d[0] and leg[6] <= d[3] + 6 and leg[7] >= d[2] - 6}
+        strong = {leg[1] for leg, d in cross for e in es if e[:2] == d[:2] and None not in e and e[2:] in (leg[2:4], leg[4:6])}
+        cand = {(leg[1], d[1], min(abs(leg[7] - d[3]), abs(leg[6] - d[2]))) for leg, d in cross for p in ps if p[:2] == d[:2] and p[2] in (leg[2], leg[4]) and leg[1] not in strong and d[1] not in {e[1] for e in es}}
+        want = set()
+        for leg in {x[0] for x in cand}:
+            mine = sorted((apart, d) for x, d, apart in cand if x == leg)
+            if len(mine) == 1 and sum(d == mine[0][1] for _, d, _ in cand) == 1:
+                want.add((leg, mine[0][1], "only"))
+            elif mine[0][0] <= 6:
+                want.add((leg, mine[0][1], "nearest"))
+        rows = assembly.bound(legs, dialogs, ends, peers).where("by_ <> 'announced'").collect()
+        assert {(x.leg_id, x.dialog_id, x.by_) for x in rows} == want and len(rows) == len(want) > 0
+    machine, made = assembly.Choices(), []
+    for k in range(3000):
+        made += machine.feed(k, k % 2, k + 1500, k)
+    assert len(made) + len(machine.close()) == 3000 and len(machine.few[0]) + len(machine.few[1]) < 4 and {len(x) for x in machine.last} == {2}
